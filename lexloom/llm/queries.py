@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import bpe_codec, html_text, token_counts
+from ..session import shared_folder, table
+from . import bpe_codec, html_text, simhash, token_counts, vector_forest, warc
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,42 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.archived(spark, path)
+
+
+def op5_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op3_token_counts, op9_bpe_codec)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op3_token_counts, op4_warc, op5_vector_forest, op6_simhash, op9_bpe_codec)}
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS d FROM pages),
+        k AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d, n)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN coalesce(page_id, keeper - 1) < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN coalesce(page_id, keeper - 1) < keeper THEN keeper END AS refers_to
+        FROM p LEFT JOIN k USING (d, n)""",
+    "op5_vector_forest": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        good AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+                 WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+                 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+        reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON reach.r = link.a),
+        part AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM part LEFT JOIN n USING (vec_id)""",
+}
