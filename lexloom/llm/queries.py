@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder, table
-from . import bpe_codec, decontaminate, html_text, kneser_ney, quality, simhash, token_counts, vector_forest, warc
+from . import bpe_codec, decontaminate, html_text, kneser_ney, passages, quality, simhash, token_counts, vector_forest, warc
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_token_counts, op4_warc, op5_vector_forest, op6_simhash, op7_quality, op9_bpe_codec, op10_lm_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_token_counts, op4_warc, op5_vector_forest, op6_simhash, op7_quality, op8_passages, op9_bpe_codec, op10_lm_scores)}
 ORACLE: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS d FROM pages),

@@ -109,3 +109,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(of_class, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, segments: int = 2, width: int = 3) -> DataFrame:
+    """The rows of docs, with their own columns, but for those whose group holds a smaller id; see simhash_groups().
+
+    Rows without an id stay, and so do rows that repeat an id that stays.
+    """
+    groups = simhash_groups(docs, id_col, text_col, radius, segments, width)
+    gone = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
