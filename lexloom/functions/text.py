@@ -56,8 +56,8 @@ def section_starts(text: Column) -> Column:
     """Headings as an array of (pos, section) in order; pos counts characters from 0."""
     pieces = F.split(F.regexp_replace(text, HEADING, f"{MARK}$1$2"), MARK)
     name = lambda piece: F.regexp_replace(F.regexp_extract(F.lower(piece), r"^(fact|holding|reasoning|dissent|conclusion|background)", 1), "^fact$", "facts")
-    ends = F.transform(pieces, lambda piece, i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda total, x: total + F.length(x)))
-    return F.transform(F.filter(F.arrays_zip(ends.alias("pos"), pieces.alias("piece")), lambda x, i: i > 0), lambda x: F.struct(x["pos"].alias("pos"), name(x["piece"]).alias("section")))
+    before = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda total, x: total + F.length(x))
+    return F.slice(F.transform(pieces, lambda piece, i: F.named_struct(F.lit("pos"), before(i), F.lit("section"), name(piece))), 2, F.size(pieces))
 
 
 def paragraphs_kept(text: Column) -> Column:
@@ -74,7 +74,7 @@ def numbered_sections(text: Column) -> Column:
 def slices(text: Column, size: int) -> Column:
     """Pieces of fixed length as an array of (start, piece); none of an empty text."""
     starts = F.transform(F.sequence(F.lit(0), F.greatest(F.expr("0"), F.floor((F.length(text) - 1) / size).cast("int"))), lambda i: i * size)
-    return F.when(F.length(text) > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.substr(text, s + 1, F.lit(size)).alias("piece"))))
+    return F.when(F.length(text) > 0, F.transform(starts, lambda s: F.named_struct(F.lit("start"), s, F.lit("piece"), F.substr(text, s + 1, F.lit(size)))))
 
 
 def found(text: Column, pattern: str) -> Column:

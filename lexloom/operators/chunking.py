@@ -22,7 +22,8 @@ def section_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     described behaviour walks through all of them; strict=True ends it only where the section changes.
     """
     squeezed = docs.select(F.col(id_col).alias("doc"), F.col(title_col).alias("title"), T.squeeze(F.col(text_col)).alias("text"))
-    rows = squeezed.select("doc", "title", "text", T.section_starts(F.col("text")).alias("starts"), F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    rows = squeezed.select("doc", "title", "text", T.section_starts(F.col("text")).alias("starts"), T.sentences(F.col("text")).alias("sentences"))
+    rows = rows.select("doc", "title", "text", "starts", F.posexplode("sentences").alias("idx", "sentence"))  # after it, starts would be worked out for each sentence
     passed = F.transform(F.filter("starts", lambda s: s["pos"] <= F.instr(F.col("text"), F.col("sentence")) - 1), lambda s: s["section"])
     rows = rows.select("doc", "title", "idx", "sentence", passed.alias("passed"))
     order = Window.partitionBy("doc").orderBy("idx")
@@ -42,7 +43,7 @@ def section_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = chunks.withColumn("chunk_ord", F.row_number().over(Window.partitionBy("doc").orderBy("island", "part")).cast("long"))
     chunks = chunks.select(F.col("doc").alias(id_col), "chunk_ord", "section", "n_sentences", "text", T.digest16(F.col("title"), F.col("section"), F.col("chunk_ord").cast("string")).alias("chunk_id"))
     parents = squeezed.select(
-        F.col("doc").alias(id_col), F.lit(0).cast("long").alias("chunk_ord"), F.lit("full").alias("section"), F.lit(None).cast("long").alias("n_sentences"), F.substring("text", 1, 1000).alias("text"), T.digest16(F.col("title"), F.lit("parent")).alias("chunk_id")
+        F.col("doc").alias(id_col), F.lit(0).cast("long").alias("chunk_ord"), F.lit("full").alias("section"), F.lit(0).cast("long").alias("n_sentences"), F.substring("text", 1, 1000).alias("text"), T.digest16(F.col("title"), F.lit("parent")).alias("chunk_id")
     )
     return parents.unionByName(chunks)
 

@@ -74,7 +74,7 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
                 ids = np.array(batch.column("ids")[row].as_py())
                 own = np.array(batch.column("vectors")[row].as_py())
                 wanted = batch.column("asked")[row].as_py()
-                scores = np.array([w["vector"] for w in wanted]) @ own.T
+                scores = np.round(np.array([w["vector"] for w in wanted]) @ own.T, 9)  # equal vectors tie
                 best = [np.lexsort((ids, -s))[:k] for s in scores]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([w["query_id"] for w in wanted], [len(b) for b in best]), pa.int64()), pa.array(np.concatenate([ids[b] for b in best])), pa.array(np.concatenate([s[b] for s, b in zip(scores, best, strict=True)]))],

@@ -15,8 +15,11 @@ PATTERNS = {"case_citation": (T.CHUNK_CITATION, 2.0), "statute": (T.STATUTE, 1.5
 
 def extracted(text: Column, patterns: dict[str, tuple[str, float]] = PATTERNS) -> Column:
     """Entities as an array of (text, entity_type, importance), by patterns; the place of a trained recognizer."""
-    kinds = [F.transform(T.found(text, p), lambda t, kind=kind, w=w: F.struct(t.alias("text"), F.lit(kind).alias("entity_type"), F.lit(w).alias("importance"))) for kind, (p, w) in patterns.items()]
-    return F.concat(*kinds)
+
+    def named(kind: str, weight: float):
+        return lambda t: F.named_struct(F.lit("text"), t, F.lit("entity_type"), F.lit(kind), F.lit("importance"), F.lit(weight))
+
+    return F.concat(*(F.transform(T.found(text, p), named(kind, w)) for kind, (p, w) in patterns.items()))
 
 
 def spans(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,7 +37,7 @@ def spans(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", tex
 def split_joint(entities: DataFrame, labels: tuple[str, ...] = ("PRECEDENT", "ORG")) -> DataFrame:
     """Entities of these labels that join names by " and " become a row per name with label ORG; others stay."""
     joint = F.col("label").isin(*labels) & F.col("text").contains(" and ")
-    parts = F.when(joint, F.transform(F.split("text", " and "), F.trim)).otherwise(F.array("text"))
+    parts = F.when(joint, F.transform(F.split("text", " and "), lambda t: F.trim(t))).otherwise(F.array("text"))
     others = [c for c in entities.columns if c not in ("text", "label")]
     return entities.select(*others, F.when(joint, "ORG").otherwise(F.col("label")).alias("label"), F.explode(parts).alias("text"))
 

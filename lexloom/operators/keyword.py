@@ -57,8 +57,8 @@ def bm25_hits(queries: DataFrame, index: DataFrame, sizes: DataFrame, profile: d
 
 
 def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
-    """The k best of each query, ties by chunk_id, with their rank from 1."""
-    order = Window.partitionBy("query_id").orderBy(F.col(by).desc(), "chunk_id")
+    """The k best of each query with their rank from 1; scores equal to nine decimals tie, by chunk_id."""
+    order = Window.partitionBy("query_id").orderBy(F.round(by, 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
