@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
 from .common import sliced
 
 #: Words of a seed; neighbouring seeds of which one is kept.
@@ -269,7 +270,8 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     seeds = rows.mapInArrow(find, "seed long, id long, place int")
     lead = F.col("place") >= 0
     firsts = seeds.groupBy("seed").agg(F.min(F.when(lead, F.col("id"))).alias("source"), F.min_by("place", F.when(lead, F.col("id"))).alias("other"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1").select("seed", "source", "other")
+    # written, not only named: a join with a table of its own can split the matches of a seed that very many texts hold
+    firsts = saved(firsts.where("n > 1").select("seed", "source", "other"), "firsts")
     place = F.when(lead, F.col("place")).otherwise(F.bitwise_not("place"))
     matches = seeds.join(firsts, "seed").select("id", "source", place.alias("place"), "other").where("id <> source or place <> other")
     found = matches.repartition("id").sortWithinPartitions("id", "source").mapInArrow(chain, "id long, source long, places array<int>, others array<int>")
