@@ -66,8 +66,8 @@ def paragraphs_kept(text: Column) -> Column:
 
 
 def numbered_sections(text: Column) -> Column:
-    """Spans from one "number." to the next; what stands before the first is dropped."""
-    pieces = F.split(F.regexp_replace(F.rtrim(paragraphs_kept(text)), r"(\d+\.)", f"{MARK}$1"), MARK)
+    """Spans from one "number." to the next or the end, before a last newline; what stands before the first is dropped."""
+    pieces = F.split(F.regexp_replace(F.regexp_replace(paragraphs_kept(text), r"\n\z", ""), r"(\d+\.)", f"{MARK}$1"), MARK)
     return F.slice(pieces, 2, F.size(pieces))
 
 

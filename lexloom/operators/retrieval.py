@@ -110,7 +110,7 @@ def prompt(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """One text per query: a block per source in order, joined by rules."""
     rows = results.join(chunks.select("chunk_id", "title", "text"), "chunk_id")
     names = F.array_join(F.transform(F.slice(entities.extracted(F.col("text")), 1, 3), lambda e: e["text"]), ", ")
-    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" ("), F.col("section"), F.lit(", "), F.format_string("%.2f", "score"), F.lit(")\n"), F.substring("text", 1, 800), F.lit("\nEntities: "), names)
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" ("), F.col("section"), F.lit(", "), F.format_string("%.2f", F.round("score", 2)), F.lit(")\n"), F.substring("text", 1, 800), F.lit("\nEntities: "), names)
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda b: b["block"])
     return rows.groupBy("query_id").agg(F.array_join(blocks, "\n---\n").alias("context"))
 

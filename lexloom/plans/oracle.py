@@ -204,7 +204,7 @@ ORACLE: dict[str, str] = {
     "section_offsets": f"WITH {STARTS} SELECT doc_id, section, pos FROM heading",
     "section_chunks": f"WITH {CHUNKS} SELECT * FROM chunks",
     "parent_children": f"WITH {CHUNKS} SELECT doc_id, count(*) AS n_children, string_agg(chunk_id, ',' ORDER BY chunk_ord) AS children FROM chunks WHERE chunk_ord > 0 GROUP BY doc_id",
-    "numbered_sections": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(rtrim(regexp_replace(regexp_replace(text, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g')), '(\d+\.)', chr(1) || '\1', 'g'), chr(1))[2:] AS l FROM documents)
+    "numbered_sections": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '\n\z', ''), '(\d+\.)', chr(1) || '\1', 'g'), chr(1))[2:] AS l FROM documents)
         SELECT doc_id, unnest(range(len(l))) AS ord, unnest(l) AS section FROM t""",
     "large_text_slices": "SELECT doc_id, i AS slice, i * 1000 AS start, substr(text, i * 1000 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 1000 + 1)) AS i FROM documents WHERE length(text) > 0)",
     "lexicon_hits": f"SELECT doc_id, len(l) AS hits, array_to_string(l, '|') AS terms FROM (SELECT doc_id, {contained('text', X.TERMS)} AS l FROM documents)",
@@ -265,7 +265,7 @@ ORACLE: dict[str, str] = {
     "answer_confidence": f"WITH {FUSED} SELECT query_id, {r6('least(avg(score) * 100, 100)')} AS confidence FROM results WHERE rank <= 3 GROUP BY query_id",
     "source_projection": f"""WITH {FUSED} SELECT query_id, rank, chunk_id, title, r.section, {r6('score')} AS score, substr(text, 1, 200) || '...' AS excerpt,
         array_to_string({entity_list('text')}[1:5], '|') AS entities FROM results r JOIN chunk USING (chunk_id)""",
-    "prompt_context": f"""WITH {FUSED} SELECT query_id, string_agg('[' || rank || '] ' || title || ' (' || r.section || ', ' || printf('%.2f', score) || ')' || chr(10) || substr(text, 1, 800) || chr(10) || 'Entities: '
+    "prompt_context": f"""WITH {FUSED} SELECT query_id, string_agg('[' || rank || '] ' || title || ' (' || r.section || ', ' || printf('%.2f', round(score, 2)) || ')' || chr(10) || substr(text, 1, 800) || chr(10) || 'Entities: '
         || array_to_string({entity_list('text')}[1:3], ', '), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM results r JOIN chunk USING (chunk_id) GROUP BY query_id""",
     "session_hybrid_topk": f"""WITH {SESSION} SELECT query_id, chunk_id, {r6('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY stage, r, chunk_id) AS rank FROM found QUALIFY rank <= {4 * K}""",
     "linear_rerank": f"""WITH {SESSION}, head AS (SELECT chunk_id, substr(text, 1, 512) AS text FROM chunk), {hashed('head', 'chunk_id', 'hv')},
