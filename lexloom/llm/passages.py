@@ -28,8 +28,10 @@ K, WINDOW = 8, 12
 LEAST_WORDS, ALIKE = 40, 0.8
 #: Cost of each word of a gap on either side, against K for a matched seed; words of a gap at most.
 GAP_COST, MOST_GAP = 0.15, 40
-#: An end is extended over single words that differ, as long as so many of the next words agree.
+#: An end is extended over single edits, as long as so many of the next words agree.
 LOOK = 4
+#: Words beyond a chain's ends that are looked at: seeds end less than this before a passage does.
+MARGIN = 3 * (K + WINDOW)
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = [pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, K + 1)]
@@ -158,11 +160,27 @@ def distance(a: list, b: list) -> int:
     return score
 
 
-def aligned(a: list, b: list, places: list[int], others: list[int], forward_stop: int, back_stop: int) -> tuple[int, int, int, int, int] | None:
+def extended(a: list, b: list) -> tuple[int, int, int]:
+    """How far two lists go on alike, in words of each, and the edits on the way: one at a time, before LOOK equal words."""
+    i = j = edits = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for di, dj in ((1, 1), (1, 0), (0, 1)):
+            after = a[i + di : i + di + LOOK]
+            if len(after) == LOOK and after == b[j + dj : j + dj + LOOK]:
+                i, j, edits = i + di, j + dj, edits + 1
+                break
+        else:
+            break
+    return i, j, edits
+
+
+def aligned(a: list, b: list, places: list[int], others: list[int]) -> tuple[int, int, int, int, int] | None:
     """The passage that a chain gives, as words [a0, a1) of a and [b0, b1) of b with its edits; None if its seeds aren't there.
 
-    a and b are words; b may lie anywhere in its document as long as `others` are places in it. Ends are extended up to
-    back_stop and forward_stop (in a).
+    a and b are words, and places and others places in them. Both ends are extended; see extended().
     """
     a0, b0 = places[0], others[0]
     a1, b1 = a0, b0
@@ -175,20 +193,10 @@ def aligned(a: list, b: list, places: list[int], others: list[int], forward_stop
         elif a[a1:p] != b[b1:o]:
             edits += distance(a[a1:p], b[b1:o])
         a1, b1 = p + K, o + K
-    while a1 < forward_stop and b1 < len(b):
-        if a[a1] == b[b1]:
-            a1, b1 = a1 + 1, b1 + 1
-        elif a1 + 1 + LOOK <= forward_stop and a[a1 + 1 : a1 + 1 + LOOK] == b[b1 + 1 : b1 + 1 + LOOK]:
-            a1, b1, edits = a1 + 1, b1 + 1, edits + 1
-        else:
-            break
-    while a0 > back_stop and b0 > 0:
-        if a[a0 - 1] == b[b0 - 1]:
-            a0, b0 = a0 - 1, b0 - 1
-        elif a0 - 1 - LOOK >= back_stop and b0 - 1 - LOOK >= 0 and a[a0 - 1 - LOOK : a0 - 1] == b[b0 - 1 - LOOK : b0 - 1]:
-            a0, b0, edits = a0 - 1, b0 - 1, edits + 1
-        else:
-            break
+    i, j, more = extended(a[a1 : a1 + MARGIN], b[b1 : b1 + MARGIN])
+    a1, b1, edits = a1 + i, b1 + j, edits + more
+    i, j, more = extended(a[max(0, a0 - MARGIN) : a0][::-1], b[max(0, b0 - MARGIN) : b0][::-1])
+    a0, b0, edits = a0 - i, b0 - j, edits + more
     return a0, a1, b0, b1, edits
 
 
@@ -199,7 +207,7 @@ def passages_of(text: str, chains: list[dict]) -> list[dict]:
     out = []
     for c in chains:
         other = c["words"].split(b" ") if c["words"] else []
-        found = aligned(own, other, c["places"], [o - c["shift"] for o in c["others"]], len(own), 0)
+        found = aligned(own, other, c["places"], [o - c["shift"] for o in c["others"]])
         if found is None:
             continue
         a0, a1, b0, b1, edits = found
@@ -211,8 +219,6 @@ def passages_of(text: str, chains: list[dict]) -> list[dict]:
 
 CHAIN = "source: bigint, shift: int, places: array<int>, others: array<int>, words: binary"
 PASSAGES = "array<struct<start: bigint, end: bigint, n_words: bigint, edits: bigint, source_id: bigint, source_word: bigint, source_words: bigint>>"
-#: Words of the other side that are taken along beyond a chain's ends: chains end less than this before a passage does.
-MARGIN = 3 * (K + WINDOW)
 
 
 def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
