@@ -24,7 +24,7 @@ from .bytepairs import pattern, pieces
 from .common import Recent, sliced, without_gc
 
 #: Entries of a worker's caches of encoded pieces and words, in each of their two parts.
-CACHE = 250_000
+CACHE = 150_000
 #: Pairs whose rank a worker remembers.
 PAIRS = 1_000_000
 

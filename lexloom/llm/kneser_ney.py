@@ -30,7 +30,7 @@ from .common import sliced
 #: The token that ends each text; no word is a space.
 END = b" "
 #: Text that a task scores at once, and words and pairs that it holds before it emits them.
-SLICE, WORDS, PAIRS = 12 << 20, 1_000_000, 6_000_000
+SLICE, WORDS, PAIRS = 6 << 20, 600_000, 4_000_000
 #: Ids are kept in 32 bits; the context before a text's first word has this one.
 START = (1 << 32) - 1
 
