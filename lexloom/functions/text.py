@@ -21,6 +21,11 @@ STATUTE = r"§\s*\d+|\bSection\s+\d+"
 REFERENCE = r"(?:section|article|clause)\s+\d+[a-z]?"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once for each row however often it is used, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
@@ -56,8 +61,12 @@ def section_starts(text: Column) -> Column:
     """Headings as an array of (pos, section) in order; pos counts characters from 0."""
     pieces = F.split(F.regexp_replace(text, HEADING, f"{MARK}$1$2"), MARK)
     name = lambda piece: F.regexp_replace(F.regexp_extract(F.lower(piece), r"^(fact|holding|reasoning|dissent|conclusion|background)", 1), "^fact$", "facts")
-    before = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda total, x: total + F.length(x))
-    return F.slice(F.transform(pieces, lambda piece, i: F.named_struct(F.lit("pos"), before(i), F.lit("section"), name(piece))), 2, F.size(pieces))
+
+    def starts(pieces: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda total, x: total + F.length(x))
+        return F.slice(F.transform(pieces, lambda piece, i: F.named_struct(F.lit("pos"), before(i), F.lit("section"), name(piece))), 2, F.size(pieces))
+
+    return let(pieces, starts)
 
 
 def paragraphs_kept(text: Column) -> Column:
@@ -68,7 +77,7 @@ def paragraphs_kept(text: Column) -> Column:
 def numbered_sections(text: Column) -> Column:
     """Spans from one "number." to the next or the end, before a last newline; what stands before the first is dropped."""
     pieces = F.split(F.regexp_replace(F.regexp_replace(paragraphs_kept(text), r"\n\z", ""), r"(\d+\.)", f"{MARK}$1"), MARK)
-    return F.slice(pieces, 2, F.size(pieces))
+    return let(pieces, lambda p: F.slice(p, 2, F.size(p)))
 
 
 def slices(text: Column, size: int) -> Column:

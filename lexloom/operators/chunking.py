@@ -24,7 +24,7 @@ def section_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     squeezed = docs.select(F.col(id_col).alias("doc"), F.col(title_col).alias("title"), T.squeeze(F.col(text_col)).alias("text"))
     rows = squeezed.select("doc", "title", "text", T.section_starts(F.col("text")).alias("starts"), T.sentences(F.col("text")).alias("sentences"))
     rows = rows.select("doc", "title", "text", "starts", F.posexplode("sentences").alias("idx", "sentence"))  # after it, starts would be worked out for each sentence
-    passed = F.transform(F.filter("starts", lambda s: s["pos"] <= F.instr(F.col("text"), F.col("sentence")) - 1), lambda s: s["section"])
+    passed = T.let(F.instr(F.col("text"), F.col("sentence")) - 1, lambda at: F.transform(F.filter("starts", lambda s: s["pos"] <= at), lambda s: s["section"]))
     rows = rows.select("doc", "title", "idx", "sentence", passed.alias("passed"))
     order = Window.partitionBy("doc").orderBy("idx")
     rows = rows.withColumn("section", F.coalesce(F.last(F.try_element_at("passed", F.lit(-1)), ignorenulls=True).over(order), F.lit("introduction")))
@@ -55,14 +55,16 @@ def _packed(pieces: Column, budget: int, overlap) -> Column:
     start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("now"), F.lit(0).alias("tokens"))
 
     def add(state: Column, piece: Column) -> Column:
-        n = T.word_count(piece)
-        full = (state["tokens"] + n > budget) & (F.size(state["now"]) > 0)
-        rest = overlap(state["now"])
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.concat(rest, F.array(piece))).otherwise(F.concat(state["now"], F.array(piece))).alias("now"),
-            F.when(full, count(rest) + n).otherwise(state["tokens"] + n).alias("tokens"),
-        )
+        def with_count(n: Column) -> Column:
+            full = (state["tokens"] + n > budget) & (F.size(state["now"]) > 0)
+            rest = overlap(state["now"])
+            return F.struct(
+                F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
+                F.when(full, F.concat(rest, F.array(piece))).otherwise(F.concat(state["now"], F.array(piece))).alias("now"),
+                F.when(full, count(rest) + n).otherwise(state["tokens"] + n).alias("tokens"),
+            )
+
+        return T.let(T.word_count(piece), with_count)
 
     return F.aggregate(pieces, start, add, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
 
