@@ -20,7 +20,7 @@ from ..session import saved
 from .components import components
 
 #: Trees; rows that a leaf should hold; half the width of the overlap at a split, in units of the vectors' length.
-TREES, LEAF_ROWS, SPILL = 8, 256, 0.03
+TREES, LEAF_ROWS, SPILL = 8, 256, 0.01
 #: The trees are fitted on about this many rows, chosen by hash; every row is indexed. A leaf has at least LEAST of them.
 SAMPLE_ROWS, LEAST = 32_768, 12
 #: Rows of one side that a task compares at once. Larger leaves are compared block by block, every block with every block.
