@@ -29,6 +29,7 @@ INLINE = frozenset(
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag ends these open elements, up to the elements that bound them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -273,6 +274,11 @@ def main_text(page: str | None) -> str:
     article = max((nodes[k] for k, w in weight.items() if w >= HOLDS * total), key=lambda x: x.depth)
     while article.parent is not None and article.tag not in FRAME and (any_open(article.parent, "article") or any_open(article.parent, "main") and article.tag in CLOSES_P - {"div", "section"}):
         article = article.parent  # a block inside an article stands for the whole article
+    while article.parent is not None and article.tag not in FRAME:  # a block beside nothing but headings stands below its headline
+        beside = [b for b in found if within(article.parent, b.node) and not within(article, b.node)]
+        if not beside or not all(b.node.tag in HEADINGS for b in beside):
+            break
+        article = article.parent
     if article.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and article.parent is not None:
         article = article.parent
     return "\n".join(b.text for b in found if within(article, b.node))
