@@ -256,7 +256,7 @@ ORACLE: dict[str, str] = {
     "centroid_by_label": f"WITH {VEC} SELECT label::BIGINT AS label, dim, {r6('avg(x)')} AS value FROM x GROUP BY ALL",
     "cosine_to_centroid": f"""WITH {VEC}, c AS (SELECT label, dim, avg(x) AS m FROM x GROUP BY ALL)
         SELECT vec_id, label::BIGINT AS label, {r6('sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m)))')} AS cosine FROM x JOIN c USING (label, dim) GROUP BY vec_id, label""",
-    "masked_mean_pool": f"""WITH {VEC}, c AS (SELECT label, dim, avg(x) AS m FROM x WHERE vec_id % 3 <> 0 GROUP BY ALL)
+    "masked_mean_pool": f"""WITH {VEC}, c AS (SELECT label, dim, avg(x) AS m FROM x WHERE vec_id IN (SELECT vec_id FROM v WHERE e[1] >= 0) GROUP BY ALL)
         SELECT label::BIGINT AS label, dim, {r6('m / sqrt(sum(m * m) OVER (PARTITION BY label))')} AS value FROM c""",
     "vector_norms": f"""WITH {VEC} SELECT vec_id, {r6('sqrt(list_dot_product(e, e))')} AS norm, {r6('list_dot_product(e, e)')} AS dot,
         {r6('list_dot_product(e, list_reverse(e)) / list_dot_product(e, e)')} AS cosine, {r6('e[1] / sqrt(list_dot_product(e, e))')} AS "first" FROM v""",
