@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import saved
+
+#: Queries that meet the chunks together.
+BLOCK = 1024
 
 #: Parameters of the profiles: the session profile's idf may be negative; the advanced one puts 0.25 of the mean instead.
 SESSION = {"k1": 1.2, "b": 0.75, "floor": None}
@@ -65,13 +69,17 @@ def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
 def bm25_top(queries: DataFrame, index: DataFrame, sizes: DataFrame, profile: dict, k: int) -> DataFrame:
     """The k best chunks of each query; chunks without any of its terms score 0 and fill up, or stand before negative ones.
 
-    Only the k smallest ids without a term can be among the best, so no more of them are scored for each query than a
-    partition's k smallest.
+    Only queries with fewer than k positive hits are filled. They meet all chunks in blocks of queries, and a task hands on
+    no more than its k smallest ids for each query.
     """
-    hits = bm25_hits(queries, index, sizes, profile)
-    every = sizes.select("chunk_id").join(F.broadcast(queries.select("query_id").distinct()))
+    hits = saved(bm25_hits(queries, index, sizes, profile), "hits")
+    full = hits.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    needing = saved(queries.select("query_id").distinct().join(full, "query_id", "left_anti"), "needing")
+    blocks = max(1, -(-needing.count() // BLOCK))
+    asked = needing.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("query_id").alias("ids"))
+    every = sizes.select("chunk_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(asked, "block").select("chunk_id", F.explode("ids").alias("query_id"))
     rest = top(every.join(hits, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0)), k).drop("rank")
-    return top(hits.unionByName(rest), k)
+    return top(hits.unionByName(rest.select(*hits.columns)), k)
 
 
 def token_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = 512) -> DataFrame:

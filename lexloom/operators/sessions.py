@@ -19,8 +19,13 @@ def appended(documents: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def info(documents: DataFrame, title_col: str = "title") -> DataFrame:
-    """Per session: document_count, and its titles sorted."""
-    return documents.groupBy("session_id").agg(F.count("*").alias("document_count"), F.array_join(F.sort_array(F.collect_set(title_col)), "|").alias("titles"))
+    """Per session: document_count, n_titles and the first title in order."""
+    return documents.groupBy("session_id").agg(F.count("*").alias("document_count"), F.count_distinct(title_col).alias("n_titles"), F.min(title_col).alias("first_title"))
+
+
+def titles(documents: DataFrame, title_col: str = "title") -> DataFrame:
+    """The distinct titles of each session, as rows: a session may hold any number."""
+    return documents.select("session_id", F.col(title_col).alias("title")).distinct()
 
 
 def status(documents: DataFrame) -> DataFrame:

@@ -280,7 +280,8 @@ ORACLE: dict[str, str] = {
     "summary_stats": f"""WITH s AS (SELECT doc_id, text, array_to_string({sentences('text')}[1:3], ' ') AS summary FROM documents)
         SELECT doc_id, len({sentences('summary')}) AS summary_sentences, len(string_split(summary, ' ')) AS summary_words, round((1 - coalesce(length(summary)::DOUBLE / nullif(length(text), 0), 1)) * 100)::BIGINT AS compression_pct FROM s""",
     "session_status": "SELECT count(DISTINCT doc_id % 4) AS n_sessions, count(*) AS total_documents FROM documents",
-    "session_info": "SELECT doc_id % 4 AS session_id, count(*) AS document_count, string_agg('doc ' || doc_id, '|' ORDER BY 'doc ' || doc_id) AS titles FROM documents GROUP BY ALL",
+    "session_info": "SELECT doc_id % 4 AS session_id, count(*) AS document_count, count(DISTINCT doc_id) AS n_titles, min('doc ' || doc_id) AS first_title FROM documents GROUP BY ALL",
+    "session_titles": "SELECT DISTINCT doc_id % 4 AS session_id, 'doc ' || doc_id AS title FROM documents",
     "session_lookup": f"""WITH n AS (SELECT doc_id % 4 AS session_id, count(*) AS document_count FROM documents GROUP BY ALL)
         SELECT request_id::BIGINT AS request_id, coalesce(r.session_id, -1)::BIGINT AS session_id, document_count IS NOT NULL AS found, coalesce(document_count, 0) AS document_count
         FROM {rows(X.REQUESTS, 'r', 'request_id, session_id')} LEFT JOIN n ON n.session_id = r.session_id""",

@@ -456,6 +456,11 @@ def session_info(spark, sf):
     return sessions.info(in_sessions(spark, sf))
 
 
+@query
+def session_titles(spark, sf):
+    return sessions.titles(in_sessions(spark, sf))
+
+
 @query
 def session_lookup(spark, sf):
     return sessions.lookup(X.literal(spark, X.REQUESTS, "request_id long, session_id long"), in_sessions(spark, sf)).fillna({"session_id": -1})
