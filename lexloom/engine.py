@@ -34,8 +34,7 @@ class Engine:
             kept = F.array_sort(F.collect_list(F.struct("idx", "sentence")))
             out = chosen.groupBy("doc_id").agg(F.count("*").alias("n_selected"), F.array_join(F.transform(kept, lambda s: s["sentence"]), " ").alias("summary"))
         else:
-            rows = chunking.sentence_rows(docs, T.long_sentences(F.col("text")))
-            out = summarize.summary(summarize.scored_sentences(rows, encoder=self.encoder), k)
+            out = summarize.summary(summarize.scored_sentences(docs, encoder=self.encoder), k)
         return out.withColumn("refined_summary", self.generator(F.col("summary")) if self.generator else F.col("summary"))
 
     def analyze(self, docs: DataFrame, k: int = 5) -> DataFrame:

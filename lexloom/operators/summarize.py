@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +18,9 @@ from ..functions import text as T
 from . import dense
 
 
+_TERM = re.compile(r"\w{2,}")
+
+
 def position_score(idx: Column, n: Column) -> Column:
     """1, .9, .8 for the first three, .6, .7, .8 for the last three, .5 between; the first rule wins in short texts."""
     return F.when(idx < 3, 1.0 - idx * 0.1).when(idx >= n - 3, 0.8 - (n - idx - 1) * 0.1).otherwise(F.lit(0.5))
@@ -26,40 +32,55 @@ def lexicon_score(sentence: Column, tiers: dict[float, list[str]] = L.TIERS) ->
     return F.coalesce(F.try_divide(total, F.sqrt(T.word_count(sentence))), F.lit(0.0))
 
 
-def tfidf(sentences: DataFrame, id_col: str = "doc_id", stop_words: list[str] | None = None, features: int = 100) -> DataFrame:
+def term_weights(sentences: list[str], stop_words: frozenset[str], features: int) -> list[float]:
+    """Each sentence's summed TF-IDF weights over the largest sum; see tfidf()."""
+    n = len(sentences)
+    if n < 2:
+        return [1.0] * n
+    counts = []
+    for s in sentences:
+        tokens = [t for t in _TERM.findall(s.lower()) if t not in stop_words]
+        counts.append(Counter([*tokens, *map(" ".join, zip(tokens, tokens[1:], strict=False))]))
+    totals, df = Counter(), Counter()
+    for c in counts:
+        totals.update(c)
+        df.update(c.keys())
+    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in sorted(totals, key=lambda t: (-totals[t], t.encode()))[:features]}
+    sums = []
+    for c in counts:
+        weights = [c[t] * idf[t] for t in c.keys() & idf.keys()]
+        sums.append(math.fsum(weights) / math.sqrt(math.fsum(w * w for w in weights)) if weights else 0.0)
+    largest = max(sums)
+    return [s / largest for s in sums] if largest else [1.0] * n
+
+
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: list[str] | None = None, features: int = 100) -> DataFrame:
     """doc, idx, tfidf: each sentence's summed weights over its document's largest sum.
 
     The corpus is the document's sentences. Terms are words of two or more characters that aren't stop words, and pairs
     of neighbours among them; the most frequent ones of the document count, ties in order. Weights are counts times
     ln((1 + n) / (1 + df)) + 1, of unit length per sentence. Documents of one sentence, and those without terms, get 1.
     """
-    stop = L.STOP_WORDS if stop_words is None else stop_words
-    tokens = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~t.isin(*stop))
-    pairs = F.when(F.size("tokens") > 1, F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    rows = sentences.select(F.col(id_col).alias("doc"), "idx", tokens.alias("tokens"))
-    counts = rows.select("doc", "idx", F.explode(F.concat("tokens", pairs)).alias("term")).groupBy("doc", "idx", "term").agg(F.count("*").alias("tf"))
-    sizes = rows.groupBy("doc").agg(F.count("*").alias("n"))
-    terms = counts.groupBy("doc", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    terms = terms.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("total").desc(), "term"))).where(F.col("r") <= features)
-    weighted = counts.join(terms.select("doc", "term", "df"), ["doc", "term"]).join(sizes, "doc").withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1))
-    sums = weighted.groupBy("doc", "idx").agg((F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("s"))
-    out = rows.select("doc", "idx").join(sizes, "doc").join(sums, ["doc", "idx"], "left")
-    largest = F.max("s").over(Window.partitionBy("doc"))
-    score = F.when((F.col("n") < 2) | largest.isNull(), F.lit(1.0)).otherwise(F.coalesce(F.col("s") / largest, F.lit(0.0)))
-    return out.select(F.col("doc").alias(id_col), "idx", score.alias("tfidf"))
-
-
-def scored_sentences(sentences: DataFrame, id_col: str = "doc_id", tiers: dict[float, list[str]] = L.TIERS, encoder: Callable = dense.hashed_terms, weights: dict[str, float] = L.SENTENCE_WEIGHTS) -> DataFrame:
+    stop = frozenset(L.STOP_WORDS if stop_words is None else stop_words)
+    return per_document(docs, lambda sentences: list(enumerate(term_weights(sentences, stop, features))), "idx long, tfidf double", id_col, text_col)
+
+
+def scored_sentences(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers: dict[float, list[str]] = L.TIERS, encoder: Callable[[str], list[float]] = dense.hashed_terms, weights: dict[str, float] = L.SENTENCE_WEIGHTS
+) -> DataFrame:
     """Sentences with n, position, tfidf, lexicon, semantic (cosine with the document's centroid) and combined."""
-    # vectors for one pass over a document's sentences: the centroid is of the raw vectors
-    rows = dense.embedded(sentences.select(F.col(id_col).alias("doc"), "idx", "sentence"), "sentence", "vector", encoder, unit=False)
-    rows = rows.withColumn("key", F.col("idx"))
-    cos = dense.centroid_cosine(rows, "key", "doc", "vector").withColumnRenamed("key", "idx").withColumnRenamed("cosine", "semantic")
-    n = F.count("*").over(Window.partitionBy("doc"))
-    out = rows.select("doc", "idx", "sentence").withColumn("n", n).join(tfidf(sentences, id_col).withColumnRenamed(id_col, "doc"), ["doc", "idx"]).join(cos, ["doc", "idx"])
-    out = out.withColumn("position", position_score(F.col("idx"), F.col("n"))).withColumn("lexicon", lexicon_score(F.col("sentence"), tiers))
-    combined = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
-    return out.withColumn("combined", combined).withColumnRenamed("doc", id_col)
+    stop = frozenset(L.STOP_WORDS)
+
+    def work(sentences: list[str]) -> list[tuple]:
+        x = np.array([encoder(s) for s in sentences], np.float64)
+        centre = x.mean(axis=0)
+        size = np.linalg.norm(x, axis=1) * np.linalg.norm(centre)
+        semantic = np.divide(x @ centre, size, out=np.zeros(len(x)), where=size > 0).tolist()
+        return list(zip(range(len(x)), [len(x)] * len(x), sentences, term_weights(sentences, stop, 100), semantic, strict=True))
+
+    rows = per_document(docs, work, "idx long, n long, sentence string, tfidf double, semantic double", id_col, text_col)
+    rows = rows.withColumn("position", position_score(F.col("idx"), F.col("n"))).withColumn("lexicon", lexicon_score(F.col("sentence"), tiers))
+    return rows.withColumn("combined", sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)))
 
 
 def summary(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:

@@ -409,11 +409,11 @@ def position_scores(spark, sf):
 
 @query
 def tfidf_sentence(spark, sf):
-    return summarize.tfidf(sentence_table(spark, sf))
+    return summarize.tfidf(documents(spark, sf))
 
 
 def scored(spark, sf):
-    return summarize.scored_sentences(saved(sentence_table(spark, sf), "sentences"), tiers=X.TIERS)
+    return summarize.scored_sentences(documents(spark, sf), tiers=X.TIERS)
 
 
 @query
