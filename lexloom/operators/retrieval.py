@@ -168,3 +168,19 @@ def within_budget(contexts: DataFrame, most_words: int = 3000) -> DataFrame:
     n = T.word_count(F.col("text")).cast("long")
     before = F.sum(n).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     return contexts.withColumn("words", n).withColumn("words_before", F.coalesce(before, F.lit(0))).where(F.col("words_before") <= most_words)
+
+
+def cross_reranked(results: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, encoder=dense.hashed_terms, head: int = 400) -> DataFrame:
+    """Results by a pair's own score: the sigmoid of the mean of the vector of the question with the chunk's first characters."""
+    rows = results.select("query_id", "chunk_id").join(queries.select("query_id", F.col("text").alias("question")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    rows = rows.select("query_id", "chunk_id", F.concat("question", F.lit(" "), F.substr("text", F.lit(1), F.lit(head))).alias("pair"))
+    rows = dense.embedded(rows, "pair", "vector", encoder, unit=False).drop("pair")
+    mean = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x) / F.size("vector")
+    return keyword.top(rows.select("query_id", "chunk_id", (1 / (1 + F.exp(-mean))).alias("score")), k)
+
+
+def token_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=dense.hashed_terms, most: int = 512) -> DataFrame:
+    """A row for each of a text's first tokens with its own vector: id, idx, token, vector; special tokens are left out."""
+    tokens = F.filter(F.slice(keyword.terms(F.col(text_col)), 1, most), lambda t: ~t.isin("[cls]", "[sep]", "[pad]"))
+    rows = docs.select(id_col, tokens.alias("tokens")).select(id_col, F.posexplode("tokens").alias("idx", "token"))
+    return dense.embedded(rows, "token", "vector", encoder)

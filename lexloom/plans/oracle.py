@@ -272,6 +272,12 @@ ORACLE: dict[str, str] = {
         cs AS (SELECT f.query_id, f.chunk_id, sum(a.v * h.v) AS c FROM found f JOIN av a USING (query_id) JOIN hv h ON h.chunk_id = f.chunk_id AND h.b = a.b GROUP BY ALL),
         s AS (SELECT query_id, chunk_id, 0.6 * score + 0.4 * coalesce(c, 0) AS score FROM found LEFT JOIN cs USING (query_id, chunk_id))
         SELECT query_id, chunk_id, {r6('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s QUALIFY rank <= {2 * K}""",
+    "cross_rerank": f"""WITH {TERM_QUERIES}, {index('documents', 'doc_id')}, {bm25('asked', 'okapi', 1.5, K)},
+        pair AS (SELECT query_id, chunk_id, unnest({words("lower(a.text || ' ' || substr(d.text, 1, 400))")}) AS t FROM hits JOIN asked a USING (query_id) JOIN documents d ON doc_id = chunk_id),
+        m AS (SELECT query_id, chunk_id, 1 / (1 + exp(-sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::BIGINT < 8 THEN 1 ELSE -1 END)::DOUBLE / 64)) AS score FROM pair GROUP BY ALL)
+        SELECT query_id::BIGINT AS query_id, chunk_id, {r6('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM m""",
+    "token_vectors": f"""SELECT item_id, idx, token, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS bucket, CASE WHEN ('0x' || substr(md5(token), 9, 1))::BIGINT < 8 THEN 1.0 ELSE 0.0 END::DOUBLE AS most
+        FROM (SELECT item_id, unnest(range(least(len(l), 512))) AS idx, unnest(l[1:512]) AS token FROM (SELECT item_id, {words('lower(text)')} AS l FROM benchmark))""",
     "position_scores": f"WITH {SENT} SELECT doc_id, idx, {r6(position('idx', 'count(*) OVER (PARTITION BY doc_id)'))} AS score FROM sent",
     "tfidf_sentence": f"WITH {TFIDF} SELECT doc_id, idx, {r6('tfidf')} AS tfidf FROM tfidf",
     "sentence_scores": f"WITH {SCORED} SELECT doc_id, idx, {', '.join(f'{r6(c)} AS {c}' for c in ('position', 'tfidf', 'lexicon', 'semantic', 'combined'))} FROM comb",

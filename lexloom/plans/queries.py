@@ -379,6 +379,20 @@ def linear_rerank(spark, sf):
     return retrieval.reranked(found, dense.embedded(queries.select("query_id", "text"), "text", "vector"), heads, 2 * K)
 
 
+@query
+def cross_rerank(spark, sf):
+    hits = ranked_by_words(spark, sf, keyword.OKAPI)
+    chunks = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.cross_reranked(hits, X.questions(spark, X.TERM_QUERIES), chunks, K)
+
+
+@query
+def token_vectors(spark, sf):
+    rows = retrieval.token_vectors(table(spark, sf, "benchmark"), "item_id")
+    place = F.array_position(F.transform("vector", lambda x: (x != 0).cast("int")), 1) - 1
+    return rows.select("item_id", "idx", "token", place.alias("bucket"), F.array_max("vector").alias("most"))
+
+
 def result_sentences(spark, sf):
     """Sentences of the five best documents of each term query with their similarity to it."""
     hits = ranked_by_words(spark, sf, keyword.SESSION).where("rank <= 5")

@@ -3,10 +3,12 @@
 import io
 import zipfile
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.engine import Engine
-from lexloom.sources import files, store
+from lexloom.sources import files, images, store
 from lexloom.streaming import ingest
 
 
@@ -40,6 +42,22 @@ def test_own_extractor_and_null_content(spark):
     assert not got["y.txt"].success
 
 
+def test_images():
+    page = np.full((20, 30), 200, np.uint8)
+    page[5:15, 10:14] = 20  # a stroke
+    page[2, 25] = 0  # a speck
+    content = b"P5\n# made here\n30 20\n255\n" + page.tobytes()
+    ready = images.prepared(images.decoded_pnm(content))
+    assert ready[10, 11] == 0 and ready[2, 25] == 255 and set(np.unique(ready)) == {0, 255}
+    colour = images.decoded_pnm(b"P6 1 1 255\n\xff\x00\x00")
+    assert colour.shape == (1, 1, 3)
+    extract = images.image_extractor(lambda image: [("one", 80), ("bad", -1), ("two", 40)])
+    assert extract(content)["text"] == "one two" and extract(content)["confidence"] == pytest.approx(0.6)
+    paged = images.paged_extractor(lambda b: [("page one", b""), (" ", content)], extract)
+    got = paged(b"")
+    assert (got["text"], got["ocr_pages"], got["pages_processed"]) == ("page one\n\none two", 1, 2) and got["confidence"] == pytest.approx(0.6)
+
+
 def test_store_prunes_by_session(spark, tmp_path):
     rows = spark.range(10).withColumn("session_id", (F.col("id") % 2).cast("string"))
     store.save_index({"t": rows}, str(tmp_path))
