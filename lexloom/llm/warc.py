@@ -306,17 +306,16 @@ class Writer(DataSourceArrowWriter):
 
     def write(self, iterator) -> WriterCommitMessage:
         store, names, f, size = Store(self.path), [], None, 0
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if f is None or size >= FILE_BYTES:
-                    if f:
-                        f.close()
-                    names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.compressed)
-                    f, size = store.create(names[-1]), 0
-                raw = record(row)
-                raw = member(raw) if self.compressed else raw
-                f.write(raw)
-                size += len(raw)
+        for row in (row for batch in iterator for i in range(0, batch.num_rows, 64) for row in batch.slice(i, 64).to_pylist()):
+            if f is None or size >= FILE_BYTES:
+                if f:
+                    f.close()
+                names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.compressed)
+                f, size = store.create(names[-1]), 0
+            raw = record(row)
+            raw = member(raw) if self.compressed else raw
+            f.write(raw)
+            size += len(raw)
         if f:
             f.close()
         return Written(names)
