@@ -50,7 +50,7 @@ NOT_TEXT = frozenset(
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOT_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adslot sponsor sponsored sponsors promo promos promotion banner banners
-    nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager skip toc topbar toolbar masthead header footer
+    nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager skip toc topbar toolbar masthead footer
     sidebar sidebars side rail aside widget widgets related recommended recommendations popular trending
     comment comments commentlist respond replies reply disqus discussion feedback
     notice notices cookie cookies consent gdpr popup modal overlay alert disclaimer legal copyright newsletter subscribe subscription signup login
@@ -71,6 +71,7 @@ _BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_ABOUT = re.compile(r"(no|not|has|with|without)[-_]", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；]")
 
 
@@ -108,11 +109,21 @@ def excluded(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in FRAME and any(w.lower() in NOT_NAMES for w in _WORD.findall(_CAMEL.sub(" ", value))):
+        if name in ("class", "id") and tag not in FRAME and named(value) & NOT_NAMES:
             return True
     return False
 
 
+def named(value: str) -> set[str]:
+    """The words of a class or id, without those of names like no-sidebar, which speak of something else."""
+    return {w.lower() for name in value.split() if not _ABOUT.match(name) for w in _WORD.findall(_CAMEL.sub(" ", name))}
+
+
+def heads_page(tag: str, attributes: str) -> bool:
+    """Whether an element is a header, which is the page's own unless an article holds it."""
+    return tag == "header" or any("header" in named(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id"))
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, each at its innermost block element; text that is never article text is left out."""
     root = Node("", None, False, "", 0)
@@ -197,7 +208,7 @@ def blocks(page: str) -> list[Block]:
             close_to(*ENDS[tag])
         if m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        top = Node(tag, top, top.out or excluded(tag, m[3]) or tag == "header" and not any_open(top, "article") and not any_open(top, "main"), f"{top.path}/{tag}", top.depth + 1)
+        top = Node(tag, top, top.out or excluded(tag, m[3]) or tag not in FRAME and heads_page(tag, m[3]) and not any_open(top, "article") and not any_open(top, "main"), f"{top.path}/{tag}", top.depth + 1)
         inline = [x for x in inline if within(x[1], top)]
         block = None
     return [b for b in found if b.text]

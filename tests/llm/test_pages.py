@@ -84,3 +84,8 @@ def test_reading_foreign_archives(tmp_path, kind):
         seen.append((head.columns()["record_type"], None if block is None else warc.payload_of(head, block)))
     assert seen == [("warcinfo", None), ("response", b"a\r\n\r\nWARC/1.1 b"), ("resource", b"")]
     assert kind == "plain" or gzip.decompress(whole) == b"".join(raws)
+
+
+def test_names_that_speak_of_something_else():
+    page = f"<body><div class='site-header'><p>Our site, and its motto, in words.</p></div><div class='content has-sidebar'><article><div class='entry-header'><h1>Title</h1></div>{ARTICLE}</article></div></body>"
+    assert html_text.main_text(page).split("\n")[0] == "Title" and len(html_text.main_text(page).split("\n")) == 7
