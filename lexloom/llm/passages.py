@@ -4,7 +4,8 @@ Seeds are runs of K words, chosen by winnowing: of every WINDOW neighbouring run
 exact passage of K + WINDOW - 1 words has one wherever it stands. Each seed is joined to the first document that has it
 (not to every document), so a passage in n documents gives n - 1 matches per seed and not n * n. A document's matches
 with one other document are chained in order on both sides, with a cost for gaps, through a Fenwick tree of prefix
-maxima; a chain is then aligned word by word, and is a passage if it is long and alike enough.
+maxima; a chain is then aligned word by word and cut where that is poor, and its parts are passages if they are long and
+alike enough.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ LEAST_WORDS, ALIKE = 40, 0.8
 GAP_COST, MOST_GAP = 0.15, 40
 #: An end is extended over single edits, as long as so many of the next words agree.
 LOOK = 4
+#: An alignment is cut where more words than this in a row have no equal on the other side; see parted().
+POOR = 4
 #: Words beyond a chain's ends that are looked at: seeds end less than this before a passage does.
 MARGIN = 3 * (K + WINDOW)
 
@@ -160,59 +163,181 @@ def distance(a: list, b: list) -> int:
     return score
 
 
-def extended(a: list, b: list) -> tuple[int, int, int]:
-    """How far two lists go on alike, in words of each, and the edits on the way: one at a time, before LOOK equal words."""
-    i = j = edits = 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            i, j = i + 1, j + 1
+def extended(a: list, b: list) -> list[tuple[int, int, int]]:
+    """Runs of equal words (places in each, length) by which two lists go on alike: over one edit at a time, before LOOK equal words."""
+    i = j = n = 0
+    out = []
+    while i + n < len(a) and j + n < len(b):
+        if a[i + n] == b[j + n]:
+            n += 1
             continue
         for di, dj in ((1, 1), (1, 0), (0, 1)):
-            after = a[i + di : i + di + LOOK]
-            if len(after) == LOOK and after == b[j + dj : j + dj + LOOK]:
-                i, j, edits = i + di, j + dj, edits + 1
+            after = a[i + n + di : i + n + di + LOOK]
+            if len(after) == LOOK and after == b[j + n + dj : j + n + dj + LOOK]:
+                out.append((i, j, n))
+                i, j, n = i + n + di, j + n + dj, 0
                 break
         else:
             break
-    return i, j, edits
+    return [x for x in [*out, (i, j, n)] if x[2]]
+
+
+def between(a: list, b: list) -> list[tuple[int, int, int]]:
+    """Runs of equal words (places in each, length) in an alignment of two lists with the fewest edits."""
+    short = min(len(a), len(b))
+    head = next((i for i in range(short) if a[i] != b[i]), short)
+    tail = next((i for i in range(short - head) if a[-1 - i] != b[-1 - i]), short - head)
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    out = [(head + i, head + j, 1) for i, j in _pairs(x, y)] if x and y and not set(x).isdisjoint(y) else []
+    return [r for r in [(0, 0, head), *out, (len(a) - tail, len(b) - tail, tail)] if r[2]]
+
+
+def _pairs(x: list, y: list) -> list[tuple[int, int]]:
+    rows = [list(range(len(y) + 1))]
+    for i, u in enumerate(x, 1):
+        last, row = rows[-1], [i]
+        for j, v in enumerate(y, 1):
+            row.append(last[j - 1] if u == v else 1 + min(last[j - 1], last[j], row[j - 1]))
+        rows.append(row)
+    i, j, out = len(x), len(y), []
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i][j] == 1 + rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif rows[i][j] == 1 + rows[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
 
 
-def aligned(a: list, b: list, places: list[int], others: list[int]) -> tuple[int, int, int, int, int] | None:
-    """The passage that a chain gives, as words [a0, a1) of a and [b0, b1) of b with its edits; None if its seeds aren't there.
+def aligned(a: list, b: list, places: list[int], others: list[int]) -> list[tuple[int, int, int]] | None:
+    """The runs of equal words (places in a and b, length) that a chain gives; None if its seeds aren't there.
 
     a and b are words, and places and others places in them. Both ends are extended; see extended().
     """
+    if any(o < 0 or len(a) < p + K or a[p : p + K] != b[o : o + K] for p, o in zip(places, others, strict=True)):
+        return None
     a0, b0 = places[0], others[0]
     a1, b1 = a0, b0
-    edits = 0
+    left = extended(a[max(0, a0 - MARGIN) : a0][::-1], b[max(0, b0 - MARGIN) : b0][::-1])
+    found = [(a0 - i - n, b0 - j - n, n) for i, j, n in reversed(left)]
     for p, o in zip(places, others, strict=True):
-        if o < 0 or a[p : p + K] != b[o : o + K] or len(a) < p + K:
-            return None
-        if p < a1 or o < b1:  # seeds overlap: the gap is what one side has more
-            edits += abs((p - a1) - (o - b1))
-        elif a[a1:p] != b[b1:o]:
-            edits += distance(a[a1:p], b[b1:o])
+        if p >= a1 and o >= b1:
+            found += [(a1 + i, b1 + j, n) for i, j, n in between(a[a1:p], b[b1:o])]
+        inside = max(0, a1 - p, b1 - o)  # seeds may overlap
+        found.append((p + inside, o + inside, K - inside))
         a1, b1 = p + K, o + K
-    i, j, more = extended(a[a1 : a1 + MARGIN], b[b1 : b1 + MARGIN])
-    a1, b1, edits = a1 + i, b1 + j, edits + more
-    i, j, more = extended(a[max(0, a0 - MARGIN) : a0][::-1], b[max(0, b0 - MARGIN) : b0][::-1])
-    a0, b0, edits = a0 - i, b0 - j, edits + more
-    return a0, a1, b0, b1, edits
+    found += [(a1 + i, b1 + j, n) for i, j, n in extended(a[a1 : a1 + MARGIN], b[b1 : b1 + MARGIN])]
+    runs: list[tuple[int, int, int]] = []
+    for i, j, n in found:
+        if runs and n > 0 and runs[-1][0] + runs[-1][2] == i and runs[-1][1] + runs[-1][2] == j:
+            runs[-1] = (*runs[-1][:2], runs[-1][2] + n)
+        elif n > 0:
+            runs.append((i, j, n))
+    return runs
+
+
+#: Part of an alignment: words [a0, a1) of one side, [b0, b1) of the other, and the edits.
+Part = tuple[int, int, int, int, int]
+
+
+def joined(x: Part, y: Part) -> Part:
+    return x[0], y[1], x[2], y[3], x[4] + y[4] + gap(x, y)
+
+
+def gap(x: Part, y: Part) -> int:
+    return max(y[0] - x[1], y[2] - x[3])
+
+
+def alike(x: Part) -> int:
+    """Equal words, counted on the longer side."""
+    return max(x[1] - x[0], x[3] - x[2]) - x[4]
+
+
+def passes(x: Part) -> bool:
+    return min(x[1] - x[0], x[3] - x[2]) >= LEAST_WORDS and alike(x) >= ALIKE * max(x[1] - x[0], x[3] - x[2])
+
+
+def longest(parts: list[Part]) -> list[tuple[Part, bool]]:
+    """Parts in order, from each that no passage holds yet the longest row of neighbours that is a passage together, or itself; and which."""
+    if not parts:
+        return []
+    a0, a1, b0, b1, own = np.array(parts).T
+    edits = np.cumsum(own + np.array([0, *map(gap, parts, parts[1:])]))
+    ends = np.maximum(a1 - a0, b1 - b0) - own >= LOOK
+    out, i = [], 0
+    while i < len(parts):
+        a, b = a1[i:] - a0[i], b1[i:] - b0[i]
+        longer, e = np.maximum(a, b), edits[i:] - edits[i] + own[i]
+        good = np.flatnonzero((np.minimum(a, b) >= LEAST_WORDS) & (longer - e >= ALIKE * longer) & ends[i:]) if ends[i] else ()
+        if len(good):
+            j = i + int(good[-1])
+            out.append(((int(a0[i]), int(a1[j]), int(b0[i]), int(b1[j]), int(e[good[-1]])), True))
+            i = j + 1
+        else:
+            out.append((parts[i], False))
+            i += 1
+    return out
+
+
+def parted(runs: list[tuple[int, int, int]]) -> list[Part]:
+    """The passages of an alignment. It is cut at gaps of more than POOR words, and what is a passage by itself stays apart from the next.
+
+    What is none by itself is joined over such gaps if that makes a passage, or to a neighbour that is one if it brings more
+    equal words than ALIKE asks for the gap's edits. Ends of fewer than LOOK words behind an edit are left out.
+    """
+    rows: list[list[Part]] = []
+    for i, j, n in runs:
+        part = (i, i + n, j, j + n, 0)
+        if rows and gap(rows[-1][-1], part) <= POOR:
+            rows[-1].append(part)
+        else:
+            rows.append([part])
+    parts: list[tuple[Part, bool]] = []
+    for row in rows:
+        while len(row) > 1 and alike(row[0]) < LOOK:
+            del row[0]
+        while len(row) > 1 and alike(row[-1]) < LOOK:
+            del row[-1]
+        whole = row[0]
+        for part in row[1:]:
+            whole = joined(whole, part)
+        parts += [(whole, True)] if passes(whole) else longest(row)
+    groups: list[tuple[Part, bool]] = []
+    waiting: list[Part] = []
+    for part, good in [*parts, ((0, 0, 0, 0, 0), True)]:
+        if good:
+            groups += [*longest(waiting), (part, True)]
+            waiting = []
+        else:
+            waiting.append(part)
+    del groups[-1]
+    out: list[tuple[Part, bool]] = []
+    for part, good in groups:  # a good one takes those before it, and those after it join it
+        while out and (good and not out[-1][1] and _gains(out[-1][0], part, out[-1][0])):
+            part = joined(out.pop()[0], part)
+        if out and not good and out[-1][1] and _gains(out[-1][0], part, part):
+            out[-1] = (joined(out[-1][0], part), True)
+        else:
+            out.append((part, good))
+    return [part for part, good in out if good]
+
+
+def _gains(x: Part, y: Part, new: Part) -> bool:
+    return (1 - ALIKE) * alike(new) > ALIKE * (new[4] + gap(x, y)) and passes(joined(x, y))
 
 
 def passages_of(text: str, chains: list[dict]) -> list[dict]:
-    """Of a document's chains those that are passages: characters, words and edits on its side, and the other's words."""
+    """Of a document's chains the passages: characters, words and edits on its side, and the other's words."""
     own = words(text)
     spans = [m.span() for m in _WORD.finditer(text)]
     out = []
     for c in chains:
         other = c["words"].split(b" ") if c["words"] else []
-        found = aligned(own, other, c["places"], [o - c["shift"] for o in c["others"]])
-        if found is None:
-            continue
-        a0, a1, b0, b1, edits = found
-        longer = max(a1 - a0, b1 - b0)
-        if min(a1 - a0, b1 - b0) >= LEAST_WORDS and longer - edits >= ALIKE * longer:
+        for a0, a1, b0, b1, edits in parted(aligned(own, other, c["places"], [o - c["shift"] for o in c["others"]]) or []):
             out.append({"start": spans[a0][0], "end": spans[a1 - 1][1], "n_words": a1 - a0, "edits": edits, "source_id": c["source"], "source_word": b0 + c["shift"], "source_words": b1 - b0})
     return sorted(out, key=lambda x: (x["start"], x["end"], x["source_id"], x["source_word"]))
 

@@ -34,6 +34,31 @@ def test_planted_passages(spark):
     assert all(r.n_chars == len(r.text) for r in kept.values())
 
 
+def test_unshared_words_between_passages(spark):
+    """Parts that are passages by themselves are found, and what stands between them on one side or both stays."""
+    rng = random.Random(6)
+    cases = [(50, 26, 26), (40, 22, 22), (50, 30, 30), (60, 25, 0), (60, 0, 25), (45, 47, 47)]
+    texts, own = [], {}
+    for i, (n, mine, theirs) in enumerate(cases):
+        for k in range(10):
+            x, y, d = prose(rng, n), prose(rng, n), 1000 + 10 * i + k
+            own[d] = prose(rng, mine)
+            texts += [(10 * i + k, f"{prose(rng, 20)} {x} {prose(rng, theirs)} {y}"), (d, f"{x} {own[d]} {y} {prose(rng, 9)} end")]
+    docs = documents(spark, texts)
+    got = passages.shared_passages(docs).collect()
+    for i, (n, _, _) in enumerate(cases):
+        for k in range(10):
+            found = sorted((r.start, r.n_words, r.source_id) for r in got if r.doc_id == 1000 + 10 * i + k)
+            # a chain needs two seeds, and 40 words hold two but where they stand badly
+            assert [(x[1], x[2]) for x in found] == [(n, 10 * i + k)] * 2, cases[i]
+    kept = {r.doc_id: r.text for r in passages.without_passages(docs).collect()}
+    assert all(kept[d].startswith(words) and len(kept[d].split()) == len(words.split()) + 10 for d, words in own.items())
+    # an edited middle doesn't split what is no passage in two
+    x, y = prose(rng, 39), prose(rng, 39)
+    one = passages.shared_passages(documents(spark, [(1, f"{x} {prose(rng, 10)} {y}"), (2, f"{x} {prose(rng, 10)} {y}")])).collect()
+    assert [(r.n_words, r.edits) for r in one] == [(88, 10)]
+
+
 def test_copies_and_repeats(spark):
     rng = random.Random(2)
     text, line = prose(rng, 120), prose(rng, 45)
