@@ -24,17 +24,17 @@ from ..session import saved
 from .common import sliced
 
 #: Words of a seed; neighbouring seeds of which one is kept.
-K, WINDOW = 8, 12
+K, WINDOW = 4, 4
 #: Words of a passage at least, and how alike the two sides are at least (1 - edits / words of the longer side).
 LEAST_WORDS, ALIKE = 40, 0.8
 #: Cost of each word of a gap on either side, against K for a matched seed; words of a gap at most.
-GAP_COST, MOST_GAP = 0.15, 40
+GAP_COST, MOST_GAP = 0.045, 40
 #: An end is extended over single edits, as long as so many of the next words agree.
 LOOK = 4
 #: An alignment is cut where more words than this in a row have no equal on the other side; see parted().
 POOR = 4
-#: Words beyond a chain's ends that are looked at: seeds end less than this before a passage does.
-MARGIN = 3 * (K + WINDOW)
+#: Words beyond a chain's ends that are looked at, as edits may leave a passage's ends without seeds.
+MARGIN = 60
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = [pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, K + 1)]
@@ -330,15 +330,45 @@ def _gains(x: Part, y: Part, new: Part) -> bool:
     return (1 - ALIKE) * alike(new) > ALIKE * (new[4] + gap(x, y)) and passes(joined(x, y))
 
 
+def connected(alignments: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Alignments (source, runs), those of one source that run into each other taken together."""
+    out: list[tuple[int, list[tuple[int, int, int]]]] = []
+    for source, runs in sorted(alignments):
+        if out and out[-1][0] == source:
+            own = out[-1][1]
+            a1, b1 = own[-1][0] + own[-1][2], own[-1][1] + own[-1][2]
+            after = [(i + k, j + k, n - k) for i, j, n in runs for k in [max(0, a1 - i, b1 - j)] if k < n]
+            i, j, _ = runs[0]
+            within = runs[-1][0] + runs[-1][2] <= a1 and runs[-1][1] + runs[-1][2] <= b1
+            if i <= a1 and own[0][1] <= j <= b1 and (abs(after[0][0] - a1 - after[0][1] + b1) <= POOR if after else within):
+                own += after
+                continue
+        out.append((source, list(runs)))
+    return out
+
+
 def passages_of(text: str, chains: list[dict]) -> list[dict]:
     """Of a document's chains the passages: characters, words and edits on its side, and the other's words."""
     own = words(text)
     spans = [m.span() for m in _WORD.finditer(text)]
-    out = []
+    alignments = []
     for c in chains:
         other = c["words"].split(b" ") if c["words"] else []
-        for a0, a1, b0, b1, edits in parted(aligned(own, other, c["places"], [o - c["shift"] for o in c["others"]]) or []):
-            out.append({"start": spans[a0][0], "end": spans[a1 - 1][1], "n_words": a1 - a0, "edits": edits, "source_id": c["source"], "source_word": b0 + c["shift"], "source_words": b1 - b0})
+        runs = aligned(own, other, c["places"], [o - c["shift"] for o in c["others"]]) or []
+        if runs:
+            alignments.append((c["source"], [(i, j + c["shift"], n) for i, j, n in runs]))
+    found = {(source, a0, -a1, b0, b1, edits) for source, runs in connected(alignments) for a0, a1, b0, b1, edits in parted(runs)}
+    out: list[dict] = []
+    reach: list[tuple[int, int, int]] = []  # of the source: where passages end, in words, and their other side
+    source = None
+    for key, a0, a1, b0, b1, edits in sorted(found):
+        if key != source:
+            source, reach = key, []
+        reach = [r for r in reach if r[0] > a0]
+        if any(-a1 <= end and c0 <= b0 and b1 <= c1 for end, c0, c1 in reach):
+            continue
+        reach.append((-a1, b0, b1))
+        out.append({"start": spans[a0][0], "end": spans[-a1 - 1][1], "n_words": -a1 - a0, "edits": edits, "source_id": key, "source_word": b0, "source_words": b1 - b0})
     return sorted(out, key=lambda x: (x["start"], x["end"], x["source_id"], x["source_word"]))
 
 
@@ -374,8 +404,7 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out: list[tuple] = []
         for i, j in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist(), strict=True):
             for places, others in chains_of(place[i:j], other[i:j]):
-                if places[-1] - places[0] + K + 2 * (WINDOW - 1) >= LEAST_WORDS:
-                    out.append((int(ids[i]), int(sources[i]), places, others))
+                out.append((int(ids[i]), int(sources[i]), places, others))
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["id", "source", "places", "others"]
         )

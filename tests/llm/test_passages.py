@@ -59,6 +59,21 @@ def test_unshared_words_between_passages(spark):
     assert [(r.n_words, r.edits) for r in one] == [(88, 10)]
 
 
+@pytest.mark.parametrize("n, every, least", [(60, 5, 50), (100, 5, 70), (60, 6, 85), (60, 8, 97), (60, 10, 99), (100, 15, 99)])
+def test_evenly_edited_passages(spark, n, every, least):
+    """Of 100 planted passages with every so manyth word replaced, so many are found."""
+    rng = random.Random(7)
+    texts = []
+    for d in range(100):
+        shared = prose(rng, n).split()
+        at = rng.randrange(every)
+        edited = ["zz" + w if i % every == at else w for i, w in enumerate(shared)]
+        texts += [(d, f"{prose(rng, 30)} {' '.join(shared)} {prose(rng, 30)}"), (1000 + d, f"{prose(rng, 20)} {' '.join(edited)} {prose(rng, 40)}")]
+    got = passages.shared_passages(documents(spark, texts)).collect()
+    assert all(r.source_id == r.doc_id - 1000 and r.n_words <= n + 4 and r.edits <= 0.2 * (n + 4) for r in got)
+    assert len({r.doc_id for r in got}) == len(got) >= least
+
+
 def test_copies_and_repeats(spark):
     rng = random.Random(2)
     text, line = prose(rng, 120), prose(rng, 45)
