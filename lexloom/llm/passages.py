@@ -2,7 +2,8 @@
 
 Seeds are runs of K words, chosen by winnowing: of every WINDOW neighbouring runs the one with the least hash, so that any
 exact passage of K + WINDOW - 1 words has one wherever it stands. Each seed is joined to the first document that has it
-(not to every document), so a passage in n documents gives n - 1 matches per seed and not n * n. A document's matches
+(not to every document), so a passage in n documents gives n - 1 matches per seed and not n * n. Where neighbouring seeds
+have different first holders, runs of them are joined to the first document that has the whole run. A document's matches
 with one other document are chained in order on both sides, with a cost for gaps, through a Fenwick tree of prefix
 maxima; a chain is then aligned word by word and cut where that is poor, and its parts are passages if they are long and
 alike enough.
@@ -35,6 +36,9 @@ LOOK = 4
 POOR = 4
 #: Words beyond a chain's ends that are looked at, as edits may leave a passage's ends without seeds.
 MARGIN = 60
+#: Words from the first to the last seed of a run, whose first holder is looked for too. The longer one lies within any
+#: exact passage of LEAST_WORDS, and its seeds don't depend on the words around the passage.
+SPANS = (9, LEAST_WORDS - K - 3 * (WINDOW - 1))
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = [pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, K + 1)]
@@ -93,6 +97,46 @@ def seeds_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return owner, seed, np.where(again, ~place, place)
 
 
+def runs_of(id_: np.ndarray, source: np.ndarray, place: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of seeds whose first holders aren't one place: the run's key, its first and its last seed; rows sorted by id and place."""
+    n = len(id_)
+    follows = np.zeros(n, bool)
+    follows[1:] = (id_[1:] == id_[:-1]) & (source[1:] == source[:-1]) & (other[1:] - place[1:] == other[:-1] - place[:-1])
+    changes = np.cumsum(~follows)
+    # a run's key is a polynomial in its places over its seeds, each known by its first holder
+    seed = mixed(mixed(source.astype(np.uint64)) + other.astype(np.uint64))
+    at = place.astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(seed * power(_ODD[0], at), dtype=np.uint64)])
+    doc = np.cumsum(np.concatenate([[0], id_[1:] != id_[:-1]])) if n else np.zeros(0, np.int64)
+    wide = int(place.max()) + 2 * SPANS[-1] if n else 0
+    line = doc * wide + place
+    keys, starts, ends = [], [], []
+    inverse = power(pow(_ODD[0], -1, 1 << 64), at)
+    for span in SPANS:
+        last = np.searchsorted(line, line + span, "right") - 1
+        i = np.flatnonzero(changes[last] > changes)
+        keys.append(mixed((sums[last[i] + 1] - sums[i]) * inverse[i] + np.uint64(span)))
+        starts.append(i)
+        ends.append(last[i])
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(ends)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(32)
+
+
+def power(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base to each exponent, modulo 2 ** 64."""
+    out, left = np.ones(len(exponents), np.uint64), exponents.copy()
+    while left.any():
+        out *= np.where(left & np.uint64(1), np.uint64(base), np.uint64(1))
+        base = base * base % (1 << 64)
+        left >>= np.uint64(1)
+    return out
+
+
 def chains_of(place: np.ndarray, other: np.ndarray) -> list[tuple[list[int], list[int]]]:
     """Chains of the matches (place, other), both rising strictly along each; every match is in at most one chain.
 
@@ -369,7 +413,10 @@ def passages_of(text: str, chains: list[dict]) -> list[dict]:
             continue
         reach.append((-a1, b0, b1))
         out.append({"start": spans[a0][0], "end": spans[-a1 - 1][1], "n_words": -a1 - a0, "edits": edits, "source_id": key, "source_word": b0, "source_words": b1 - b0})
-    return sorted(out, key=lambda x: (x["start"], x["end"], x["source_id"], x["source_word"]))
+    best: dict[tuple[int, int], dict] = {}  # the same words from several sources: the most alike, then the first
+    for x in sorted(out, key=lambda x: (x["edits"], x["source_id"], x["source_word"])):
+        best.setdefault((x["start"], x["end"]), x)
+    return [best[k] for k in sorted(best)]
 
 
 CHAIN = "source: bigint, shift: int, places: array<int>, others: array<int>, words: binary"
@@ -385,21 +432,36 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             owner, seed, place = seeds_of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column("id").take(pa.array(owner)), pa.array(place, pa.int32())], names=["seed", "id", "place"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Rows come sorted by id; a document's rows may be cut by the end of a batch."""
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            ids = table["id"].to_numpy()
-            last = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
-            held = table.slice(last)
-            if last:
-                yield from chained(table.slice(0, last))
-        if held is not None and held.num_rows:
-            yield from chained(held)
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy()
+            last = int(np.searchsorted(ids, ids[-1]))
+            if last or held and held[-1].column("id")[-1].as_py() != ids[0]:
+                yield pa.Table.from_batches([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            yield from chained(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            own, source, place, other = (table[c].to_numpy() for c in ("id", "source", "place", "other"))
+            key, first, last = runs_of(own, source, place, other)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, (own[first], place[first], place[last] - place[first]))], names=["run", "id", "place", "on"])
 
     def chained(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, sources, place, other = (table[c].to_numpy() for c in ("id", "source", "place", "other"))
+        new = np.ones(len(ids), bool)  # a match may come by its seed and by runs
+        new[1:] = (ids[1:] != ids[:-1]) | (sources[1:] != sources[:-1]) | (place[1:] != place[:-1]) | (other[1:] != other[:-1])
+        ids, sources, place, other = ids[new], sources[new], place[new], other[new]
         cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sources[1:] != sources[:-1]), [True]]))
         out: list[tuple] = []
         for i, j in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist(), strict=True):
@@ -433,8 +495,15 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # written, not only named: a join with a table of its own can split the matches of a seed that very many texts hold
     firsts = saved(firsts.where("n > 1").select("seed", "source", "other"), "firsts")
     place = F.when(lead, F.col("place")).otherwise(F.bitwise_not("place"))
-    matches = seeds.join(firsts, "seed").select("id", "source", place.alias("place"), "other").where("id <> source or place <> other")
-    found = matches.repartition("id").sortWithinPartitions("id", "source").mapInArrow(chain, "id long, source long, places array<int>, others array<int>")
+    matches = saved(seeds.join(firsts, "seed").select("id", "source", place.alias("place"), "other"), "matches")
+    runs = matches.repartition("id").sortWithinPartitions("id", "place").mapInArrow(run, "run long, id long, place int, on int")
+    runs = saved(runs, "runs")
+    holders = runs.groupBy("run").agg(F.min("id").alias("source"), F.min_by("place", "id").alias("other"), F.count("*").alias("n"))
+    holders = saved(holders.where("n > 1").drop("n"), "holders")
+    longer = runs.join(holders, "run").select("id", "source", F.explode(F.array(F.lit(0), "on")).alias("more"), "place", "other")
+    longer = longer.select("id", "source", (F.col("place") + F.col("more")).alias("place"), (F.col("other") + F.col("more")).alias("other"))
+    matches = matches.unionByName(longer).where("id <> source or place <> other")
+    found = matches.repartition("id").sortWithinPartitions("id", "source", "place", "other").mapInArrow(chain, "id long, source long, places array<int>, others array<int>")
     sources = compressed(rows).select(F.col("id").alias("source"), "zipped")
     fetched = found.join(sources, "source").mapInArrow(fetch, "id long, source long, shift int, places array<int>, others array<int>, words binary")
     return fetched.groupBy("id").agg(F.collect_list(F.struct("source", "shift", "places", "others", "words")).alias("chains"))
@@ -454,8 +523,8 @@ def compressed(rows: DataFrame) -> DataFrame:
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each passage of a document that another document (or an earlier place of its own) has first.
 
-    Columns: id, start and end (characters of the text), n_words, edits, source_id (whose the passage is first, the
-    smallest id that has its seeds), source_word and source_words (where, in words). The first holder has no row. Words
+    Columns: id, start and end (characters of the text), n_words, edits, source_id (whose the passage is, the smallest id
+    that has its seeds or a run of them; of several for the same words the most alike), source_word and source_words (where, in words). The first holder has no row. Words
     are compared with A-Z in lower case. Null or empty texts, and rows without an id, hold and share nothing. Rows with
     one id are read as one document, and each gives those passages that its own text holds. Other columns are no matter.
     """

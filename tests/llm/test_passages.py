@@ -74,6 +74,20 @@ def test_evenly_edited_passages(spark, n, every, least):
     assert len({r.doc_id for r in got}) == len(got) >= least
 
 
+def test_parts_with_earlier_holders(spark):
+    """A passage is found though no earlier document is the first to hold two of its parts."""
+    rng = random.Random(8)
+    texts, expected = [], {}
+    for d in range(0, 400, 10):
+        size = rng.choice([14, 20, 30])
+        parts = [prose(rng, size) for _ in range(60 // size + (size == 14))]
+        texts += [(d + i, f"{prose(rng, 20)} {x} {prose(rng, 20)}") for i, x in enumerate(parts)]
+        texts += [(d + 1000 + k, f"{prose(rng, 15)} {' '.join(parts)} {prose(rng, 15)}") for k in range(3)]
+        expected |= {d + 1000 + k: (size * len(parts), d + 1000) for k in (1, 2)}
+    got = passages.shared_passages(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_words, r.source_id) for r in got} == expected and len(got) == len(expected)
+
+
 def test_copies_and_repeats(spark):
     rng = random.Random(2)
     text, line = prose(rng, 120), prose(rng, 45)
