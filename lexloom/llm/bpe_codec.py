@@ -1,9 +1,9 @@
 """Byte-level BPE encoding by corpus-level merge replay, and decoding.
 
-The words of a shard of the corpus (what one task reads at a time) are laid end to end. An inverted index from a pair's
-rank to the places where such a pair stands replays the merges in rank order over all those words at once, and a merge
-updates only the pairs at the two touched neighbours. Each word is encoded once for a shard, however often it occurs.
-No word leaves its task, so nothing is shuffled.
+Of each slice of some 4 MB of text, the words that are no whole token and not in the worker's cache are laid end to end.
+An inverted index from a pair's rank to the places where such a pair stands replays the merges in rank order over all
+those words at once, and a merge updates only the pairs at the two touched neighbours. The cache is of bounded size, so a
+word that it has dropped is encoded again. No word leaves its task, so nothing is shuffled.
 """
 
 from __future__ import annotations
