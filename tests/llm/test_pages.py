@@ -89,3 +89,62 @@ def test_reading_foreign_archives(tmp_path, kind):
 def test_names_that_speak_of_something_else():
     page = f"<body><div class='site-header'><p>Our site, and its motto, in words.</p></div><div class='content has-sidebar'><article><div class='entry-header'><h1>Title</h1></div>{ARTICLE}</article></div></body>"
     assert html_text.main_text(page).split("\n")[0] == "Title" and len(html_text.main_text(page).split("\n")) == 7
+
+
+PROSE = "".join(f"<p>Paragraph {i}, with some words in it; and a bit more of them, as one writes.</p>" for i in range(6))
+FOREIGN = """layout-sidebar-right|page-with-sidebar|side-effects|legal-news|popular-science|copyright-law|row form-factor|main-wrapper social|search-engine-history|widget-area-content
+    |content related-to-x|post alert-free|sidebar|comments"""
+
+
+@pytest.mark.parametrize("name", [n.strip() for n in FOREIGN.split("|")])
+def test_class_names_take_no_article_out(name):
+    ad, notice = '<div class="ad">Buy, buy this thing now, it is good.</div>', '<div class="cookie-notice"><p>We use cookies, as everybody does, here.</p></div>'
+    for inner in (f"<h1>T</h1>{PROSE}", PROSE, f"<article>{PROSE}</article>", f"<h1>T</h1>{PROSE}{ad}"):
+        text = html_text.main_text(f'<html><body><nav><a>Home</a></nav>{notice}<div class="{name}">{inner}</div><footer>f</footer></body></html>')
+        assert text.split("\n") == ["T"] * ("<h1>" in inner) + [p.removeprefix("<p>") for p in PROSE.split("</p>")[:-1]]
+
+
+def test_parts_beside_each_other_and_a_form_around_the_page():
+    long = "<p>" + "word, " * 50 + "end.</p>"
+    lines = ["word, " * 50 + "end."]
+    assert html_text.main_text(f"<body><div id=story>{long * 4}</div><div id=more>{long}</div><ul><li><a href=x>Home</a><li><a>More</a></ul></body>").split("\n") == lines * 5
+    assert html_text.main_text(f"<body><article>{long * 4}</article><section>{long}</section><div class=comments>{long * 9}</div></body>").split("\n") == lines * 5
+    assert html_text.main_text(f"<body><form id=aspnetForm><div>{long * 4}</div><input></form></body>").split("\n") == lines * 4
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<ul><li>x", "<tr><x>y", "<div class=ad>x", "</x><div><p>word, words", "<a hidden>x</b>"])
+def test_time_follows_the_page_at_any_depth(part):
+    import time
+
+    began = time.time()
+    html_text.main_text(part * 100_000)
+    assert time.time() - began < 60
+
+
+def test_ratios_like_plain_sums():
+    """Chosen paths from whole tag paths, by the definition."""
+    import math
+    import random
+
+    rng = random.Random(1)
+    for _ in range(50):
+        page = "".join(f"<{t}>{'word, ' * rng.randint(0, 9) + 'w' * rng.randint(1, 60)}</{t}>" if rng.random() < 0.8 else rng.choice(["<div>", "</div>", "<section>", "</section>"]) for t in rng.choices(["p", "h2", "div", "li"], k=40))
+        found = html_text.blocks(page)
+        keys = []
+        for b in found:
+            node, path = b.node, []
+            while node is not None:
+                path.append(node.tag)
+                node = node.parent
+            keys.append("/".join(path))
+        of = lambda key, f: sum(f(b) for b, k in zip(found, keys, strict=True) if k == key) / keys.count(key)
+        rows = [(of(k, lambda b: len(b.text)), of(k, lambda b: b.text.count(","))) for k in keys]
+        weight = lambda d: math.exp(-d * d / 2) if abs(d) <= 2 else 0
+        even = [[sum(weight(i - j) * r[c] for j, r in enumerate(rows)) / sum(weight(i - j) for j in range(len(rows))) for i in range(len(rows))] for c in (0, 1)]
+        fused = [t * (1 + m) for t, m in zip(*even, strict=True)]
+        mean = sum(fused) / len(fused)
+        least = 0.5 * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
+        sums = {k: sum(f for f, x in zip(fused, keys, strict=True) if x == k) for k in keys}
+        expected = {k for k in keys if sums[k] / keys.count(k) >= least} | {max(sums, key=sums.get)}
+        got = html_text.content_paths(found)
+        assert {k for b, k in zip(found, keys, strict=True) if (b.node.path, b.lowered) in got} == expected
