@@ -45,21 +45,44 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name (not created) under the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Where it is unset, as in local tests,
-    a folder of this machine serves until the process ends.
+    The cluster names that folder in spark.checkpoint.dir. Where it is unset, a local master, as in tests, uses a folder of
+    this machine that goes when the process ends; on a cluster, whose machines don't see each other's folders, it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own_folder()
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+#: What shared_folder() has named in this process and discard() hasn't removed.
+_named: list[str] = []
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
+    return saved_at(df, purpose)[0]
+
+
+def saved_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As saved(), and the folder, for discard() when no result needs it any more."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of shared_folder(); without paths all that this process has named: call it so when its results are written."""
+    for path in paths or tuple(_named):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _named.remove(path)
 
 
 def local_path(uri: str) -> str | None:
