@@ -1,15 +1,21 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits space again and again by random directions; rows close to a split go to both sides (spill overlap). Rows
-of a leaf are compared exactly, so no pair below the threshold links; trees make up for each other's misses. A pair that
-meets in several leaves is counted in the first leaf only, which the rows' own lists of leaves tell, so that no pair is
-ever written out: a leaf returns each row's number of links and a spanning forest of its links.
+Trees split space again and again by random directions; rows close to a split go to both sides (spill overlap). Rows of a
+leaf are compared exactly, so no pair below the threshold links; trees make up for each other's misses. A pair that meets
+in several leaves is counted in the first leaf only, which the rows' own lists of leaves tell, so that no pair is ever
+written out: a leaf returns each row's number of links and a spanning forest of its links.
+
+How wide the overlap must be follows from the data. Along a random direction a pair at the threshold differs by
+sqrt((2 - 2 * least) / dimension) as a rule; with the density of the rows at the cut that gives the part of such pairs
+that a split loses. Each path from a tree's root has an allowance for these losses, and each split takes an overlap that
+keeps to it. Where the overlap would eat up what the split gains, rows are too close together for trees, and the leaf is
+compared whole, in blocks. Before the trees part, splits that can't lose any pair set tight groups apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,72 +25,153 @@ from pyspark.sql import functions as F
 from ..session import saved
 from .components import components
 
-#: Trees; rows that a leaf should hold; half the width of the overlap at a split, in units of the vectors' length.
-TREES, LEAF_ROWS, SPILL = 8, 256, 0.01
-#: The trees are fitted on about this many rows, chosen by hash; every row is indexed. A leaf has at least LEAST of them.
-SAMPLE_ROWS, LEAST = 32_768, 12
-#: Rows of one side that a task compares at once. Larger leaves are compared block by block, every block with every block.
-BLOCK_ROWS = 2048
+#: Trees; rows that a leaf should hold.
+TREES, LEAF_ROWS = 8, 256
+#: A pair at the threshold is lost on its path through one tree with this probability at most, so by 8 trees in one of 250 cases.
+LOST = 0.5
+#: A split's overlap holds this part of its rows at most; of one that loses nothing, and then each side has ASIDE at least.
+OVERLAP, NEAR, ASIDE = 0.3, 0.1, 0.1
+#: The trees are fitted on about this many rows at most, and this many bytes of them, chosen by hash; every row is indexed. A
+#: leaf has at least LEAST of them, so beyond some ten million rows leaves grow with the rows.
+SAMPLE_ROWS, SAMPLE_BYTES, LEAST = 32_768, 16 << 20, 12
+#: Bytes and rows of one side that a task compares, and rows of each side at once. Larger leaves are compared block by block.
+BLOCK_BYTES, BLOCK_ROWS, TILE = 8 << 20, 8192, 1024
+
+#: A copy of a row in a leaf costs about as much, in its shuffle, as so many comparisons.
+COPY = 1000
+
+#: Overlaps that a split may take, in units of what a pair at the threshold differs by as a rule, and by how much such a
+#: pair differs beyond each on average (of a standard normal variable's size what is beyond twice the half width).
+_HALVES = np.linspace(0, 2, 33)
+_BEYOND = np.array([np.maximum(np.abs(np.random.default_rng(0).standard_normal(65536)) - 2 * h, 0).mean() for h in _HALVES])
 
 
 @dataclass
-class Tree:
-    """Node k splits by directions[k] at cuts[k]; its children are nodes, or leaves as -1 - leaf."""
+class Forest:
+    """Node k is a split (direction, cut, half of the overlap's width, two children) or a fork (a child for each tree).
+
+    Children are nodes, or leaves as -1 - leaf.
+    """
 
-    directions: np.ndarray
-    cuts: np.ndarray
-    children: np.ndarray
+    nodes: list = field(default_factory=list)
+    leaves: int = 0
+    root: int = -1
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of x and the leaves that they are in, as pairs."""
-        rows, found = [], []
-        todo = [(0, np.arange(len(x)))] if len(self.cuts) else []
-        if not todo:
-            return np.arange(len(x)), np.zeros(len(x), np.int64)
+        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(self.root, np.arange(len(x)))]
         while todo:
-            node, own = todo.pop()
-            side = x[own] @ self.directions[node] - self.cuts[node]
-            for child, part in ((self.children[node, 0], own[side <= SPILL]), (self.children[node, 1], own[side >= -SPILL])):
-                if child >= 0:
-                    len(part) and todo.append((child, part))
-                else:
-                    rows.append(part)
-                    found.append(np.full(len(part), -1 - child))
+            name, own = todo.pop()
+            if not len(own):
+                continue
+            if name < 0:
+                rows.append(own)
+                found.append(np.full(len(own), -1 - name))
+                continue
+            node = self.nodes[name]
+            if len(node) == 1:
+                todo += [(child, own) for child in node[0]]
+            else:
+                direction, cut, half, children = node
+                side = x[own] @ direction - cut
+                todo += [(children[0], own[side <= half]), (children[1], own[side >= -half])]
         return np.concatenate(rows), np.concatenate(found)
 
 
-def grow(x: np.ndarray, most: float, rng: np.random.Generator) -> Tree:
-    """A tree over the sample x (unit vectors) with leaves of at most `most` of its rows, where splits can part them."""
-    directions, cuts, children, leaves = [], [], [], 0
-    todo = [(np.arange(len(x)), None)]  # rows, and where to note the node
-    while todo:
-        own, to = todo.pop()
+def grow(x: np.ndarray, total: int, least: float, trees: int, leaf_rows: float, rng: np.random.Generator) -> Forest:
+    """A forest for `total` rows, fitted on the sample x of them (unit vectors)."""
+    forest, scale = Forest(), total / max(1, len(x))
+    apart = np.sqrt(max(0.0, 2 - 2 * least))  # the most that a pair at the threshold differs by
+    differs = apart / np.sqrt(max(1, x.shape[1]))
+    most = max(leaf_rows / scale, LEAST)
+
+    def leaf() -> int:
+        forest.leaves += 1
+        return -forest.leaves
+
+    def projections(own: np.ndarray, directions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        length = np.linalg.norm(directions, axis=1)
+        directions = (directions[length > 1e-9] / length[length > 1e-9, None]).astype(np.float32)
+        return zip(directions, np.sort(directions @ x[own].T, axis=1), strict=True)
+
+    def between(side: np.ndarray, low, high) -> np.ndarray:
+        return (np.searchsorted(side, high, "right") - np.searchsorted(side, low, "left")) / len(side)
+
+    def safe(own: np.ndarray):
+        """A split that loses nothing: its overlap is as wide as any pair at the threshold."""
+        best, half = None, apart / 2 + 1e-6
+        for direction, side in projections(own, x[rng.choice(own, 6)] - x[rng.choice(own, 6)]):
+            cuts = np.linspace(side[int(len(side) * ASIDE / 2)], side[int(len(side) * (1 - ASIDE / 2))], 24)
+            both = between(side, cuts - half, cuts + half)
+            left = np.searchsorted(side, cuts) / len(side)
+            both[(left < ASIDE) | (left > 1 - ASIDE)] = 1
+            k = int(np.argmin(both))
+            if both[k] <= NEAR and (best is None or both[k] < best[0]):
+                best = both[k], direction, float(cuts[k]), half, 0.0
+        return best
+
+    def loose(own: np.ndarray, allowance: float):
+        """The split with the least overlap that keeps to its share of the allowance; and what it loses."""
         best = None
-        if len(own) > most:
-            for _ in range(4):
-                direction = rng.standard_normal(x.shape[1])
-                direction /= np.linalg.norm(direction)
-                side = np.sort(x[own] @ direction)
-                tried = np.quantile(side, rng.uniform(0.3, 0.7, 6))
-                both = np.searchsorted(side, tried + SPILL, "right") - np.searchsorted(side, tried - SPILL, "left")
-                k = int(np.argmin(both))
-                if best is None or both[k] < best[0]:
-                    best = both[k], direction, tried[k]
-            if best[0] > 0.5 * len(own):
-                best = None  # too close together to be parted: one leaf, compared in blocks
-        if best is None:
-            name = -1 - leaves
-            leaves += 1
-        else:
-            name = len(cuts)
-            side = x[own] @ best[1] - best[2]
-            directions.append(best[1])
-            cuts.append(best[2])
-            children.append([0, 0])
-            todo += [(own[side <= SPILL], (name, 0)), (own[side >= -SPILL], (name, 1))]
-        if to:
-            children[to[0]][to[1]] = name
-    return Tree(np.array(directions).reshape(-1, x.shape[1]), np.array(cuts), np.array(children, np.int64).reshape(-1, 2))
+        allowed = allowance / (np.log2(max(2.0, len(own) / most)) + 1)
+        for direction, side in projections(own, rng.standard_normal((3, x.shape[1]))):
+            cuts = side[rng.integers(int(len(side) * 0.35), int(len(side) * 0.65) + 1, 4)]
+            density = between(side, cuts - differs, cuts + differs) / 2  # per unit of differs
+            taken = np.minimum((_BEYOND * density[:, None] > allowed).sum(axis=1), len(_HALVES) - 1)
+            both = between(side, cuts - _HALVES[taken] * differs, cuts + _HALVES[taken] * differs)
+            k = int(np.argmin(both))
+            if best is None or both[k] < best[0]:
+                best = both[k], direction, float(cuts[k]), float(_HALVES[taken[k]] * differs), float(_BEYOND[taken[k]] * density[k])
+        return best if best and best[0] <= OVERLAP else None
+
+    def compared(rows: int) -> float:
+        """What a leaf with so many rows of the sample costs."""
+        n = rows * scale
+        return n * n + COPY * n * max(1.0, n / BLOCK_ROWS)
+
+    def build(own: np.ndarray, allowance: float | None) -> tuple[int, float]:
+        """A node over rows of the sample, and its leaves' cost; allowance: what its tree may lose yet, before the fork None."""
+        todo: list = [(own, allowance, None)]
+        name_of_all, cost = None, 0.0
+        while todo:
+            own, allowance, to = todo.pop()
+            name = None
+            if len(own) > most:
+                found = safe(own) if allowance is None and len(own) >= 4 * LEAST else None
+                if found is None and allowance is not None:
+                    found = loose(own, allowance)
+                if found:
+                    _, direction, cut, half, gone = found
+                    name = len(forest.nodes)
+                    forest.nodes.append((direction, cut, half, [0, 0]))
+                    side = x[own] @ direction - cut
+                    todo += [(own[at], None if allowance is None else allowance - gone, (name, i)) for i, at in enumerate((side <= half, side >= -half))]
+                elif allowance is None:
+                    mark, count, whole, all_ = len(forest.nodes), forest.leaves, compared(len(own)), 0.0
+                    forest.nodes.append(([],))
+                    for k in range(trees):
+                        child, own_cost = build(own, -np.log(1 - LOST))
+                        forest.nodes[mark][0].append(child)
+                        all_ += own_cost
+                        if all_ / (k + 1) * trees >= whole:  # comparing all with all is no dearer, and loses nothing
+                            break
+                    else:
+                        name, cost = mark, cost + all_
+                    if name is None:
+                        del forest.nodes[mark:]
+                        forest.leaves = count
+            if name is None:
+                name = leaf()
+                cost += compared(len(own))
+            if to:
+                forest.nodes[to[0]][3][to[1]] = name
+            else:
+                name_of_all = name
+        return name_of_all, cost
+
+    forest.root = build(np.arange(len(x)), None)[0]
+    return forest
 
 
 def unit(vectors: pa.Array, width: int) -> np.ndarray:
@@ -101,32 +188,52 @@ def links_in_leaf(least: float):
     def compare(key, table):
         leaf, i, j = (k.as_py() for k in key[:3])
         table = table.combine_chunks()
-        vectors = table["vector"].chunk(0) if table["vector"].num_chunks else pa.array([], table.schema.field("vector").type)
+        vectors, lists = (table[c].chunk(0) for c in ("vector", "leaves"))
         x = unit(vectors, len(vectors[0]))
-        block = table["block"].to_numpy()
+        ids, copies, block = (table[c].to_numpy() for c in ("id", "copies", "block"))
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
-        near = x[left] @ x[right].T >= least
-        if i == j:
-            np.fill_diagonal(near, False)
-        a, b = near.any(axis=1), near.any(axis=0)
-        left, right, near = left[a], right[b], near[np.ix_(a, b)]
-        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
-        lists = table["leaves"].chunk(0) if table["leaves"].num_chunks else None
-        if not len(left):
-            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        earlier = membership(lists, leaf, np.concatenate([left, right]))
-        seen = earlier[: len(left)] @ earlier[len(left) :].T > 0
-        new = near & ~seen
-        rows = np.concatenate([left, right])
-        links = np.concatenate([new @ copies[right], new.T @ copies[left] if i != j else np.zeros(len(right), np.int64)])
-        roots = spanning(near)
-        out = {"id": ids[rows], "links": links, "root": ids[rows][roots]}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        linked = np.zeros(len(ids), bool)
+        for a in range(0, len(left), TILE):
+            for b in range(a if i == j else 0, len(right), TILE):
+                one, two = left[a : a + TILE], right[b : b + TILE]
+                same = i == j and a == b
+                near = x[one] @ x[two].T >= least
+                if same:
+                    np.fill_diagonal(near, False)
+                n, m = near.any(axis=1), near.any(axis=0)
+                if not n.any():
+                    continue
+                one, two, near = one[n], two[m], near[np.ix_(n, m)]
+                earlier = membership(lists, leaf, np.concatenate([one, two]))
+                new = near & ~(earlier[: len(one)] @ earlier[len(one) :].T > 0)
+                links[one] += new @ copies[two]
+                if not same:
+                    links[two] += new.T @ copies[one]
+                both = np.concatenate([one, two])
+                linked[both] = True
+                unite(root, both, both[spanning(near)])
+        rows = np.flatnonzero(linked)
+        return pa.table({"id": pa.array(ids[rows]), "links": pa.array(links[rows]), "root": pa.array(ids[[top(root, r) for r in rows.tolist()]] if len(rows) else ids[:0])})
 
     return compare
 
 
+def top(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = int(root[i])
+    return i
+
+
+def unite(root: np.ndarray, rows: np.ndarray, others: np.ndarray) -> None:
+    """Links each row with the other beside it."""
+    for a, b in set(zip(rows.tolist(), others.tolist(), strict=True)):
+        a, b = top(root, a), top(root, b)
+        root[max(a, b)] = min(a, b)
+
+
 def membership(lists: pa.Array, leaf: int, rows: np.ndarray) -> np.ndarray:
     """A row for each of rows, a column for each leaf before `leaf` that any of them is in."""
     own = lists.take(pa.array(rows))
@@ -173,24 +280,19 @@ def near_vectors(
     classes = rows.where("good").groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("key"), "*"), "vectors")
     total, width = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
-    part = min(1.0, sample_rows / max(1, total))
-    sample = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(part * (1 << 20))).limit(2 * sample_rows).select("vector").toArrow()["vector"].combine_chunks()
+    most = min(sample_rows, SAMPLE_BYTES // (8 * max(1, width or 1)))
+    part = min(1.0, most / max(1, total))
+    sample = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(part * (1 << 20))).limit(2 * most).select("vector").toArrow()["vector"].combine_chunks()
     sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) and sample.num_chunks else sample
-    rng = np.random.default_rng(seed)
-    forest = [grow(unit(sample, width), max(LEAST, leaf_rows * len(sample) / total), rng) for _ in range(trees)] if total and len(sample) else []
-    known = spark.sparkContext.broadcast(forest)
-    start = np.cumsum([0, *(len(t.cuts) + 1 for t in forest)])  # a binary tree has one leaf more than nodes
+    known = spark.sparkContext.broadcast(grow(unit(sample, width), total, least, trees, leaf_rows, np.random.default_rng(seed)) if total and len(sample) else Forest(leaves=1))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column("vector"), width)
-            met = [t.leaves(x) for t in known.value]
-            row = np.concatenate([r for r, _ in met])
-            leaf = np.concatenate([own + s for (_, own), s in zip(met, start, strict=False)])
+            row, leaf = known.value.find(unit(batch.column("vector"), width))
             order = np.lexsort((leaf, row))
-            ends = np.searchsorted(row[order], np.arange(len(x) + 1))
+            ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
             leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf[order], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), batch.column("vector"), leaves], names=["id", "copies", "vector", "leaves"])
 
@@ -198,7 +300,8 @@ def near_vectors(
     placed = saved(classes.select("key", "copies", "vector").mapInArrow(place, f"id long, copies long, vector {kind}, leaves array<long>"), "placed")
     leaf_of = placed.select("id", F.explode("leaves").alias("leaf"), F.size("vector").alias("width"))
     sizes = leaf_of.groupBy("leaf", "width").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select("leaf", "width", F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("blocks"))
+    rows_of = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(64), F.lit(BLOCK_BYTES) / (8 * F.col("width"))))
+    sizes = sizes.select("leaf", "width", F.ceil(F.col("n") / rows_of).cast("long").alias("blocks"))
     spread = placed.select("*", F.size("vector").alias("width"), F.explode("leaves").alias("leaf")).join(sizes, ["leaf", "width"])
     spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "width", "block", "id", "copies", "vector", "leaves")
@@ -210,6 +313,6 @@ def near_vectors(
     grouped = grouped.select("vector", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("part"))
     smallest = grouped.groupBy("part").agg(F.min("first").alias("component_id"))
     grouped = grouped.join(smallest, "part").select("vector", "n_links", "component_id")
-    out = rows.join(grouped, "vector", "left")
-    component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    out = rows.where("good").join(grouped, "vector").select("id", "n_links", "component_id")
+    out = out.unionByName(rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -117,3 +118,41 @@ def test_recall_on_the_synthetic_vectors(spark):
     expected = ((x @ x.T >= 0.95).sum(axis=1) - 1).sum()
     got = vector_forest.near_vectors(frame).agg({"n_links": "sum"}).first()[0]
     assert 0.9 * expected <= got <= expected
+
+
+def clustered(n, mean, k, rng, width=64):
+    """Unit vectors around k centres; two of one centre have this cosine as a rule."""
+    centre = rng.standard_normal((k, width))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = np.sqrt(mean) * centre[rng.integers(0, k, n)] + np.sqrt((1 - mean) / width) * rng.standard_normal((n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def beside(x, cosine, rng):
+    r = rng.standard_normal(x.shape)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("n", "mean", "k"), [(60_000, 0.0, 1), (60_000, 0.8, 1), (60_000, 0.9, 1), (200_000, 0.85, 1), (200_000, 0.9, 1), (100_000, 0.8, 50), (200_000, 0.9, 50)])
+def test_recall_of_leaves(n, mean, k):
+    """Of 1500 planted pairs at cosine 0.951, at the default settings, so many meet in a leaf."""
+    rng = np.random.default_rng(1)
+    x = clustered(n, mean, k, rng)
+    forest = vector_forest.grow(x[rng.permutation(n)[:32_768]], n, 0.95, vector_forest.TREES, vector_forest.LEAF_ROWS, np.random.default_rng(7))
+    one, two = ([set() for _ in range(1500)] for _ in range(2))
+    for sets, rows in ((one, x[:1500]), (two, beside(x[:1500], 0.951, rng))):
+        for r, leaf in zip(*forest.find(rows), strict=True):
+            sets[r].add(leaf)
+    assert sum(bool(a & b) for a, b in zip(one, two, strict=True)) >= 0.98 * 1500
+
+
+@pytest.mark.parametrize(("mean", "k"), [(0.8, 1), (0.9, 1), (0.9, 30)])
+def test_clusters_against_all_pairs(spark, mean, k):
+    rng = np.random.default_rng(2)
+    x = clustered(30_000, mean, k, rng)
+    x[15_000:16_000] = beside(x[:1000], 0.951, rng)
+    expected = sum(int((x[i : i + 2000] @ x.T >= 0.95).sum()) for i in range(0, len(x), 2000)) - len(x)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))}))
+    got = vector_forest.near_vectors(frame).agg({"n_links": "sum"}).first()[0]
+    assert 0.98 * expected <= got <= expected
