@@ -3,7 +3,8 @@
 Seeds are runs of K words, chosen by winnowing: of every WINDOW neighbouring runs the one with the least hash, so that any
 exact passage of K + WINDOW - 1 words has one wherever it stands. Each seed is joined to the first document that has it
 (not to every document), so a passage in n documents gives n - 1 matches per seed and not n * n. Where neighbouring seeds
-have different first holders, runs of them are joined to the first document that has the whole run. A document's matches
+have different first holders, runs of them are joined to the first document that has the whole run. For these joins the
+keys of a slice of text travel as one compact block for each shard of the key space; see meetings(). A document's matches
 with one other document are chained in order on both sides, with a cost for gaps, through a Fenwick tree of prefix
 maxima; a chain is then aligned word by word and cut where that is poor, and its parts are passages if they are long and
 alike enough.
@@ -50,7 +51,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def seeds_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds of each text: its number, the seed and its place (a word's number), or ~place where the text had the seed before."""
+    """Seeds of each text: its number, the seed and its place (a word's number)."""
     flat: list[bytes] = []
     ends = []
     for text in texts:
@@ -90,11 +91,7 @@ def seeds_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     whole |= np.concatenate([[True], owner[1:] != owner[:-1]])
     kept = np.unique(best[whole])
     kept = kept[number[kept] % WINDOW == 0]
-    owner, seed, place = owner[kept], run[kept], valid[kept] - start[owner[kept]]
-    order = np.lexsort((place, seed, owner))
-    again = np.zeros(len(kept), bool)
-    again[order[1:]] = (seed[order[1:]] == seed[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
-    return owner, seed, np.where(again, ~place, place)
+    return owner[kept], run[kept], valid[kept] - start[owner[kept]]
 
 
 def runs_of(id_: np.ndarray, source: np.ndarray, place: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,7 +391,6 @@ def connected(alignments: list[tuple[int, list[tuple[int, int, int]]]]) -> list[
 def passages_of(text: str, chains: list[dict]) -> list[dict]:
     """Of a document's chains the passages: characters, words and edits on its side, and the other's words."""
     own = words(text)
-    spans = [m.span() for m in _WORD.finditer(text)]
     alignments = []
     for c in chains:
         other = c["words"].split(b" ") if c["words"] else []
@@ -402,6 +398,9 @@ def passages_of(text: str, chains: list[dict]) -> list[dict]:
         if runs:
             alignments.append((c["source"], [(i, j + c["shift"], n) for i, j, n in runs]))
     found = {(source, a0, -a1, b0, b1, edits) for source, runs in connected(alignments) for a0, a1, b0, b1, edits in parted(runs)}
+    if not found:
+        return []
+    spans = [m.span() for m in _WORD.finditer(text)]
     out: list[dict] = []
     reach: list[tuple[int, int, int]] = []  # of the source: where passages end, in words, and their other side
     source = None
@@ -419,18 +418,114 @@ def passages_of(text: str, chains: list[dict]) -> list[dict]:
     return [best[k] for k in sorted(best)]
 
 
-CHAIN = "source: bigint, shift: int, places: array<int>, others: array<int>, words: binary"
-PASSAGES = "array<struct<start: bigint, end: bigint, n_words: bigint, edits: bigint, source_id: bigint, source_word: bigint, source_words: bigint>>"
+#: Text whose keys a task packs at once, and text to each shard of the keys.
+PACKED, SHARD = 16 << 20, 8 << 20
+#: A key that a slice holds more often than this travels once for all of them in its block, and its places apart.
+HOT = 8
+_FLAG = np.uint32(1 << 31)
+
+
+def pack(key: np.ndarray, id_: np.ndarray, place: np.ndarray, on: np.ndarray) -> bytes:
+    """Rows sorted by key; differences and small numbers are laid out byte by byte, so that their high bytes vanish."""
+    ids, number = np.unique(id_, return_inverse=True)
+    steps = np.diff(key, prepend=np.uint64(0))
+    columns = [(steps, 8), (number.astype("<u4"), 4), (place.astype("<u4"), 4), (on.astype("<u4"), 4), (np.diff(ids, prepend=0).view(np.uint64), 8)]
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), width).T).tobytes() for c, width in columns]
+    return np.array([len(key), len(ids)], "<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(block: bytes) -> list[np.ndarray]:
+    n, m = np.frombuffer(block[:16], "<u8").tolist()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[16:], max_output_size=20 * n + 8 * m), np.uint8)
+    out, at = [], 0
+    for size, width in ((n, 8), (n, 4), (n, 4), (n, 4), (m, 8)):
+        out.append(np.ascontiguousarray(raw[at : at + size * width].reshape(width, size).T).view(f"<u{width}").ravel())
+        at += size * width
+    return [np.cumsum(out[0], dtype=np.uint64), np.cumsum(out[4], dtype=np.uint64).view(np.int64)[out[1]], out[2], out[3]]
+
+
+def dealt(shards: int, key: np.ndarray, id_: np.ndarray, place: np.ndarray, on: np.ndarray) -> pa.RecordBatch:
+    """A block for each shard; a hot key has its first row in its shard's block, flagged, and all others in block -1."""
+    order = np.lexsort((place, id_, key))
+    key, id_, place, on = key[order], id_[order], place[order].astype(np.uint32), on[order].astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(starts, len(key)))
+    hot = np.repeat(count > HOT, count)
+    lead = np.zeros(len(key), bool)
+    lead[starts] = True
+    place = np.where(hot & lead, place | _FLAG, place)
+    apart = hot & ~lead
+    shard = np.where(apart, -1, ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64))
+    order = np.argsort(shard, kind="stable")  # the key's high bits deal it, so rows stay sorted within each
+    names, starts = np.unique(shard[order], return_index=True)
+    parts = np.split(order, starts[1:]) if len(order) else []
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([pack(key[p], id_[p], place[p], on[p]) for p in parts], pa.binary())], names=["shard", "block"])
+
+
+MATCHES = "id long, source long, place int, other int, on int"
+
+
+def meetings(blocks: DataFrame) -> DataFrame:
+    """blocks: shard, block, as dealt() makes them. A row for each place of a key that stands at several: id, place, and the key's first holder, source, with its place, other; and on.
+
+    A shard's size follows from the text to a shard, but for hot keys: of each, a slice has one row in a shard. Their other
+    rows are joined to the hot keys' first holders row by row, a join of two written tables that can be split where it is hot.
+    """
+    blocks = saved(blocks, "blocks")
+
+    def meet(key, table):
+        parts = [unpack(b) for b in table["block"].to_pylist()]
+        key, id_, place, on = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        several = np.zeros(len(key), bool)
+        several[order[1:][same]] = several[order[:-1][same]] = True
+        own = np.flatnonzero(several | (place >= _FLAG))
+        hot, place = place >= _FLAG, place & ~_FLAG
+        own = own[np.lexsort((place[own], id_[own], key[own]))]
+        key, id_, place, on, hot = key[own], id_[own], place[own], on[own], hot[own]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        source, other = id_[starts], place[starts]
+        named = np.unique(group[hot])
+        rows = [(id_, source[group], place, other[group], on, np.zeros(len(id_), np.int64)), (key[starts[named]].view(np.int64), source[named], other[named], other[named], on[starts[named]], np.ones(len(named), np.int64))]
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=["id", "source", "place", "other", "on", "hot"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                key, id_, place, on = unpack(block)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_), pa.array(place, pa.int32()), pa.array(on, pa.int32())], names=["key", "id", "place", "on"])
+
+    met = saved(blocks.where("shard >= 0").groupBy("shard").applyInArrow(meet, f"{MATCHES}, hot int"), "met")
+    firsts = met.where("hot = 1").select(F.col("id").alias("key"), "source", "other")
+    hot = blocks.where("shard < 0").select("block").mapInArrow(apart, "key long, id long, place int, on int").join(firsts, "key")
+    return met.where("hot = 0").drop("hot").unionByName(hot.select("id", "source", "place", "other", "on"))
 
 
 def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document with chains: id, chains (an array of the chain's places on both sides and the other side's words)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in sliced(batches, "text"):
             owner, seed, place = seeds_of(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column("id").take(pa.array(owner)), pa.array(place, pa.int32())], names=["seed", "id", "place"])
+            held.append((seed, batch.column("id").to_numpy()[owner], place))
+            n += batch.column("text").nbytes
+            if n >= PACKED:
+                yield _dealt(held)
+                held, n = [], 0
+        if held:
+            yield _dealt(held)
+
+    def _dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, id_, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        return dealt(shards, key, id_, place, np.zeros(len(key), np.int64))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Rows come sorted by id; a document's rows may be cut by the end of a batch."""
@@ -447,15 +542,23 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held)
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole(batches):
-            yield from chained(table)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for table in whole(batches):
             own, source, place, other = (table[c].to_numpy() for c in ("id", "source", "place", "other"))
             key, first, last = runs_of(own, source, place, other)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, (own[first], place[first], place[last] - place[first]))], names=["run", "id", "place", "on"])
+            held.append((key, own[first], place[first], place[last] - place[first]))
+            n += len(key)
+            if n >= PACKED // 16:
+                yield dealt(shards, *(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield dealt(shards, *(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            yield from chained(table)
 
     def chained(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, sources, place, other = (table[c].to_numpy() for c in ("id", "source", "place", "other"))
@@ -489,18 +592,9 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["id", "source", "shift", "places", "others", "words"],
             )
 
-    seeds = rows.mapInArrow(find, "seed long, id long, place int")
-    lead = F.col("place") >= 0
-    firsts = seeds.groupBy("seed").agg(F.min(F.when(lead, F.col("id"))).alias("source"), F.min_by("place", F.when(lead, F.col("id"))).alias("other"), F.count("*").alias("n"))
-    # written, not only named: a join with a table of its own can split the matches of a seed that very many texts hold
-    firsts = saved(firsts.where("n > 1").select("seed", "source", "other"), "firsts")
-    place = F.when(lead, F.col("place")).otherwise(F.bitwise_not("place"))
-    matches = saved(seeds.join(firsts, "seed").select("id", "source", place.alias("place"), "other"), "matches")
-    runs = matches.repartition("id").sortWithinPartitions("id", "place").mapInArrow(run, "run long, id long, place int, on int")
-    runs = saved(runs, "runs")
-    holders = runs.groupBy("run").agg(F.min("id").alias("source"), F.min_by("place", "id").alias("other"), F.count("*").alias("n"))
-    holders = saved(holders.where("n > 1").drop("n"), "holders")
-    longer = runs.join(holders, "run").select("id", "source", F.explode(F.array(F.lit(0), "on")).alias("more"), "place", "other")
+    matches = saved(meetings(rows.mapInArrow(find, "shard int, block binary")).drop("on"), "matches")
+    longer = meetings(matches.repartition("id").sortWithinPartitions("id", "place").mapInArrow(run, "shard int, block binary"))
+    longer = longer.select("id", "source", F.explode(F.array(F.lit(0), "on")).alias("more"), "place", "other")
     longer = longer.select("id", "source", (F.col("place") + F.col("more")).alias("place"), (F.col("other") + F.col("more")).alias("other"))
     matches = matches.unionByName(longer).where("id <> source or place <> other")
     found = matches.repartition("id").sortWithinPartitions("id", "source", "place", "other").mapInArrow(chain, "id long, source long, places array<int>, others array<int>")

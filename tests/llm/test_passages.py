@@ -175,3 +175,57 @@ def test_planted_items_against_all_places(spark, monkeypatch):
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
     for r in got:
         assert edits(dict(items)[r.item_id], decontaminate.normal(rows[r.doc_id][1])[r.start : r.end]) == r.edits
+
+
+def test_thirds_with_earlier_holders(spark):
+    rng = random.Random(11)
+    parts = [prose(rng, 32 if i < 2 else 26) for i in range(3)]
+    texts = [(i + 1, f"{prose(rng, 20)} {x} {prose(rng, 20)}") for i, x in enumerate(parts)] + [(d, f"{prose(rng, 15)} {' '.join(parts)} {prose(rng, 15)}") for d in (5, 9, 11)]
+    got = sorted((r.doc_id, r.source_id, r.n_words) for r in passages.shared_passages(documents(spark, texts)).collect())
+    assert got == [(9, 5, 90), (11, 5, 90)]
+    kept = {r.doc_id: len(r.text.split()) for r in passages.without_passages(documents(spark, texts)).collect()}
+    assert kept[9] == kept[11] == 30 and kept[5] == 120
+
+
+def test_all_common_runs(spark, monkeypatch):
+    """Every run of 40 words or more that an earlier document holds lies in found passages, but for a word at its ends; nothing else does."""
+    monkeypatch.setattr(passages, "SHARD", 2000)
+    monkeypatch.setattr(passages, "HOT", 2)
+    rng = random.Random(12)
+    pool = [prose(rng, rng.randint(15, 130)).split() for _ in range(30)]
+    texts = []
+    for d in range(220):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(pool)
+            at = rng.randrange(max(1, len(part) - 20)) if rng.random() < 0.5 else 0
+            words += prose(rng, rng.randint(3, 30)).split() + part[at : at + rng.randint(20, 130) if rng.random() < 0.5 else None]
+        texts.append((d, " ".join([*words, *prose(rng, 5).split()])))
+    held, expected, words = {}, {}, {}
+    for d, text in texts:
+        words[d] = text.split()
+        runs = [tuple(words[d][i : i + 40]) for i in range(len(words[d]) - 39)]
+        expected[d] = {j for i, r in enumerate(runs) if held.get(r, d) < d for j in range(i, i + 40)}
+        for r in runs:
+            held.setdefault(r, d)
+    got = {d: set() for d, _ in texts}
+    for r in passages.shared_passages(documents(spark, texts)).collect():
+        first = len(texts[r.doc_id][1][: r.start].split())
+        got[r.doc_id] |= set(range(first, first + r.n_words))
+        other = texts[r.source_id][1].split()[r.source_word : r.source_word + r.source_words]
+        assert r.source_id <= r.doc_id and passages.distance(words[r.doc_id][first : first + r.n_words], other) == r.edits <= 0.2 * max(r.n_words, len(other))
+    every = sum(map(len, expected.values()))
+    lost = sum(len(expected[d] - got[d]) for d in got)
+    assert every > 10_000 and lost <= 0.005 * every, (lost, every)
+    assert sum(not got[d] for d in got if expected[d]) == 0
+
+
+def test_hot_passages(spark, monkeypatch):
+    """A passage of very many documents: each but the first has it."""
+    monkeypatch.setattr(passages, "PACKED", 20_000)
+    rng = random.Random(13)
+    shared = prose(rng, 60)
+    texts = [(d, f"{prose(rng, 10)} {shared} {prose(rng, 20)}") for d in range(400)]
+    got = passages.shared_passages(documents(spark, texts)).collect()
+    assert {r.doc_id for r in got if r.source_id == 0 and r.n_words == 60} >= set(range(1, 400)) - {r.doc_id for r in got if r.n_words > 60}
+    assert {r.doc_id for r in got} == set(range(1, 400)) and all(60 <= r.n_words <= 63 for r in got)  # neighbouring words may agree by chance
