@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..session import local_path
+from ..session import local_path, saved
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 #: Columns that headers alone decide.
@@ -35,6 +35,8 @@ FILE_BYTES = 64 << 20
 #: Rows and payload bytes that a reading task hands to Spark at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 MANIFEST = "_files"
+#: Repeated digests (some hundred bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 _CHUNK, _FED = 1 << 16, 1 << 11
 
 
@@ -130,43 +132,47 @@ def hexadecimal(digest: str) -> str:
 
 
 class Inflated:
-    """One gzip member at a time as a stream that is inflated only as far as it is read."""
+    """One gzip member at a time as a stream that is inflated only as far as it is read, in time linear in what is read."""
 
     def __init__(self, f):
-        self.f, self.raw, self.at = f, b"", 0  # at: where the member starts in raw
+        self.f, self.raw = f, b""
+        self.base, self.next = f.tell(), 0  # where raw begins in the file, and how much of raw is used
 
     def more(self) -> bool:
         got = self.f.read(_CHUNK)
-        self.raw += got
+        self.base += self.next
+        self.raw, self.next = self.raw[self.next :] + got, 0
         return bool(got)
 
     def open_member(self) -> bool:
         """Goes to the next member; False at the end. Takes the length of the whole member if its extra field has it."""
-        if self.at > _CHUNK:
-            self.raw, self.at = self.raw[self.at :], 0
-        while len(self.raw) < self.at + 24 and self.more():
+        while len(self.raw) < self.next + 24 and self.more():
             pass
-        head = self.raw[self.at : self.at + 24]
+        head = self.raw[self.next : self.next + 24]
         if not head.strip(b"\0"):
             return False
         self.whole = None
         if len(head) == 24 and head[:2] == b"\x1f\x8b" and head[3] & 4 and head[12:14] == b"sl" and head[14:16] == b"\x08\0":
             self.whole = struct.unpack("<I", head[16:20])[0]
-        self.z, self.out, self.next = zlib.decompressobj(31), b"", self.at
+        self.start, self.z, self.out = self.base + self.next, zlib.decompressobj(31), b""
         return True
 
     def read(self, n: int) -> bytes:
-        while len(self.out) < n and not self.z.eof:
+        parts, have = [self.out], len(self.out)
+        while have < n and not self.z.eof:
             fed = self.z.unconsumed_tail
             if not fed:
                 if self.next >= len(self.raw) and not self.more():
                     break
-                fed = self.raw[self.next : self.next + _FED]
+                fed = self.raw[self.next : self.next + (_FED if n - have <= _CHUNK else _CHUNK)]
                 self.next += len(fed)
-            self.out += self.z.decompress(fed, max(_CHUNK, n - len(self.out)))
+            got = self.z.decompress(fed, max(_CHUNK, n - have))
+            parts.append(got)
+            have += len(got)
             if self.z.eof:
                 self.next -= len(self.z.unused_data)
-        got, self.out = self.out[:n], self.out[n:]
+        whole = b"".join(parts)
+        got, self.out = whole[:n], whole[n:]
         return got
 
     def head(self) -> bytes:
@@ -182,12 +188,10 @@ class Inflated:
         if not self.whole:
             while not self.z.eof and self.read(_CHUNK):
                 pass
-            self.at = self.next
-        elif self.at + self.whole <= len(self.raw):
-            self.at += self.whole
-        else:
-            self.f.seek(self.at + self.whole - len(self.raw), io.SEEK_CUR)
-            self.raw, self.at = b"", 0
+            return
+        self.next = self.start + self.whole - self.base
+        if self.next > len(self.raw):
+            self.base, self.raw, self.next = self.f.seek(self.start + self.whole), b"", 0
 
 
 def records(f, compressed: bool, wanted) -> Iterator[tuple[Head, bytes | None]]:
@@ -404,7 +408,8 @@ def archive(pages: DataFrame, path: str, least: int = 1000, id_col: str = "page_
     )
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     kept = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(kept, ["payload_digest", "payload_bytes"], "left")
+    kept = saved(kept, "repeated")  # digests only: broadcast where they are few, so that payloads needn't be shuffled
+    rows = rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("keeper").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper")))
     rows = rows.select(
         F.concat(F.lit(PREFIX), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).alias("record_id"),

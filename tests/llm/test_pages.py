@@ -148,3 +148,24 @@ def test_ratios_like_plain_sums():
         expected = {k for k in keys if sums[k] / keys.count(k) >= least} | {max(sums, key=sums.get)}
         got = html_text.content_paths(found)
         assert {k for b, k in zip(found, keys, strict=True) if (b.node.path, b.lowered) in got} == expected
+
+
+@pytest.mark.parametrize("kind", ["gzip", "with length"])
+def test_large_payloads_take_linear_time(kind):
+    import os
+    import time
+
+    big = os.urandom(64 << 20)
+    raws = [warc.record({"record_type": "resource", "payload": p, "record_id": f"r{i}"}) for i, p in enumerate([b"a", big, b"b"])]
+    whole = b"".join({"gzip": lambda r: gzip.compress(r, 1), "with length": warc.member}[kind](r) for r in raws)
+    began = time.time()
+    got = [block for _, block in warc.records(io.BytesIO(whole), True, lambda h: True)]
+    assert time.time() - began < 15 and got == [b"a", big, b"b"]
+    assert [block for _, block in warc.records(io.BytesIO(whole), True, lambda h: h.length < 9)] == [b"a", None, b"b"]
+
+
+def test_repeated_digests_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    path = shared_folder(spark, "warc")
+    warc.archive(pages(spark, ROWS), path)
+    assert warc.archived(spark, path).where("record_type = 'revisit'").count() == 3
