@@ -27,6 +27,8 @@ BUDGET = 0.05
 LEAST_PIECE = 12
 #: Items that a task searches for at once; more are searched for in several passes over its text.
 ITEMS = 20_000
+#: Automata that a worker keeps; where there are more passes, each goes over so much text at once.
+KEPT, TEXT_BYTES = 4, 32 << 20
 #: Hits whose ends lie in the same stretch of so many characters are verified together.
 STRETCH = 64
 
@@ -129,10 +131,11 @@ def myers(bits: dict[str, int], m: int, text: str, anchored: bool = False) -> tu
     return best, at
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=KEPT)
 def pass_items(folder: str, number: int, rate: float) -> Items:
     """One for each worker process and pass; a few are kept."""
-    return Items([(int(i), t) for i, t in zip(arrays.load(folder, f"ids-{number}"), arrays.load(folder, f"texts-{number}"), strict=True)], rate)
+    ids, ends, text = (arrays.load(folder, f"{name}-{number}") for name in ("ids", "ends", "text"))
+    return Items([(i, text[a:b].tobytes().decode()) for i, a, b in zip(ids.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False)], rate)
 
 
 def prepared(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[str, int]:
@@ -146,16 +149,20 @@ def prepared(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[str, i
         return folder, 0
 
     def write(key, table):
-        rows = sorted(zip(table["item"].to_pylist(), map(normal, table["text"].to_pylist()), strict=True))
-        arrays.save(folder, f"ids-{key[0].as_py()}", np.array([i for i, _ in rows], np.int64))
-        arrays.save(folder, f"texts-{key[0].as_py()}", np.array([t for _, t in rows]))
+        put(key[0].as_py(), sorted(zip(table["item"].to_pylist(), map(normal, table["text"].to_pylist()), strict=True)))
         return pa.table({"pass": pa.array([key[0].as_py()], pa.int32())})
 
+    def put(number: int, rows: list[tuple[int, str]]) -> None:
+        """Ids, and texts as bytes end to end with where each ends."""
+        texts = [t.encode() for _, t in rows]
+        for name, array in (("ids", [i for i, _ in rows]), ("ends", np.cumsum([len(t) for t in texts]))):
+            arrays.save(folder, f"{name}-{number}", np.array(array, np.int64))
+        arrays.save(folder, f"text-{number}", np.frombuffer(b"".join(texts), np.uint8))
+
     numbered = items.withColumn("pass", F.pmod(F.xxhash64("item", "text"), F.lit(passes)).cast("int"))
     done = {r[0] for r in numbered.groupBy("pass").applyInArrow(write, "pass int").collect()}
     for number in set(range(passes)) - done:
-        arrays.save(folder, f"ids-{number}", np.zeros(0, np.int64))
-        arrays.save(folder, f"texts-{number}", np.zeros(0, "U1"))
+        put(number, [])
     return folder, passes
 
 
@@ -169,14 +176,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str, out_col: str, ite
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "edits")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in sliced(batches, text_col):
-            texts = [normal(t) for t in batch.column(text_col).to_pylist()]
-            found: list[list[dict]] = [[] for _ in texts]
-            for number in range(passes):
-                items = pass_items(folder, number, rate)
-                for own, text in zip(found, texts, strict=True):
-                    own += [{"item_id": items.ids[i], "start": start, "end": end, "edits": edits} for i, start, end, edits in items.search(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, out_col])
+            held.append(batch)
+            size += batch.column(text_col).nbytes
+            if passes <= KEPT or size >= TEXT_BYTES:
+                yield from searched(held)
+                held, size = [], 0
+        yield from searched(held)
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [[normal(t) for t in batch.column(text_col).to_pylist()] for batch in held]
+        found: list[list[list[dict]]] = [[[] for _ in own] for own in texts]
+        for number in range(passes):
+            items = pass_items(folder, number, rate)
+            for own, rows in zip(found, texts, strict=True):
+                for into, text in zip(own, rows, strict=True):
+                    into += [{"item_id": items.ids[i], "start": start, "end": end, "edits": edits} for i, start, end, edits in items.search(text)]
+        for batch, own in zip(held, found, strict=True):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, kind)], names=[*batch.schema.names, out_col])
 
     return docs.mapInArrow(run, f"{columns}, `{out_col}` {HITS}")
 

@@ -229,3 +229,17 @@ def test_hot_passages(spark, monkeypatch):
     got = passages.shared_passages(documents(spark, texts)).collect()
     assert {r.doc_id for r in got if r.source_id == 0 and r.n_words == 60} >= set(range(1, 400)) - {r.doc_id for r in got if r.n_words > 60}
     assert {r.doc_id for r in got} == set(range(1, 400)) and all(60 <= r.n_words <= 63 for r in got)  # neighbouring words may agree by chance
+
+
+@pytest.mark.parametrize("kept", [1, 4])
+def test_long_and_odd_items(spark, monkeypatch, kept):
+    """One item of a million characters among others, NULs kept, more passes than automata."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 200)
+    monkeypatch.setattr(decontaminate, "KEPT", kept)
+    decontaminate.pass_items.cache_clear()
+    rng = random.Random(14)
+    long = prose(rng, 180_000)
+    items = [(i, prose(rng, 12)) for i in range(1000)] + [(1000, long), (1001, "abc\0")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [(1, f"x {long} y"), (2, f"so {items[500][1]} it is"), (3, "zz abc\0 zz"), (4, "zz abc zz")])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, frame).collect()) == [(1, 1000), (2, 500), (3, 1001)]
