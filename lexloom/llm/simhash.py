@@ -3,11 +3,16 @@
 A fingerprint is cut into segments. Two fingerprints that differ in few bits differ in very few bits of some segment:
 all values near a fingerprint's segment (a small Hamming ball) are looked up in that segment's table, and matches are
 verified over the whole fingerprint. Equal fingerprints are taken together first, so copies cost nothing.
+
+keep_dissimilar() finds documents by the likeness of their shingle sets instead, by the same search over longer fingerprints,
+whose length follows from the likeness and the number of documents; see Plan.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -119,3 +124,149 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     groups = simhash_groups(docs, id_col, text_col, radius, segments, width)
     gone = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Segments of the long fingerprints, bits of each, and bits in which two documents of the wanted likeness may differ."""
+
+    segments: int
+    bits: int
+    radius: int
+
+    @classmethod
+    def of(cls, rows: int, least: float) -> Plan:
+        """For shingle sets of a Jaccard likeness of `least`, whose fingerprints differ in a bit with probability angle / pi.
+
+        A segment has some bits more than the rows' number, so that strangers seldom meet; there are so many segments that
+        one of them differs in at most one bit for 97 of 100 pairs just at the threshold. The radius is three standard
+        deviations above what such a pair differs in on average.
+        """
+        differs = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
+        bits = min(56, max(12, math.ceil(math.log2(max(1, rows))) + 2))
+        meets = (1 - differs) ** bits + bits * differs * (1 - differs) ** (bits - 1)
+        segments = max(1, math.ceil(math.log(0.03) / math.log1p(-meets))) if meets < 1 else 1
+        n = segments * bits
+        return cls(segments, bits, min(n, math.ceil(n * differs + 3 * math.sqrt(n * differs * (1 - differs)))))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(32)
+
+
+def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts, as hashes: text number and hash, sorted. Fewer words than a shingle are one; no word, none."""
+    flat: list[bytes] = []
+    ends = []
+    for text in texts:
+        flat += (text or "").encode().lower().split()
+        ends.append(len(flat))
+    at = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, at), np.uint64, len(at))[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))]
+    size = np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(len(ends)), size)
+    run = np.zeros(len(h), np.uint64)
+    for k in range(width):  # beyond a text's end nothing is added; only short texts keep such a run
+        own = h[k:] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1)
+        run[: len(own)] += np.where(owner[k:] == owner[: len(own)], own, np.uint64(0))
+    place = np.arange(len(h)) - np.repeat(np.array([0, *ends[:-1]]) if ends else np.zeros(0, np.int64), size)
+    whole = place <= np.maximum(size[owner] - width, 0)
+    owner, run = owner[whole], _mixed(run[whole])
+    order = np.lexsort((run, owner))
+    owner, run = owner[order], run[order]
+    first = np.ones(len(run), bool)
+    first[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
+    return owner[first], run[first]
+
+
+def long_fingerprints(texts: list[str | None], width: int, plan: Plan) -> np.ndarray:
+    """A row of segments for each text."""
+    owner, run = shingle_sets(texts, width)
+    n = np.bincount(owner, minlength=len(texts))
+    bits = np.zeros((len(texts), 64 * -(-plan.segments * plan.bits // 64)), bool)
+    for word in range(bits.shape[1] // 64):
+        each = _mixed(run * np.uint64(2 * word + 3) + np.uint64(word + 1)).view(np.uint8).reshape(-1, 8)
+        for byte in range(8):
+            ones = np.bincount(owner * 256 + each[:, byte], minlength=256 * len(texts)).reshape(len(texts), 256) @ _BITS_OF
+            bits[:, 64 * word + 8 * byte : 64 * word + 8 * byte + 8] = 2 * ones > n[:, None]
+    own = bits[:, : plan.segments * plan.bits].reshape(len(texts), plan.segments, plan.bits)
+    return (own.astype(np.int64) << np.arange(plan.bits)).sum(axis=2)
+
+
+def similar_pairs(docs: DataFrame, id_col: str, text_col: str, least: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, first: the smallest id with its fingerprint) and verified pairs a, b of such first ids whose shingle sets are alike.
+
+    First each class is compared with the smallest of each of its buckets of equal segments, once per segment; those found
+    alike have a representative. Then balls of radius 1 around the segments are looked up, but for pairs of which both have
+    one, as in a large group they all do. So groups cost in proportion to their size; a group hangs together by its
+    representatives.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
+    plan = Plan.of(rows.count(), least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            found = long_fingerprints(batch.column("text").to_pylist(), width, plan)
+            ends = pa.array(np.arange(0, found.size + 1, plan.segments), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=["id", "fp"])
+
+    fps = saved(rows.mapInArrow(run, "id long, fp array<long>"), "fingerprints")
+    classes = saved(fps.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    own = classes.select(F.col("first").alias("id"), "fp", F.posexplode("fp").alias("segment", "value"))
+    leaders = own.groupBy("segment", "value").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    led = own.select("id", "segment", "value").join(saved(leaders, "leaders"), ["segment", "value"]).where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    first = saved(_alike(led, classes, rows, plan, least, width), "alike")
+    covered = first.select(F.col("b").alias("first"), F.lit(True).alias("covered")).distinct()
+    marked = saved(classes.join(covered, "first", "left").select(F.col("first").alias("id"), F.coalesce("covered", F.lit(False)).alias("covered"), "fp"), "marked")
+    exact = marked.select("id", "covered", F.posexplode("fp").alias("segment", "value"))
+    # two values that differ in one bit: the one that lacks it meets the other when it is set
+    masks = F.lit([1 << b for b in range(plan.bits)]).cast("array<bigint>")
+    ball = F.concat(F.array("value"), F.transform(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) == 0), lambda m: F.col("value").bitwiseOR(m)))
+    balls_ = exact.select(F.col("id").alias("other"), F.col("covered").alias("other_covered"), "segment", F.explode(ball).alias("value"))
+    met = exact.join(balls_.where("not other_covered"), ["segment", "value"]).unionByName(exact.where("not covered").join(balls_.where("other_covered"), ["segment", "value"]))
+    met = met.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return fps.join(classes, "fp").select("id", "first"), first.unionByName(_alike(met, classes, rows, plan, least, width))
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame, plan: Plan, least: float, width: int) -> DataFrame:
+    """Of the pairs a, b those whose fingerprints are near and whose shingle sets are alike."""
+    one, two = (classes.select(F.col("first").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+    far = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
+    near = saved(pairs.join(one, "a").join(two, "b").where(far <= plan.radius).select("a", "b"), "near")
+    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            owner, run = shingle_sets(batch.column("text").to_pylist(), width)
+            parts = np.split(run, np.searchsorted(owner, np.arange(1, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "shingles"])
+
+    # equal ids with several texts: the one of them that comes last in order
+    held = saved(rows.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles")), "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("one"), batch.column("two"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    joined = near.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
+    return joined.mapInArrow(verify, "a long, b long")
+
+
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of docs, with their own columns, but for those that a chain of near-duplicates joins to a smaller id.
+
+    Near-duplicates are texts whose sets of `width`-word shingles (A-Z in lower case) have a Jaccard likeness of at least
+    `least`. Texts without a word are copies of each other. Rows without an id stay, and so do rows that repeat an id that stays.
+    """
+    classes, pairs = similar_pairs(docs, id_col, text_col, least, width)
+    parts = components(pairs)
+    grouped = classes.join(parts, classes["first"] == parts["node"], "left").select("id", F.coalesce("component", "first").alias("kept"))
+    gone = grouped.where("id > kept").select(F.col("id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
