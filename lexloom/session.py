@@ -78,11 +78,15 @@ def saved_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Removes folders of shared_folder(); without paths all that this process has named: call it so when its results are written."""
+    """Removes folders of shared_folder(); without paths all that this process has named: call it so when its results are written.
+
+    Spark removes the shuffle files of finished queries when the driver's objects for them are collected, so it is asked to.
+    """
     for path in paths or tuple(_named):
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         _named.remove(path)
+    spark._jvm.System.gc()
 
 
 def local_path(uri: str) -> str | None:
