@@ -48,19 +48,29 @@ def narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32 if counts.size and counts.max() < 1 << 32 else np.uint64)
 
 
+def exists(folder: str, name: str) -> bool:
+    path = local_path(folder)
+    if path is None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        return store.get_file_info(f"{root}/{name}.npy").type == fs.FileType.File
+    return os.path.exists(f"{path}/{name}.npy")
+
+
 def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """Sorted distinct uint64 keys and columns of uint32; differences and counts are small, so their high bytes vanish."""
+    """Sorted keys and columns, all as uint64; differences and counts are small, so their high bytes vanish."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(keys), -1).T).tobytes() for a in (steps, *(v.astype("<u4") for v in values))]
+    planes = [np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(keys), -1).T).tobytes() for a in (steps, *values)]
     return np.array([len(keys), len(values)], "<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, ...]:
+def unpack(block: bytes, dtype=np.int64) -> tuple[np.ndarray, ...]:
+    """The keys, and the columns as dtype."""
     n, m = np.frombuffer(block[:16], "<u8").tolist()
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[16:], max_output_size=n * (8 + 4 * m)) if n else b"", np.uint8)
-    steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    values = [np.ascontiguousarray(raw[n * (8 + 4 * i) : n * (12 + 4 * i)].reshape(4, n).T).view("<u4").ravel() for i in range(m)]
-    return np.cumsum(steps, dtype=np.uint64), *values
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[16:], max_output_size=8 * n * (1 + m)) if n else b"", np.uint8)
+    steps, *values = (np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view("<u8").ravel() for i in range(1 + m))
+    return np.cumsum(steps, dtype=np.uint64), *(v.astype(dtype) for v in values)
 
 
 def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:

@@ -1,19 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted arrays, read by memory mapping.
-
-Counting. Each task sums what it reads and emits one compact block per shard: first words (by their 64-bit hash), then
-pairs of word ids. A shard is merged by one task and written as sorted keys and counts to the shared folder. Words are
-dealt by ranges of their hash, pairs by a hash of both words, so a frequent word's pairs lie in all shards. What a word
-needs as a context (how often, and after how many words once, twice or more) and as a continuation (after how many
-different words) is summed per shard of pairs and then per shard of words.
-
-Scoring. A task looks up the distinct words and pairs of a slice of text, sorted, shard by shard, in the mapped arrays.
-Nothing of the model is collected or broadcast but its shards' sizes and its totals.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, read by memory mapping.
+
+Counting. Words are counted first, by shards that are ranges of their 64-bit hash; a word's id is its place among all. Then
+each task sums the n-grams of what it reads and emits one compact block of ids per shard. A shard is merged by one task and
+written as sorted 64-bit hashes of n-grams and counts of a byte (larger ones apart) to the shared folder. N-grams are
+dealt by the hash of their context, so that a context's totals are known where its n-grams are; pairs of words are dealt by
+both, so a frequent word's pairs lie in all shards, and its totals are summed per shard of words. Each level hands the
+next lower one its distinct n-grams without their first word: there they are counted by how many words stand before them.
+The number of shards follows from the text, so that a shard has the same size whatever the corpus.
+
+Scoring. A task looks up the n-grams of a slice of text, sorted, shard by shard, in the mapped arrays. Nothing of the model
+is collected or broadcast but its shards' sizes and its totals. Of stores that aren't mounted a worker reads one shard
+after another and keeps a few.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,16 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved, shared_folder
+from ..session import shared_folder
 from . import arrays
 from .common import sliced
 
+#: Words of an n-gram.
+ORDER = 3
 #: The token that ends each text; no word is a space.
 END = b" "
-#: Text that a task scores at once, and words and pairs that it holds before it emits them.
-SLICE, WORDS, PAIRS = 6 << 20, 600_000, 4_000_000
-#: Ids are kept in 32 bits; the context before a text's first word has this one.
-START = (1 << 32) - 1
+#: Text that a task counts or scores at once, words that it holds before it emits them, and text to each shard.
+SLICE, WORDS, SHARD = 6 << 20, 600_000, 12 << 20
+#: The id of what stands before a text's first word.
+START = 1 << 62
+#: Bytes of arrays that a worker keeps where they aren't mapped.
+HELD = 128 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -45,42 +52,73 @@ class Model:
     """Where the arrays are, how many words each shard has, and totals."""
 
     folder: str
+    order: int
     sizes: tuple[int, ...]  # words of each shard
     tokens: int
-    pairs: int  # shards of pairs
     types: int  # different pairs
-    discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
-    lower_mass: float  # of the lower order, for words not seen
-    start: tuple[int, int, int, int]  # START as a context: how often, and words after it once, twice, more often
+    discounts: tuple[tuple[float, float, float], ...]  # of each level, from single words on
+    lower_mass: float  # of the lowest level, for words not seen
+    start: tuple[int, int, int, int]  # START as a context of pairs: how often, and words after it once, twice, more often
 
     @property
     def vocabulary(self) -> int:
         return sum(self.sizes)
 
+    @property
+    def shards(self) -> int:
+        return len(self.sizes)
+
 
 def hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
-def word_shard(h: np.ndarray, shards: int) -> np.ndarray:
-    """By ranges, so that shards in order are words in order of their hash."""
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(32)
+
 
+def gram(columns: list[np.ndarray]) -> np.ndarray:
+    """The hash of each n-gram; columns: the ids of its words."""
+    h = np.full(len(columns[0]) if columns else 0, len(columns), np.uint64)
+    for c in columns:
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1))
+    return h
 
-def pair_shard(key: np.ndarray, shards: int) -> np.ndarray:
-    mixed = (key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return ((mixed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """By ranges, so that shards in order are hashes in order."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(shard: np.ndarray, shards: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """A block for each shard of sorted keys with their values."""
+def cut(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has rows, and its rows in order."""
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    held = [s for s in range(shards) if ends[s] < ends[s + 1]]
-    blocks = [arrays.pack(keys[own], *(v[own] for v in values)) for own in (order[ends[s] : ends[s + 1]] for s in held)]
-    return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
+    for s in np.flatnonzero(np.diff(ends)).tolist():
+        yield s, order[ends[s] : ends[s + 1]]
+
+
+def batch_of(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["shard", "block"])
+
+
+def dealt(columns: list[np.ndarray], counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A block for each shard of the n-grams of those words, with their counts."""
+    home = shard_of(gram(columns[:-1] if len(columns) > 2 else columns), shards)
+    out = []
+    for s, own in cut(home, shards):
+        own = own[np.argsort(columns[0][own], kind="stable")]
+        out.append((s, arrays.pack(columns[0][own], *(c[own] for c in (*columns[1:], counts)))))
+    return batch_of(out)
+
+
+def save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts of a byte; where one doesn't fit, it is 255 and stands apart with its place."""
+    big = np.flatnonzero(counts > 254)
+    arrays.save(folder, f"{name}", np.minimum(counts, 255).astype(np.uint8))
+    arrays.save(folder, f"{name}-big", np.stack([big, counts[big]]).astype(np.int64))
 
 
 class Tokens:
@@ -93,30 +131,53 @@ class Tokens:
             flat += words(text)
             flat.append(END)
             ends.append(len(flat))
-        self.distinct = list(dict.fromkeys(flat))
-        place = dict(zip(self.distinct, range(len(self.distinct)), strict=True))
+        place = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        self.distinct = list(place)
         self.place = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
         self.ends = np.array(ends, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        self.within = np.arange(len(flat)) - np.repeat(self.starts, self.ends - self.starts)
+
+    def before(self, own: np.ndarray, k: int) -> np.ndarray:
+        """For each token the id of that k places before it in its text, or START."""
+        if not k:
+            return own
+        out = np.concatenate([own[:k], own[:-k]]) if k < len(own) else own.copy()
+        out[self.within < k] = START
+        return out
 
 
 class Lookup:
     """A model's arrays, opened as they are needed."""
 
     def __init__(self, folder: str):
-        self.folder = folder
-        self.load = functools.cache(lambda name: arrays.load(folder, name))
+        self.folder, self.mapped, self.held, self.size = folder, {}, OrderedDict(), 0
+
+    def load(self, name: str) -> np.ndarray:
+        if name in self.mapped:
+            return self.mapped[name]
+        if name in self.held:
+            self.held.move_to_end(name)
+            return self.held[name]
+        found = arrays.load(self.folder, name)
+        if isinstance(found, np.memmap):
+            self.mapped[name] = found
+            return found
+        self.held[name] = found
+        self.size += found.nbytes
+        while self.size > HELD and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return found
 
     def ids(self, distinct: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
         """Each word's id, its place in the order of all words; -1 if it isn't there."""
         h = hashes(distinct)
         out = np.full(len(h), -1, np.int64)
-        order = np.argsort(h)
         first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        ends = np.searchsorted(word_shard(h[order], len(sizes)), np.arange(len(sizes) + 1))
-        for s in np.flatnonzero(np.diff(ends)):
+        order = np.argsort(h)
+        for s, own in cut(shard_of(h[order], len(sizes)), len(sizes)):
             if sizes[s]:
-                own = order[ends[s] : ends[s + 1]]
+                own = order[own]
                 known = self.load(f"words-{s}")
                 at = np.minimum(np.searchsorted(known, h[own]), sizes[s] - 1)
                 out[own] = np.where(known[at] == h[own], first[s] + at, -1)
@@ -133,35 +194,33 @@ class Lookup:
             out[own] = self.load(f"{name}-{s}")[ids[own] - first[s]].reshape(-1, width)
         return out
 
-    def of_pairs(self, keys: np.ndarray, shards: int) -> np.ndarray:
-        """How often each of the sorted distinct pairs was seen."""
-        out = np.zeros(len(keys), np.int64)
-        shard = pair_shard(keys, shards)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(ends)):
-            own = order[ends[s] : ends[s + 1]]
-            known = self.load(f"pairs-{s}")
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
-                out[own] = np.where(known[at] == keys[own], self.load(f"pair_counts-{s}")[at], 0)
+    def of_grams(self, names: tuple[str, ...], keys: np.ndarray, home: np.ndarray, shards: int) -> np.ndarray:
+        """For each key a row of the counts in each of the arrays `names`; zeros for keys that aren't in its home shard."""
+        out = np.zeros((len(keys), len(names) - 1), np.int64)
+        order = np.argsort(keys)
+        for s, own in cut(home[order], shards):
+            own = order[own]
+            known = self.load(f"{names[0]}-{s}")
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
+            there = np.flatnonzero(known[at] == keys[own])
+            at, own = at[there], own[there]
+            for k, name in enumerate(names[1:]):
+                n = self.load(f"{name}-{s}")[at].astype(np.int64)
+                if (large := np.flatnonzero(n == 255)).size:
+                    big = self.load(f"{name}-{s}-big")
+                    n[large] = big[1][np.searchsorted(big[0], at[large])]
+                out[own, k] = n
         return out
 
 
-@functools.cache
+@functools.lru_cache(maxsize=2)
 def lookup(folder: str) -> Lookup:
-    """One for each worker process."""
+    """One for each worker process and model; two models are kept."""
     return Lookup(folder)
 
 
-def pair_keys(tokens: Tokens, ids: np.ndarray) -> np.ndarray:
-    """For each token, the pair of the id before it and its own."""
-    own = ids[tokens.place].astype(np.uint64)
-    before = np.concatenate([own[:1], own[:-1]])
-    before[tokens.starts] = START
-    return before << np.uint64(32) | own
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """What is taken off counts of one, two and more, from how many counts are one to four."""
     if not (n1 and n2):
@@ -175,12 +234,13 @@ def taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array((0.0, *d))[np.minimum(counts, 3)]
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Model:
-    """Counts the whole texts of all rows, null as empty, and writes the model to the shared folder."""
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """Counts the whole texts of all rows, null as empty, and writes the model, of n-grams up to `order` (at least 2), to the shared folder."""
     spark = texts.sparkSession
     folder = shared_folder(spark, "kneser-ney")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.select(texts[text_col].alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: Counter = Counter()
@@ -188,7 +248,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         def flush() -> pa.RecordBatch:
             h, n = arrays.summed([(hashes(list(counted)), np.fromiter(counted.values(), np.int64, len(counted)))])
             counted.clear()
-            return dealt(word_shard(h, shards), shards, h, n)
+            return batch_of([(s, arrays.pack(h[own], n[own])) for s, own in cut(shard_of(h, shards), shards)])
 
         for batch in sliced(batches, "text"):
             for text in batch.column("text").to_pylist():
@@ -209,48 +269,56 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     blocks = rows.mapInArrow(count_words, "shard int, block binary")
     merged = {r.shard: r for r in blocks.groupBy("shard").applyInArrow(merge_words, "shard int, words long, tokens long").collect()}
     sizes = tuple(merged[s].words if s in merged else 0 for s in range(shards))
-    if sum(sizes) >= START:
-        raise ValueError("more different words than ids")
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, n = arrays.summed(held)
-            held.clear()
-            return dealt(pair_shard(keys, shards), shards, keys, n)
-
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE):
             tokens = Tokens(batch.column("text").to_pylist())
-            keys, n = np.unique(pair_keys(tokens, lookup(folder).ids(tokens.distinct, sizes)), return_counts=True)
-            held.append((keys, n))
-            if sum(len(k) for k, _ in held) > PAIRS:
-                held[:] = [arrays.summed(held)]
-                if len(held[0][0]) > PAIRS // 2:
-                    yield flush()
-        if held:
-            yield flush()
-
-    def merge_pairs(key, table):
-        """Writes the shard; returns what its words' shards need of it, under their number, and under -1 its own totals."""
-        shard = key[0].as_py()
-        keys, n = arrays.summed([arrays.unpack(b) for b in table["block"].to_pylist()])
-        arrays.save(folder, f"pairs-{shard}", keys)
-        arrays.save(folder, f"pair_counts-{shard}", arrays.narrow(n))
-        before, after = keys >> np.uint64(32), keys & np.uint64(START)
-        at_start = before == START
-        starting = [int(x) for x in (n[at_start].sum(), *((np.minimum(n[at_start], 3) == k).sum() for k in (1, 2, 3)))]
-        totals = [len(keys), *((n == k).sum() for k in (1, 2, 3, 4)), *starting]
-        small = np.minimum(n, 3)
-        zero = np.zeros(len(n), np.int64)
-        as_context = (before[~at_start], *(x[~at_start] for x in (n, small == 1, small == 2, small == 3)), zero[~at_start])
-        ids, *columns = arrays.summed([as_context, (after, zero, zero, zero, zero, zero + 1)])
-        part = np.searchsorted(first, ids.astype(np.int64), "right") - 1
-        ends = np.searchsorted(part, np.arange(shards + 1))
-        held = [s for s in range(shards) if ends[s] < ends[s + 1]]
-        blocks = [arrays.pack(ids[ends[s] : ends[s + 1]], *(c[ends[s] : ends[s + 1]] for c in columns)) for s in held]
-        return pa.table({"shard": pa.array([-1, *held], pa.int32()), "block": pa.array([None, *blocks], pa.binary()), "totals": pa.array([[int(t) for t in totals], *[None] * len(held)], pa.list_(pa.int64()))})
+            own = lookup(folder).ids(tokens.distinct, sizes).astype(np.uint64)[tokens.place]
+            columns = [tokens.before(own, k) for k in range(order - 1, -1, -1)]
+            _, at, n = np.unique(gram(columns), return_index=True, return_counts=True)
+            yield dealt([c[at] for c in columns], n, shards)
+
+    def merge_grams(level: int):
+        def merge(key, table):
+            """Writes the shard of a level; returns the next lower level's blocks, or after pairs what their words' shards need."""
+            shard = key[0].as_py()
+            parts = [arrays.unpack(b, np.uint64) for b in table["block"].to_pylist()]
+            *columns, n = (np.concatenate([p[i] for p in parts]) for i in range(level + 1))
+            h = gram(columns)
+            by = np.argsort(h, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
+            n = np.add.reduceat(n[by].astype(np.int64), starts)
+            at = by[starts]
+            columns, h = [c[at] for c in columns], h[at]
+            arrays.save(folder, f"grams{level}-{shard}", h)
+            save_counts(folder, f"counts{level}-{shard}", n)
+            totals = [len(h), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
+            if level > 2:
+                context = gram(columns[:-1])
+                by = np.argsort(context, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], context[by][1:] != context[by][:-1]]))
+                total, *after = (np.add.reduceat(x[by], starts) for x in (n, n == 1, n == 2, n > 2))
+                own = (total > 1) | (columns[0][by[starts]] == START)  # of others it is enough that they are known
+                arrays.save(folder, f"contexts{level}-{shard}", context[by[starts]][own])
+                for name, x in zip(("total", "once", "twice", "more"), (total, *after), strict=True):
+                    save_counts(folder, f"{name}{level}-{shard}", x[own].astype(np.int64))
+                rest = columns[1:]
+                _, at, n = np.unique(gram(rest), return_index=True, return_counts=True)
+                arrays.save(folder, f"totals{level}-{shard}", np.array(totals, np.int64))
+                batch = dealt([c[at] for c in rest], n, shards)
+                return pa.Table.from_batches([batch])
+            before, after = columns
+            at_start = before == START
+            starting = [int(x) for x in (n[at_start].sum(), *((np.minimum(n[at_start], 3) == k).sum() for k in (1, 2, 3)))]
+            arrays.save(folder, f"totals{level}-{shard}", np.array([*totals, *starting], np.int64))
+            small, zero = np.minimum(n, 3), np.zeros(len(n), np.int64)
+            as_context = (before[~at_start], *(x[~at_start] for x in (n, small == 1, small == 2, small == 3)), zero[~at_start])
+            ids, *stats = arrays.summed([as_context, (after, zero, zero, zero, zero, zero + 1)])
+            part = np.searchsorted(first, ids.astype(np.int64), "right") - 1
+            return pa.Table.from_batches([batch_of([(s, arrays.pack(ids[own], *(c[own] for c in stats))) for s, own in cut(part, shards)])])
+
+        return merge
 
     def merge_stats(key, table):
         shard = key[0].as_py()
@@ -261,26 +329,44 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         continued = rows[:, 4]
         return pa.table({"totals": pa.array([[int((continued == k).sum()) for k in (1, 2, 3, 4)] + [int((continued > 2).sum())]], pa.list_(pa.int64()))})
 
-    blocks = rows.mapInArrow(count_pairs, "shard int, block binary")
-    partial = saved(blocks.groupBy("shard").applyInArrow(merge_pairs, "shard int, block binary, totals array<long>"), "stats")
-    totals = _sums(partial.where("shard = -1"), 9)
-    lower = _sums(partial.where("shard >= 0").groupBy("shard").applyInArrow(merge_stats, "totals array<long>"), 5)
-    d, lower_d = discounts(*totals[1:5]), discounts(*lower[:4])
-    mass = (lower_d[0] * lower[0] + lower_d[1] * lower[1] + lower_d[2] * lower[4]) / totals[0] if totals[0] else 1.0
-    return Model(folder, sizes, sum(r.tokens for r in merged.values()), shards, totals[0], d, lower_d, mass, tuple(totals[5:]))
-
-
-def _sums(rows: DataFrame, n: int) -> list[int]:
-    return [x or 0 for x in rows.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(n))).first()]
+    blocks = rows.mapInArrow(count_grams, "shard int, block binary")
+    for level in range(order, 1, -1):
+        blocks = blocks.groupBy("shard").applyInArrow(merge_grams(level), "shard int, block binary")
+    lower = blocks.groupBy("shard").applyInArrow(merge_stats, "totals array<long>")
+    lower = [x or 0 for x in lower.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(5))).first()]
+
+    def total(level: int, width: int) -> list[int]:
+        """The sum of a level's totals, which lie with its shards, and empty arrays for shards without n-grams."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.zeros(width, np.int64)
+                for s in batch.column("id").to_pylist():
+                    if arrays.exists(folder, f"totals{level}-{s}"):
+                        own += arrays.load(folder, f"totals{level}-{s}")
+                        continue
+                    for name in (f"grams{level}", f"contexts{level}"):
+                        arrays.save(folder, f"{name}-{s}", np.zeros(0, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.int64()))], names=["totals"])
+
+        found = spark.range(shards).mapInArrow(add, "totals array<long>")
+        return [x or 0 for x in found.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(width))).first()]
+
+    totals = {level: total(level, 9 if level == 2 else 5) for level in range(2, order + 1)}
+    every = (discounts(*lower[:4]), *(discounts(*totals[level][1:5]) for level in range(2, order + 1)))
+    # the lowest level counts, for each word, the different words before it: as many as there are different pairs
+    types = totals[2][0]
+    mass = (every[0][0] * lower[0] + every[0][1] * lower[1] + every[0][2] * lower[4]) / types if types else 1.0
+    return Model(folder, order, sizes, sum(r.tokens for r in merged.values()), types, every, mass, tuple(totals[2][5:]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, n_known (tokens seen in training), base_score and score (log10 probabilities of the text).
 
     base_score: each token by itself, half a count added to each of the seen tokens and one more. score: the model's,
-    where a pair's counts are discounted and interpolated with the lower order, and that with the uniform distribution
-    over the vocabulary and one unknown word. A null or empty text is its end token alone. Every row gives one row; ids
-    may be null or repeat, other columns are no matter.
+    where an n-gram's counts are discounted and interpolated with the next lower level, and the lowest with the uniform
+    distribution over the vocabulary and one unknown word. A null or empty text is its end token alone. Every row gives one
+    row; ids may be null or repeat, other columns are no matter.
     """
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].alias("text"))
     return score_rows(rows, model, "text", SCORES).drop("text")
@@ -310,19 +396,36 @@ def scores_of(texts: list[str | None], model: Model, own: Lookup) -> dict[str, n
     seen = own.of_words("word_counts", ids, model.sizes, 1)[:, 0]
     stats = own.of_words("stats", ids, model.sizes, 5)
     base = np.log10((seen + 0.5) / (n + 0.5 * (size + 1)))
-    lower = np.maximum(stats[:, 4] - taken(stats[:, 4], model.lower_discounts), 0) / max(model.types, 1) + model.lower_mass / (size + 1)
+    lower = np.maximum(stats[:, 4] - taken(stats[:, 4], model.discounts[0]), 0) / max(model.types, 1) + model.lower_mass / (size + 1)
     p = lower[tokens.place]
-    context = np.concatenate([stats[:, :4], [model.start]])  # the last row is START
-    before = np.concatenate([tokens.place[:1], tokens.place[:-1]])
-    before[tokens.starts] = len(stats)
-    often = context[before, 0]
-    met = np.flatnonzero((often > 0) & (ids[tokens.place] >= 0))
-    keys, back = np.unique(pair_keys(tokens, ids)[met], return_inverse=True)
-    pairs = np.zeros(len(p), np.int64)
-    pairs[met] = own.of_pairs(keys, model.pairs)[back]
-    kept = context[:, 1:] @ np.array(model.discounts)
-    known = often > 0
-    p[known] = np.maximum(pairs - taken(pairs, model.discounts), 0)[known] / often[known] + kept[before[known]] / often[known] * p[known]
+    row = ids.astype(np.uint64)[tokens.place]
+    known = ids[tokens.place] >= 0
+    before = tokens.before(tokens.place.astype(np.uint64), 1)
+    before[tokens.within < 1] = len(stats)
+    # contexts of pairs are single words; the last row is START
+    after = np.concatenate([stats[:, :4], [model.start]])[before.astype(np.int64)] if len(p) else np.zeros((0, 4), np.int64)
+    for level in range(2, model.order + 1):
+        columns = [tokens.before(row, k) for k in range(level - 1, -1, -1)]
+        if level > 2:
+            context = gram(columns[:-1])
+            wanted = np.flatnonzero(met_before | (tokens.within < level - 1))
+            after = np.zeros((len(p), 4), np.int64)
+            home = shard_of(context[wanted], model.shards)
+            after[wanted] = own.of_grams((f"contexts{level}", *(f"{x}{level}" for x in ("total", "once", "twice", "more"))), context[wanted], home, model.shards)
+            after[met_before & (after[:, 0] == 0)] = (1, 1, 0, 0)  # contexts seen once aren't kept
+        often = after[:, 0]
+        met = np.flatnonzero((often > 0) & known)
+        keys = gram([c[met] for c in columns])
+        counts = np.zeros(len(p), np.int64)
+        home = shard_of(gram([c[met] for c in columns[:-1]]) if level > 2 else keys, model.shards)
+        counts[met] = own.of_grams((f"grams{level}", f"counts{level}"), keys, home, model.shards)[:, 0]
+        d = model.discounts[level - 1]
+        has = often > 0
+        p[has] = (np.maximum(counts - taken(counts, d), 0)[has] + (after[has, 1:] @ np.array(d)) * p[has]) / often[has]
+        # whether the words before each token, one less than a context of the next level has, were seen as an n-gram
+        found = counts > 0
+        met_before = np.concatenate([[False], found[:-1]]) if len(found) else found
+        met_before[tokens.within < level] = False
     n_known, base_score, score = (np.add.reduceat(x, tokens.starts) if len(p) else x for x in ((seen > 0).astype(np.int64)[tokens.place], base[tokens.place], np.log10(p)))
     return {"n_tokens": tokens.ends - tokens.starts, "n_known": n_known, "base_score": base_score, "score": score}
 
@@ -332,8 +435,8 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 1, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Trains on the documents that aren't held out and scores all: as score(), with held_out and train_tokens."""
-    model = train(docs.where(~held_out(docs[id_col])), text_col)
+    model = train(docs.where(~held_out(docs[id_col])), text_col, order)
     scored = score(docs, model, id_col, text_col)
     return scored.select(id_col, held_out(scored[id_col]).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
