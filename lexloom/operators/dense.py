@@ -47,6 +47,11 @@ def embedded(rows: DataFrame, text_col: str, out_col: str, encoder: Callable[[st
     return rows.mapInArrow(run, f"{columns}, `{out_col}` array<double>")
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as rows, without Python objects."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def dense_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The k largest inner products of each query: query_id, chunk_id, score, rank; ties by chunk_id.
 
@@ -71,13 +76,14 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = np.array(batch.column("ids")[row].as_py())
-                own = np.array(batch.column("vectors")[row].as_py())
-                wanted = batch.column("asked")[row].as_py()
-                scores = np.round(np.array([w["vector"] for w in wanted]) @ own.T, 9)  # equal vectors tie
+                ids = batch.column("ids")[row].values.to_numpy(zero_copy_only=False)
+                own = _matrix(batch.column("vectors")[row].values)
+                wanted = batch.column("asked")[row].values
+                asked_ids = wanted.field("query_id").to_numpy(zero_copy_only=False)
+                scores = np.round(_matrix(wanted.field("vector")) @ own.T, 9)  # equal vectors tie
                 best = [np.lexsort((ids, -s))[:k] for s in scores]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([w["query_id"] for w in wanted], [len(b) for b in best]), pa.int64()), pa.array(np.concatenate([ids[b] for b in best])), pa.array(np.concatenate([s[b] for s, b in zip(scores, best, strict=True)]))],
+                    [pa.array(np.repeat(asked_ids, [len(b) for b in best]), pa.int64()), pa.array(np.concatenate([ids[b] for b in best])), pa.array(np.concatenate([s[b] for s, b in zip(scores, best, strict=True)]))],
                     names=["query_id", "chunk_id", "score"],
                 )
 

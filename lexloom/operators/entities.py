@@ -77,6 +77,16 @@ def neighbours(seeds: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
     return ranked.where(F.col("rank") <= most).select("query_id", "seed", F.col("near").alias("chunk_id"))
 
 
+def first_neighbours(seeds: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
+    """As neighbours(), from entities (chunk_id, entity) and without the edges: of an entity's chunks its first most + 1 are enough."""
+    order = Window.partitionBy("entity").orderBy("chunk_id")
+    first = entities.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most + 1).select("entity", F.col("chunk_id").alias("near"))
+    asked = seeds.select("query_id", F.col("chunk_id").alias("seed"))
+    met = asked.join(entities.select(F.col("chunk_id").alias("seed"), "entity"), "seed").join(first, "entity").where("near <> seed").select("query_id", "seed", "near").distinct()
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("near")))
+    return ranked.where(F.col("rank") <= most).select("query_id", "seed", F.col("near").alias("chunk_id"))
+
+
 def matches(query_entities: DataFrame, entities: DataFrame) -> DataFrame:
     """query_id, chunk_id, score: one for each of a query's entities (repeats count) that a chunk has, in any case."""
     own = entities.select("chunk_id", F.lower("entity").alias("entity")).distinct()

@@ -47,10 +47,10 @@ def expansions(question: Column, hypothetical: Column | None = None, concepts: d
     )
 
 
-def analyzed(queries: DataFrame, concepts: dict[str, list[str]] = L.CONCEPTS) -> DataFrame:
-    """query_id, text, query_type, citations, key_concepts, expanded_queries."""
+def analyzed(queries: DataFrame, concepts: dict[str, list[str]] = L.CONCEPTS, hypothetical=None) -> DataFrame:
+    """query_id, text, query_type, citations, key_concepts, expanded_queries; hypothetical: a function of the question to a made-up answer."""
     q = F.col("text")
-    return queries.select("query_id", "text", intent(q).alias("query_type"), T.found(q, T.CITATION).alias("citations"), T.contained(q, L.concept_terms(concepts)).alias("key_concepts"), expansions(q, None, concepts).alias("expanded_queries"))
+    return queries.select("query_id", "text", intent(q).alias("query_type"), T.found(q, T.CITATION).alias("citations"), T.contained(q, L.concept_terms(concepts)).alias("key_concepts"), expansions(q, hypothetical(q) if hypothetical else None, concepts).alias("expanded_queries"))
 
 
 def last_dense(queries: DataFrame, chunks: DataFrame, k: int, combine: str = "last") -> DataFrame:
@@ -65,11 +65,12 @@ def last_dense(queries: DataFrame, chunks: DataFrame, k: int, combine: str = "la
     return hits.groupBy("query_id", "chunk_id").agg(best.alias("score"), F.min("ord").alias("ord"), F.min_by("rank", "ord").alias("rank"))
 
 
-def candidates(dense_hits: DataFrame, bm25_hits: DataFrame, entity_hits: DataFrame, edges: DataFrame, seeds: int = 5, most: int = 3) -> DataFrame:
+def candidates(dense_hits: DataFrame, bm25_hits: DataFrame, entity_hits: DataFrame, chunk_entities: DataFrame, seeds: int = 5, most: int = 3) -> DataFrame:
     """All stages' scores per query and chunk: dense, bm25, entity, and graph (0.5) for neighbours of the first candidates.
 
     Candidates are in the order in which the stages find them: dense by vector and rank, then keyword hits by rank, then
-    entity matches by id. Seeds are the first five; neighbours that are candidates already get no graph score.
+    entity matches by id. Seeds are the first five; neighbours, which share an entity (chunk_entities: chunk_id, entity) with a
+    seed, get no graph score where they are candidates already.
     """
     stage = lambda df, number, name, order: df.select("query_id", "chunk_id", F.lit(name).alias("stage"), F.col("score").alias("score"), F.struct(F.lit(number).alias("s"), *order).alias("found"))
     zero = F.lit(0).cast("long")
@@ -78,7 +79,7 @@ def candidates(dense_hits: DataFrame, bm25_hits: DataFrame, entity_hits: DataFra
     rows = rows.unionByName(stage(entity_hits, 3, "entity", (zero.alias("a"), F.col("chunk_id").cast("long").alias("b"))))
     own = rows.groupBy("query_id", "chunk_id").agg(*(F.max(F.when(F.col("stage") == n, F.col("score"))).alias(n) for n in ("dense", "bm25", "entity")), F.min("found").alias("found"))
     first = own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("found"))).where(F.col("n") <= seeds)
-    near = entities.neighbours(first, edges, most).select("query_id", "chunk_id").distinct().join(own, ["query_id", "chunk_id"], "left_anti")
+    near = entities.first_neighbours(first, chunk_entities, most).select("query_id", "chunk_id").distinct().join(own, ["query_id", "chunk_id"], "left_anti")
     return own.drop("found").withColumn("graph", F.lit(None).cast("double")).unionByName(near.select("query_id", "chunk_id", *(F.lit(None).cast("double").alias(n) for n in ("dense", "bm25", "entity")), F.lit(0.5).alias("graph")))
 
 

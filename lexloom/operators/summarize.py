@@ -19,6 +19,7 @@ from . import dense
 
 
 _TERM = re.compile(r"\w{2,}")
+_GAP = re.compile(r"[ \t\n\v\f\r]+")
 
 
 def position_score(idx: Column, n: Column) -> Column:
@@ -65,6 +66,27 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_
     return per_document(docs, lambda sentences: list(enumerate(term_weights(sentences, stop, features))), "idx long, tfidf double", id_col, text_col)
 
 
+def combined_scores(sentences: list[str], x: np.ndarray, stop_words: frozenset[str], tiers: dict[float, list[str]], weights: dict[str, float]) -> dict[str, list[float]]:
+    """Position, tfidf, lexicon, semantic and their weighted sum, combined, of a document's sentences; x: their vectors."""
+    n = len(sentences)
+    centre = x.mean(axis=0)
+    size = np.linalg.norm(x, axis=1) * np.linalg.norm(centre)
+    out = {
+        "position": [1.0 - i * 0.1 if i < 3 else 0.8 - (n - i - 1) * 0.1 if i >= n - 3 else 0.5 for i in range(n)],
+        "tfidf": term_weights(sentences, stop_words, 100),
+        "semantic": np.divide(x @ centre, size, out=np.zeros(n), where=size > 0).tolist(),
+        "lexicon": [lexicon_weight(s, tiers) for s in sentences],
+    }
+    out["combined"] = [math.fsum(out[c][i] * w for c, w in weights.items()) for i in range(n)]
+    return out
+
+
+def lexicon_weight(sentence: str, tiers: dict[float, list[str]]) -> float:
+    """As lexicon_score()."""
+    low, words = sentence.lower(), len(_GAP.split(sentence.strip(" \t\n\v\f\r"))) if sentence.strip(" \t\n\v\f\r") else 0
+    return sum(w * sum(t in low for t in terms) for w, terms in tiers.items()) / math.sqrt(words) if words else 0.0
+
+
 def scored_sentences(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers: dict[float, list[str]] = L.TIERS, encoder: Callable[[str], list[float]] = dense.hashed_terms, weights: dict[str, float] = L.SENTENCE_WEIGHTS
 ) -> DataFrame:
@@ -72,15 +94,13 @@ def scored_sentences(
     stop = frozenset(L.STOP_WORDS)
 
     def work(sentences: list[str]) -> list[tuple]:
-        x = np.array([encoder(s) for s in sentences], np.float64)
-        centre = x.mean(axis=0)
-        size = np.linalg.norm(x, axis=1) * np.linalg.norm(centre)
-        semantic = np.divide(x @ centre, size, out=np.zeros(len(x)), where=size > 0).tolist()
-        return list(zip(range(len(x)), [len(x)] * len(x), sentences, term_weights(sentences, stop, 100), semantic, strict=True))
+        own = combined_scores(sentences, np.array([encoder(s) for s in sentences], np.float64), stop, tiers, weights)
+        return list(zip(range(len(sentences)), [len(sentences)] * len(sentences), sentences, *(own[c] for c in SCORES), strict=True))
+
+    return per_document(docs, work, f"idx long, n long, sentence string, {', '.join(f'{c} double' for c in SCORES)}", id_col, text_col)
+
 
-    rows = per_document(docs, work, "idx long, n long, sentence string, tfidf double, semantic double", id_col, text_col)
-    rows = rows.withColumn("position", position_score(F.col("idx"), F.col("n"))).withColumn("lexicon", lexicon_score(F.col("sentence"), tiers))
-    return rows.withColumn("combined", sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)))
+SCORES = ("position", "tfidf", "lexicon", "semantic", "combined")
 
 
 def summary(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
@@ -142,15 +162,16 @@ def per_document(docs: DataFrame, work: Callable[[list[str]], list[tuple]], colu
     return rows.mapInArrow(run, f"`{id_col}` long, {columns}")
 
 
-def diverse_summary(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[[str], list[float]] = dense.hashed_terms) -> DataFrame:
-    """doc, rank (order of choice), idx, sentence: relevance is the cosine with the document's centroid."""
+def diverse_summary(
+    docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[[str], list[float]] = dense.hashed_terms, tiers: dict[float, list[str]] = L.TIERS, weights: dict[str, float] = L.SENTENCE_WEIGHTS
+) -> DataFrame:
+    """doc, rank (order of choice), idx, sentence: sentences chosen by their combined score against their likeness to those chosen before."""
+    stop = frozenset(L.STOP_WORDS)
 
     def work(sentences: list[str]) -> list[tuple]:
         x = np.array([encoder(s) for s in sentences], np.float64)
-        centre = x.mean(axis=0)
-        size = np.linalg.norm(x, axis=1) * np.linalg.norm(centre)
-        relevance = np.round(np.divide(x @ centre, size, out=np.zeros(len(x)), where=size > 0), 9)
-        return [(r, i, sentences[i]) for r, i in enumerate(select_diverse(relevance, x, k), 1)]
+        scores = np.round(combined_scores(sentences, x, stop, tiers, weights)["combined"], 9)
+        return [(r, i, sentences[i]) for r, i in enumerate(select_diverse(scores, x, k), 1)]
 
     return per_document(docs, work, "rank long, idx long, sentence string", id_col, text_col)
 

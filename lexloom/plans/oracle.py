@@ -81,8 +81,8 @@ def index(source: str, key: str) -> str:
     return f"""tok AS (SELECT {key} AS chunk_id, unnest({words('lower(text)')}) AS term FROM {source}),
     post AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT {key} AS chunk_id, len({words('lower(text)')}) AS dl FROM {source}),
     freq AS (SELECT term, count(*) AS df FROM post GROUP BY term), size AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
-    plain AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM freq, size),
-    okapi AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM plain) ELSE idf END AS idf FROM plain)"""
+    plain AS MATERIALIZED (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM freq, size), usual AS MATERIALIZED (SELECT 0.25 * avg(idf) AS low FROM plain),
+    okapi AS (SELECT term, df, CASE WHEN idf < 0 THEN low ELSE idf END AS idf FROM plain, usual)"""
 
 
 def bm25(queries: str, idf: str, k1: float, k: int, name: str = "hits", b: float = 0.75) -> str:
@@ -195,6 +195,34 @@ SCORED = f"""{TFIDF}, key AS (SELECT doc_id * 100000 + idx AS k, sentence FROM s
         FROM sent JOIN sz USING (doc_id) JOIN tfidf USING (doc_id, idx) JOIN se USING (doc_id, idx) JOIN cn USING (doc_id)),
     comb AS (SELECT *, position * 0.15 + tfidf * 0.25 + semantic * 0.35 + lexicon * 0.25 AS combined FROM scored)"""
 
+
+
+def diverse(k: int, weight: float = 0.7) -> str:
+    """Maximal marginal relevance in k steps: picks per document, and of each sentence the nearest pick so far."""
+    steps = [f"""m0 AS MATERIALIZED (SELECT doc_id, idx, sentence, n, round(combined, 9) AS score, xn, NULL::DOUBLE AS nearest, NULL::BIGINT AS step FROM comb JOIN sz USING (doc_id) JOIN se USING (doc_id, idx))"""]
+    for i in range(1, k + 1):
+        gain = "score" if i == 1 else f"{weight} * score - (1 - {weight}) * nearest"
+        steps.append(f"""p{i} AS MATERIALIZED (SELECT doc_id, idx AS pick, xn AS pn FROM m{i - 1} WHERE step IS NULL AND n > {k} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {gain} DESC, idx) = 1),
+            d{i} AS (SELECT s.doc_id, s.idx, sum(s.v * o.v) AS dot FROM sv s JOIN p{i} p USING (doc_id) JOIN sv o ON o.doc_id = s.doc_id AND o.idx = p.pick AND o.b = s.b GROUP BY ALL),
+            m{i} AS MATERIALIZED (SELECT m.doc_id, m.idx, sentence, n, score, xn, greatest(nearest, CASE WHEN xn > 0 AND pn > 0 THEN coalesce(dot, 0) / (xn * pn) ELSE 0 END) AS nearest,
+                CASE WHEN m.idx = pick THEN {i} ELSE step END AS step FROM m{i - 1} m LEFT JOIN p{i} USING (doc_id) LEFT JOIN d{i} d ON d.doc_id = m.doc_id AND d.idx = m.idx)""")
+    return ", ".join(steps)
+
+
+def packed(pieces: str, budget: int, name: str) -> str:
+    """Greedy packing of pieces (columns g, i from 1, p, sections: whether a quarter is repeated) to a budget of words: name with g, c, text."""
+    return f"""{name}_n AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY i)::BIGINT AS upto FROM (SELECT *, len({words('p')}) AS w FROM {pieces})),
+    {name}_r AS (SELECT g, i, 0 AS c, 1::BIGINT AS start FROM {name}_n WHERE i = 1
+        UNION ALL SELECT n.g, n.i, CASE WHEN full_ THEN r.c + 1 ELSE r.c END, CASE WHEN NOT full_ THEN r.start WHEN n.sections THEN n.i - greatest(1, (n.i - r.start) // 4) WHEN n.i - r.start > 1 THEN n.i - 1 ELSE n.i END
+        FROM {name}_r r JOIN {name}_n n ON n.g = r.g AND n.i = r.i + 1 JOIN {name}_n s ON s.g = r.g AND s.i = r.start, LATERAL (SELECT n.upto - s.upto + s.w > {budget} AS full_) f),
+    {name}_c AS (SELECT g, c, min(start) AS a, max(i) AS b FROM {name}_r GROUP BY ALL),
+    {name} AS (SELECT x.g, x.c, CASE WHEN n.sections THEN string_agg(n.p, ' ' ORDER BY n.i) ELSE string_agg(n.p, chr(10) || chr(10) ORDER BY n.i) END AS text FROM {name}_c x JOIN {name}_n n ON n.g = x.g AND n.i BETWEEN a AND b GROUP BY x.g, x.c, n.sections)"""
+
+
+def paragraphs(t: str) -> str:
+    return rf"string_split(regexp_replace(regexp_replace({t}, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), chr(10) || chr(10))"
+
+
 FILES = f"f AS (SELECT filename, head, file_size, coalesce(lower(regexp_extract(filename, '\\.([^./\\\\]+)$', 1)), '') AS ext FROM {rows(X.FILES, 't', 'filename, head, file_size')})"
 OCR = "p AS (SELECT {keys}, string_agg('w' || l_partkey, ' ' ORDER BY l_linenumber, 'w' || l_partkey) FILTER (l_quantity * 2 - 10 > 0) AS text, avg(l_quantity * 2 - 10) FILTER (l_quantity * 2 - 10 > 0) / 100 AS confidence FROM lineitem GROUP BY ALL)"
 
@@ -206,6 +234,31 @@ ORACLE: dict[str, str] = {
     "parent_children": f"WITH {CHUNKS} SELECT doc_id, count(*) AS n_children, string_agg(chunk_id, ',' ORDER BY chunk_ord) AS children FROM chunks WHERE chunk_ord > 0 GROUP BY doc_id",
     "numbered_sections": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '\n\z', ''), '(\d+\.)', chr(1) || '\1', 'g'), chr(1))[2:] AS l FROM documents)
         SELECT doc_id, unnest(range(len(l))) AS ord, unnest(l) AS section FROM t""",
+    "paragraph_budget_chunks": f"""WITH RECURSIVE l AS (SELECT doc_id, {paragraphs("replace(text, chr(10), chr(10) || chr(10))")} AS l FROM documents), pc AS (SELECT doc_id AS g, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS p, false AS sections FROM l),
+        {packed('pc', 400, 'k')} SELECT g AS doc_id, c AS ord, text FROM k""",
+    "token_budget_chunks": rf"""WITH RECURSIVE t AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '\n\z', ''), '(\d+\.)', chr(1) || '\1', 'g'), chr(1))[2:] AS l FROM documents),
+        sec AS (SELECT doc_id, unnest(range(len(l))) AS no, unnest(l) AS s FROM t),
+        pl AS (SELECT doc_id * 100000 AS g, {paragraphs('text')} AS l, false AS sections FROM t WHERE len(l) = 0 UNION ALL SELECT doc_id * 100000 + no, {sentences('s')}, true FROM sec WHERE len({words('s')}) > 400),
+        pc AS (SELECT g, sections, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS p FROM pl), {packed('pc', 400, 'k')},
+        every AS (SELECT g, c, text FROM k UNION ALL SELECT doc_id * 100000 + no, 0, s FROM sec WHERE len({words('s')}) <= 400),
+        o AS (SELECT g // 100000 AS doc_id, row_number() OVER (PARTITION BY g // 100000 ORDER BY g, c) - 1 AS chunk_index, count(*) OVER (PARTITION BY g // 100000) AS total_chunks, text FROM every)
+        SELECT doc_id, chunk_index, total_chunks, len({words('text')}) AS n_tokens, length(text) AS text_length, substr(md5('_doc ' || doc_id || '_' || chunk_index || '_' || substr(text, 1, 50)), 1, 16) AS chunk_id,
+            array_to_string(list_sort(list_distinct(list_concat({contained('text', X.TERMS)}, {found('lower(text)', T.REFERENCE)}))), '|') AS terms, text FROM o""",
+    "relevant_passages": f"""WITH {TERM_QUERIES}, {index('documents', 'doc_id')}, {bm25('asked', 'plain', 1.2, 5)},
+        sl AS (SELECT query_id, chunk_id, {sentences('text')} AS l FROM hits JOIN documents ON doc_id = chunk_id), se AS (SELECT query_id, chunk_id, len(l) AS n, unnest(range(len(l))) AS idx, unnest(l) AS sentence FROM sl),
+        kd AS (SELECT DISTINCT chunk_id * 100000 + idx AS k, sentence FROM se), {hashed('kd', 'k', 'sv', 'sentence')}, {hashed('asked', 'query_id', 'qv')},
+        sim AS (SELECT query_id, k, round(sum(a.v * s.v), 9) AS similarity FROM qv a JOIN sv s USING (b) GROUP BY ALL),
+        m AS (SELECT se.*, coalesce(similarity, 0) AS similarity, row_number() OVER (PARTITION BY se.query_id, chunk_id ORDER BY coalesce(similarity, 0) DESC, idx DESC) <= 3 AS best FROM se LEFT JOIN sim ON sim.query_id = se.query_id AND k = chunk_id * 100000 + idx),
+        b AS (SELECT *, coalesce(lag(best) OVER w, false) OR coalesce(lead(best) OVER w, false) AS beside FROM m WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY idx)),
+        p AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY idx) AS place FROM b WHERE best OR beside AND similarity > 0.5 OR n <= 3)
+        SELECT query_id::BIGINT AS query_id, chunk_id, place, idx, sentence FROM p WHERE place <= 4 OR n <= 3""",
+    "context_budget": f"""WITH {TERM_QUERIES}, {index('documents', 'doc_id')}, {bm25('asked', 'okapi', 1.5, K)},
+        c AS (SELECT query_id, rank, chunk_id, text, {sentences('text')} AS l FROM hits JOIN documents ON doc_id = chunk_id), e AS (SELECT query_id, rank, unnest(range(len(l))) AS i, unnest(l) AS s FROM c WHERE length(text) > 2000),
+        u AS (SELECT *, sum(length(s)) OVER (PARTITION BY query_id, rank ORDER BY i) AS upto FROM e), g AS (SELECT query_id, rank, string_agg(s, ' ' ORDER BY i) AS cut FROM u WHERE upto <= 2000 GROUP BY ALL),
+        w AS (SELECT query_id, rank, chunk_id, len({words("CASE WHEN length(text) > 2000 THEN coalesce(cut, '') ELSE text END")}) AS words FROM c LEFT JOIN g USING (query_id, rank)),
+        r AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words_before FROM w)
+        SELECT query_id::BIGINT AS query_id, rank, chunk_id, words, words_before FROM r WHERE words_before <= 1000""",
+    "summary_mmr": f"""WITH {SCORED}, {diverse(5)} SELECT doc_id, CASE WHEN n <= 5 THEN idx + 1 ELSE step END AS rank, idx, sentence FROM m5 WHERE n <= 5 OR step IS NOT NULL""",
     "large_text_slices": "SELECT doc_id, i AS slice, i * 1000 AS start, substr(text, i * 1000 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 1000 + 1)) AS i FROM documents WHERE length(text) > 0)",
     "lexicon_hits": f"SELECT doc_id, len(l) AS hits, array_to_string(l, '|') AS terms FROM (SELECT doc_id, {contained('text', X.TERMS)} AS l FROM documents)",
     "lexicon_scores": f"WITH {SENT} SELECT doc_id, idx, {r6(tiers('sentence'))} AS score FROM sent",

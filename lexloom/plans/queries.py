@@ -254,7 +254,7 @@ def concept_graph_edges(spark, sf):
 @query
 def graph_neighbors(spark, sf):
     seeds = documents(spark, sf).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
-    return entities.neighbours(seeds, entities.shared_edges(saved(cited_entities(spark, sf), "chunk-entities")))
+    return entities.first_neighbours(seeds, saved(cited_entities(spark, sf), "chunk-entities"))
 
 
 @query
@@ -337,7 +337,7 @@ def fused(spark, sf):
     words = keyword.bm25_top(queries, index, sizes, keyword.OKAPI, 2 * K)
     found = saved(entities.entity_rows(chunks, "chunk_id", "text"), "chunk-entities")
     named = entities.matches(queries.select("query_id", F.explode(F.transform(entities.extracted(F.col("text")), lambda e: e["text"])).alias("entity")), found)
-    return retrieval.fused(saved(retrieval.candidates(near, words, named, entities.shared_edges(found)), "candidates"), queries, chunks, K), chunks
+    return retrieval.fused(saved(retrieval.candidates(near, words, named, found), "candidates"), queries, chunks, K), chunks
 
 
 @query
@@ -442,7 +442,7 @@ def summary_topk(spark, sf):
 
 @query
 def summary_mmr(spark, sf):
-    return summarize.diverse_summary(documents(spark, sf), 5)
+    return summarize.diverse_summary(documents(spark, sf), 5, tiers=X.TIERS)
 
 
 @query

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # Extensions by type, the extensions an upload may have, and first bytes by type.
 EXTENSIONS = {"text": ["txt", "md"], "pdf": ["pdf"], "docx": ["docx", "doc"], "image": ["png", "jpg", "jpeg", "tiff", "bmp", "gif"]}
 ACCEPTED = ["txt", "md", "pdf", "docx", "doc", "png", "jpg", "jpeg", "tiff", "bmp", "gif"]
-MAGIC = {"pdf": ["25504446"], "docx": ["504B"], "image": ["FFD8FF", "89504E47", "47494638"]}
+MAGIC = {"pdf": [b"%PDF"], "docx": [b"PK"], "image": [b"\xff\xd8\xff", b"\x89PNG", b"GIF8"]}
 MOST_BYTES = 50 * 1024 * 1024
 
 
@@ -29,7 +29,7 @@ def file_type(name: Column, content: Column) -> Column:
     out = F.lit("text")
     for kind, heads in reversed(MAGIC.items()):
         for head in heads:
-            out = F.when(F.coalesce(F.hex(content).startswith(head), F.lit(False)), kind).otherwise(out)
+            out = F.when(F.coalesce(F.substring(content, 1, len(head)) == F.lit(bytearray(head)), F.lit(False)), kind).otherwise(out)
     for kind, names in EXTENSIONS.items():
         out = F.when(extension(name).isin(*names), kind).otherwise(out)
     return out
