@@ -401,21 +401,22 @@ def passages_of(text: str, chains: list[dict]) -> list[dict]:
     if not found:
         return []
     spans = [m.span() for m in _WORD.finditer(text)]
-    out: list[dict] = []
-    reach: list[tuple[int, int, int]] = []  # of the source: where passages end, in words, and their other side
-    source = None
-    for key, a0, a1, b0, b1, edits in sorted(found):
-        if key != source:
-            source, reach = key, []
-        reach = [r for r in reach if r[0] > a0]
-        if any(-a1 <= end and c0 <= b0 and b1 <= c1 for end, c0, c1 in reach):
+    kept: list[tuple[int, ...]] = []  # of each source as few as cover what all of them cover: a line again and again gives very many
+    for x in sorted(found):
+        own = [y for y in kept[-2:] if y[0] == x[0]]
+        if own and -x[2] <= -own[-1][2]:
             continue
-        reach.append((-a1, b0, b1))
-        out.append({"start": spans[a0][0], "end": spans[-a1 - 1][1], "n_words": -a1 - a0, "edits": edits, "source_id": key, "source_word": b0, "source_words": b1 - b0})
-    best: dict[tuple[int, int], dict] = {}  # the same words from several sources: the most alike, then the first
-    for x in sorted(out, key=lambda x: (x["edits"], x["source_id"], x["source_word"])):
-        best.setdefault((x["start"], x["end"]), x)
-    return [best[k] for k in sorted(best)]
+        if len(own) == 2 and x[1] <= -own[0][2]:
+            kept.pop()
+        kept.append(x)
+    out = [{"start": spans[a0][0], "end": spans[-a1 - 1][1], "n_words": -a1 - a0, "edits": edits, "source_id": key, "source_word": b0, "source_words": b1 - b0} for key, a0, a1, b0, b1, edits in kept]
+    # of passages that lie within another the holder of the longer one has a row of its own, which leads on to the same source
+    rows, end = [], -1
+    for x in sorted(out, key=lambda x: (x["start"], -x["end"], x["edits"], x["source_id"], x["source_word"])):
+        if x["end"] > end:
+            rows.append(x)
+            end = x["end"]
+    return rows
 
 
 #: Text whose keys a task packs at once, and text to each shard of the keys.
