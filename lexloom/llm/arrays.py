@@ -62,7 +62,7 @@ def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
     """Sorted keys and columns, all as uint64; differences and counts are small, so their high bytes vanish."""
     steps = np.diff(keys, prepend=np.uint64(0))
     planes = [np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(keys), -1).T).tobytes() for a in (steps, *values)]
-    return np.array([len(keys), len(values)], "<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return np.array([len(keys), len(values)], "<u8").tobytes() + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def unpack(block: bytes, dtype=np.int64) -> tuple[np.ndarray, ...]:

@@ -41,6 +41,21 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             start = stop
 
 
+def gathered(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """As sliced(), with small pieces that follow each other taken together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in sliced(batches, text, most):
+        n = batch.column(text).nbytes
+        if held and size + n > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def byte_lengths(column: pa.Array) -> np.ndarray:
     """UTF-8 bytes of each text, 0 for null."""
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

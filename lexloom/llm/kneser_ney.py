@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from . import arrays
-from .common import sliced
+from .common import gathered, sliced
 
 #: Words of an n-gram.
 ORDER = 3
 #: The token that ends each text; no word is a space.
 END = b" "
 #: Text that a task counts or scores at once, words that it holds before it emits them, and text to each shard.
-SLICE, WORDS, SHARD = 6 << 20, 600_000, 12 << 20
+SLICE, WORDS, SHARD = 8 << 20, 600_000, 12 << 20
 #: The id of what stands before a text's first word.
 START = 1 << 62
 #: Bytes of arrays that a worker keeps where they aren't mapped.
@@ -267,12 +267,12 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([n.sum()], pa.int64())})
 
     blocks = rows.mapInArrow(count_words, "shard int, block binary")
-    merged = {r.shard: r for r in blocks.groupBy("shard").applyInArrow(merge_words, "shard int, words long, tokens long").collect()}
+    merged = {r.shard: r for r in blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(merge_words, "shard int, words long, tokens long").collect()}
     sizes = tuple(merged[s].words if s in merged else 0 for s in range(shards))
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", SLICE):
+        for batch in gathered(batches, "text", SLICE):
             tokens = Tokens(batch.column("text").to_pylist())
             own = lookup(folder).ids(tokens.distinct, sizes).astype(np.uint64)[tokens.place]
             columns = [tokens.before(own, k) for k in range(order - 1, -1, -1)]
@@ -331,8 +331,8 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
 
     blocks = rows.mapInArrow(count_grams, "shard int, block binary")
     for level in range(order, 1, -1):
-        blocks = blocks.groupBy("shard").applyInArrow(merge_grams(level), "shard int, block binary")
-    lower = blocks.groupBy("shard").applyInArrow(merge_stats, "totals array<long>")
+        blocks = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(merge_grams(level), "shard int, block binary")
+    lower = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(merge_stats, "totals array<long>")
     lower = [x or 0 for x in lower.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(5))).first()]
 
     def total(level: int, width: int) -> list[int]:
@@ -382,7 +382,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lookup(model.folder)
-        for batch in sliced(batches, text_col, SLICE):
+        for batch in gathered(batches, text_col, SLICE):
             found = scores_of(batch.column(text_col).to_pylist(), model, own)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k]) for k in wanted)], names=[*batch.schema.names, *wanted])
 

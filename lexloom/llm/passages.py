@@ -466,7 +466,7 @@ def dealt(shards: int, key: np.ndarray, id_: np.ndarray, place: np.ndarray, on:
 MATCHES = "id long, source long, place int, other int, on int"
 
 
-def meetings(blocks: DataFrame) -> tuple[DataFrame, list[str]]:
+def meetings(blocks: DataFrame, shards: int) -> tuple[DataFrame, list[str]]:
     """blocks: shard, block, as dealt() makes them. A row for each place of a key that stands at several: id, place, and the key's first holder, source, with its place, other; and on.
 
     A shard's size follows from the text to a shard, but for hot keys: of each, a slice has one row in a shard. Their other
@@ -500,7 +500,7 @@ def meetings(blocks: DataFrame) -> tuple[DataFrame, list[str]]:
                 key, id_, place, on = unpack(block)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_), pa.array(place, pa.int32()), pa.array(on, pa.int32())], names=["key", "id", "place", "on"])
 
-    met, two = saved_at(blocks.where("shard >= 0").groupBy("shard").applyInArrow(meet, f"{MATCHES}, hot int"), "met")
+    met, two = saved_at(blocks.where("shard >= 0").repartition(shards, "shard").groupBy("shard").applyInArrow(meet, f"{MATCHES}, hot int"), "met")
     firsts = met.where("hot = 1").select(F.col("id").alias("key"), "source", "other")
     hot = blocks.where("shard < 0").select("block").mapInArrow(apart, "key long, id long, place int, on int").join(firsts, "key")
     return met.where("hot = 0").drop("hot").unionByName(hot.select("id", "source", "place", "other", "on")), [one, two]
@@ -595,14 +595,14 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     spark = docs.sparkSession
-    matches, read = meetings(rows.mapInArrow(find, "shard int, block binary"))
+    matches, read = meetings(rows.mapInArrow(find, "shard int, block binary"), shards)
     matches, path = saved_at(matches.drop("on"), "matches")
     discard(spark, *read)
-    longer, read = meetings(matches.repartition("id").sortWithinPartitions("id", "place").mapInArrow(run, "shard int, block binary"))
+    longer, read = meetings(matches.repartition(shards, "id").sortWithinPartitions("id", "place").mapInArrow(run, "shard int, block binary"), shards)
     longer = longer.select("id", "source", F.explode(F.array(F.lit(0), "on")).alias("more"), "place", "other")
     longer = longer.select("id", "source", (F.col("place") + F.col("more")).alias("place"), (F.col("other") + F.col("more")).alias("other"))
     matches = matches.unionByName(longer).where("id <> source or place <> other")
-    found = matches.repartition("id").sortWithinPartitions("id", "source", "place", "other").mapInArrow(chain, "id long, source long, places array<int>, others array<int>")
+    found = matches.repartition(shards, "id").sortWithinPartitions("id", "source", "place", "other").mapInArrow(chain, "id long, source long, places array<int>, others array<int>")
     found = saved_at(found, "chains")[0]
     discard(spark, path, *read)
     sources = compressed(rows).select(F.col("id").alias("source"), "zipped")
