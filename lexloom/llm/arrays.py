@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import zstandard
@@ -48,6 +49,29 @@ def narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32 if counts.size and counts.max() < 1 << 32 else np.uint64)
 
 
+class Shelf:
+    """A folder's arrays, opened as they are needed; where they aren't mapped, some are kept, of so many bytes in all."""
+
+    def __init__(self, folder: str, most: int = 128 << 20):
+        self.folder, self.most, self.mapped, self.held, self.size = folder, most, {}, OrderedDict(), 0
+
+    def load(self, name: str) -> np.ndarray:
+        if name in self.mapped:
+            return self.mapped[name]
+        if name in self.held:
+            self.held.move_to_end(name)
+            return self.held[name]
+        found = load(self.folder, name)
+        if isinstance(found, np.memmap):
+            self.mapped[name] = found
+            return found
+        self.held[name] = found
+        self.size += found.nbytes
+        while self.size > self.most and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return found
+
+
 def exists(folder: str, name: str) -> bool:
     path = local_path(folder)
     if path is None:

@@ -1,9 +1,11 @@
 """Byte-level BPE encoding by corpus-level merge replay, and decoding.
 
-Of each slice of some 4 MB of text, the words that are no whole token and not in the worker's cache are laid end to end.
-An inverted index from a pair's rank to the places where such a pair stands replays the merges in rank order over all
-those words at once, and a merge updates only the pairs at the two touched neighbours. The cache is of bounded size, so a
-word that it has dropped is encoded again. No word leaves its task, so nothing is shuffled.
+Texts are cut into pieces at spaces, each encoded by itself whatever stands beside it. The distinct pieces of the corpus
+are dealt into shards by their hash; in each, the words of all its pieces that are no whole token are laid end to end, and
+an inverted index from a pair's rank to the places where such a pair stands replays the merges in rank order over all of
+them at once; a merge updates only the pairs at the two touched neighbours. A shard is written as sorted hashes and ids to
+the shared folder. Then each task looks the pieces of its texts up there, shard by shard. Very long pieces, which hardly
+repeat, stay out of the shards and are replayed where they stand.
 """
 
 from __future__ import annotations
@@ -18,13 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import shared_folder
+from . import arrays
 from .bytepairs import pattern, pieces
-from .common import Recent, sliced, without_gc
+from .common import gathered, sliced, without_gc
 
-#: Entries of a worker's caches of encoded pieces and words, in each of their two parts.
-CACHE = 150_000
+#: Characters of a piece that goes into the shards, pieces that a task holds before it emits them, text to each shard, and
+#: text that a task encodes at once.
+LONG, PIECES, SHARD, SLICE = 200, 400_000, 8 << 20, 8 << 20
 #: Pairs whose rank a worker remembers.
 PAIRS = 1_000_000
 
@@ -39,7 +47,6 @@ class Codec:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.match = pattern(source)
         self.pair: dict[tuple[int, int], int | None] = {}
-        self.words, self.known = Recent(CACHE), Recent(CACHE)
 
     def rank(self, a: int, b: int) -> int | None:
         """The rank of what the pair makes, if it makes a token."""
@@ -102,30 +109,36 @@ class Codec:
             out.append(array("I", [s for s in symbols[at : at + len(word)] if s >= 0]))
         return out
 
-    def learn(self, found: list[list[str]]) -> list[bytes]:
-        """The encoded form of each list of matches; matches not known yet are replayed together."""
-        todo = self.words.missing(m for matches in found for m in matches)
+    def replayed(self, found: list[list[str]]) -> list[bytes]:
+        """The encoded form of each list of matches; of all distinct ones, those that are no token are replayed together."""
+        words: dict[str, bytes] = dict.fromkeys(m for matches in found for m in matches)
         hard = []
-        for match in todo:
+        for match in words:
             raw = match.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.words.new[match] = packed([whole])
+                words[match] = packed([whole])
             else:
                 hard.append((match, raw))
         for (match, _), ids in zip(hard, self.replay([raw for _, raw in hard]), strict=True):
-            self.words.new[match] = packed(ids)
-        get = self.words.new.__getitem__
-        return [b"".join(map(get, matches)) for matches in found]
+            words[match] = packed(ids)
+        return [b"".join(map(words.__getitem__, matches)) for matches in found]
 
     @without_gc
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [pieces(t) for t in texts]
-        todo = self.known.missing(p for own in split for p in own[1:])
-        encoded = self.learn([self.match.findall(" " + p) for p in todo] + [self.match.findall(own[0]) for own in split])
-        self.known.new.update(zip(todo, encoded, strict=False))
-        get = self.known.new.__getitem__
-        return [head + b"".join(map(get, own[1:])) for head, own in zip(encoded[len(todo) :], split, strict=True)]
+    def encode(self, texts: list[str], shards: Shards | None = None) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; pieces that the shards don't have are replayed here."""
+        split = [units(t) for t in texts]
+        known: dict[str, bytes] = dict.fromkeys(u for own in split for u in own)
+        if shards:
+            short = [u for u in known if len(u) <= LONG]
+            known.update(zip(short, shards.find(short), strict=True))
+        todo = [u for u, ids in known.items() if ids is None]
+        known.update(zip(todo, self.replayed([self.match.findall(u) for u in todo]), strict=True))
+        return [b"".join(map(known.__getitem__, own)) for own in split]
+
+    @without_gc
+    def shard(self, own: list[str]) -> list[bytes]:
+        """The ids of all pieces of a shard."""
+        return self.replayed([self.match.findall(u) for u in own])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -135,26 +148,147 @@ def packed(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-@functools.cache
+def units(text: str) -> list[str]:
+    """The text in pieces; each but the first begins with its space."""
+    first, *rest = pieces(text)
+    return [first, *map(" ".__add__, rest)]
+
+
+@functools.lru_cache(maxsize=4)
 def codec(ranks: str, source: str) -> Codec:
     """One for each worker process."""
     return Codec(ranks, source)
 
 
+def hashes(found: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+class Shards(arrays.Shelf):
+    """The corpus's encoded pieces: sorted hashes, where the ids of each end, and the ids."""
+
+    def __init__(self, folder: str, shards: int):
+        super().__init__(folder)
+        self.shards = shards
+
+    def find(self, wanted: list[str]) -> list[bytes | None]:
+        """The ids of each piece, None for pieces that aren't there."""
+        h = hashes(wanted)
+        order = np.argsort(h)
+        ends = np.searchsorted(shard_of(h[order], self.shards), np.arange(self.shards + 1))
+        out: list[bytes | None] = [None] * len(wanted)
+        for s in np.flatnonzero(np.diff(ends)).tolist():
+            own = order[ends[s] : ends[s + 1]]
+            known, stops, ids = (self.load(f"{name}-{s}") for name in ("pieces", "ends", "ids"))
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
+            there = known[at] == h[own]
+            at, own = at[there], own[there]
+            stop = stops[at].astype(np.int64)
+            size = stop - np.where(at > 0, stops[at - 1], 0).astype(np.int64)
+            until = np.cumsum(size)
+            blob = ids[np.arange(until[-1] if len(until) else 0) - np.repeat(until - stop, size)].astype("<u4").tobytes()
+            for i, a, b in zip(own.tolist(), (4 * (until - size)).tolist(), (4 * until).tolist(), strict=True):
+                out[i] = blob[a:b]
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def shelf(folder: str, shards: int) -> Shards:
+    """One for each worker process and corpus; two are kept."""
+    return Shards(folder, shards)
+
+
+def learned(docs: DataFrame, ranks: str, source: str, text_col: str) -> tuple[str, int]:
+    """Encodes the distinct pieces of all texts into the shared folder; the folder and its number of shards.
+
+    Two pieces of one hash, should there be such, both stay out, and are replayed where they stand.
+    """
+    folder = shared_folder(docs.sparkSession, "pieces")
+    rows = docs.select(docs[text_col].alias("text")).where("text is not null")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in sliced(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                held.update(units(text))
+            if len(held) >= PIECES:
+                yield blocks(held)
+                held = set()
+        if held:
+            yield blocks(held)
+
+    def blocks(held: set[str]) -> pa.RecordBatch:
+        own = sorted(u for u in held if len(u) <= LONG)
+        shard = shard_of(hashes(own), shards)
+        order = np.argsort(shard, kind="stable")
+        names, starts = np.unique(shard[order], return_index=True)
+        out = []
+        for part in np.split(order, starts[1:]) if len(order) else []:
+            raw = [own[i].encode() for i in part.tolist()]
+            sizes = np.fromiter(map(len, raw), "<u2", len(raw))
+            out.append(len(raw).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(raw)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["shard", "block"])
+
+    def merge(key, table):
+        found: set[str] = set()
+        for block in table["block"].to_pylist():
+            raw, n = zstandard.ZstdDecompressor().decompress(block[4:]), int.from_bytes(block[:4], "little")
+            stops = np.cumsum(np.frombuffer(raw[: 2 * n], "<u2").astype(np.int64)) + 2 * n
+            found.update(raw[a:b].decode() for a, b in zip([2 * n, *stops[:-1].tolist()], stops.tolist(), strict=True))
+        own = sorted(found)
+        h = hashes(own)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        alone = np.ones(len(h), bool)
+        alone[1:][same] = alone[:-1][same] = False
+        order = order[alone]
+        put(key[0].as_py(), h[order], codec(ranks, source).shard([own[i] for i in order.tolist()]))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())})
+
+    def put(s: int, h: np.ndarray, ids: list[bytes]) -> None:
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        arrays.save(folder, f"ends-{s}", np.cumsum([len(x) // 4 for x in ids], dtype=np.uint32) if ids else np.zeros(0, np.uint32))
+        arrays.save(folder, f"ids-{s}", flat.astype(np.min_scalar_type(int(flat.max())) if len(flat) else np.uint8))
+        arrays.save(folder, f"pieces-{s}", h)
+
+    done = rows.mapInArrow(collect, "shard int, block binary").repartition(shards, "shard").groupBy("shard").applyInArrow(merge, "shard int")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards without a piece are empty."""
+        for batch in batches:
+            for s in batch.column("id").to_pylist():
+                if not arrays.exists(folder, f"pieces-{s}"):
+                    put(s, np.zeros(0, np.uint64), [])
+            yield batch
+
+    done.agg(F.count("*")).first()
+    docs.sparkSession.range(shards).mapInArrow(rest, "id long").agg(F.count("*")).first()
+    return folder, shards
+
+
 def encode(docs: DataFrame, ranks: str, source: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row and `ids`, its whole text's token ids as little-endian unsigned 32-bit integers.
 
     ranks: path of a tiktoken rank file, at the same place on every worker; source: the pattern that splits texts. A
     null or empty text has no ids. Every row gives one row; ids may be null or repeat, other columns are no matter.
     """
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    folder, shards = learned(rows, ranks, source, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, source)
-        for batch in sliced(batches, "text"):
-            ids = own.encode([t or "" for t in batch.column("text").to_pylist()])
+        for batch in gathered(batches, "text", SLICE):
+            ids = own.encode([t or "" for t in batch.column("text").to_pylist()], shelf(folder, shards))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, ids binary")
 
 
@@ -177,19 +311,21 @@ def round_trip(docs: DataFrame, ranks: str, source: str, id_col: str = "doc_id",
     Rows as in encode().
     """
 
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    folder, shards = learned(rows, ranks, source, "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, source)
-        for batch in sliced(batches, "text"):
-            ids = own.encode([t or "" for t in batch.column("text").to_pylist()])
+        for batch in gathered(batches, "text", SLICE):
+            ids = own.encode([t or "" for t in batch.column("text").to_pylist()], shelf(folder, shards))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
                 ],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

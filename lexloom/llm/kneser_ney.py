@@ -16,7 +16,7 @@ after another and keeps a few.
 from __future__ import annotations
 
 import functools
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +38,6 @@ END = b" "
 SLICE, WORDS, SHARD = 8 << 20, 600_000, 12 << 20
 #: The id of what stands before a text's first word.
 START = 1 << 62
-#: Bytes of arrays that a worker keeps where they aren't mapped.
-HELD = 128 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -147,27 +145,8 @@ class Tokens:
         return out
 
 
-class Lookup:
-    """A model's arrays, opened as they are needed."""
-
-    def __init__(self, folder: str):
-        self.folder, self.mapped, self.held, self.size = folder, {}, OrderedDict(), 0
-
-    def load(self, name: str) -> np.ndarray:
-        if name in self.mapped:
-            return self.mapped[name]
-        if name in self.held:
-            self.held.move_to_end(name)
-            return self.held[name]
-        found = arrays.load(self.folder, name)
-        if isinstance(found, np.memmap):
-            self.mapped[name] = found
-            return found
-        self.held[name] = found
-        self.size += found.nbytes
-        while self.size > HELD and len(self.held) > 1:
-            self.size -= self.held.popitem(last=False)[1].nbytes
-        return found
+class Lookup(arrays.Shelf):
+    """A model's arrays."""
 
     def ids(self, distinct: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
         """Each word's id, its place in the order of all words; -1 if it isn't there."""

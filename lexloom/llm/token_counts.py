@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -15,8 +14,8 @@ from pyspark.sql import DataFrame
 from .bytepairs import pattern, pieces
 from .common import Recent, byte_lengths, sliced, without_gc
 
-#: Entries of a worker's cache of piece counts, in each of its two parts.
-CACHE = 400_000
+#: Entries of a worker's cache of piece counts, in each of its two parts, and characters of a piece or word that is kept.
+CACHE, KEPT = 400_000, 64
 
 
 class Counter:
@@ -72,10 +71,10 @@ class Counter:
 
     def of_pieces(self, found: list[str]) -> list[int]:
         matches = list(map(self.match.findall, found))
-        for match in self.words.missing(itertools.chain.from_iterable(matches)):
+        for match in self.words.missing(m for own in matches for m in own if len(m) <= KEPT):
             self.words.new[match] = self.of_match(match)
         get = self.words.new.__getitem__
-        return [sum(map(get, own)) for own in matches]
+        return [sum(get(m) if len(m) <= KEPT else self.of_match(m) for m in own) for own in matches]
 
     @without_gc
     def of_texts(self, texts: list[str]) -> list[int]:
@@ -84,10 +83,14 @@ class Counter:
             parts = self.special.split(text) if self.special else [text]
             plain += [pieces(p) for p in parts]
             marks.append(len(parts))
-        todo = self.known.missing(p for part in plain for p in part[1:])
-        done = self.of_pieces([" " + p for p in todo] + [part[0] for part in plain])
+        todo = self.known.missing(p for part in plain for p in part[1:] if len(p) <= KEPT)
+        long = [p for part in plain for p in part[1:] if len(p) > KEPT]
+        done = self.of_pieces([" " + p for p in todo] + [" " + p for p in long] + [part[0] for part in plain])
         self.known.new.update(zip(todo, done, strict=False))
-        get, heads, counts, at = self.known.new.__getitem__, done[len(todo) :], [], 0
+        known, heads, counts, at = self.known.new, done[len(todo) + len(long) :], [], 0
+        if long:
+            known = {**dict(zip(long, done[len(todo) : len(todo) + len(long)], strict=True)), **{p: known[p] for part in plain for p in part[1:] if len(p) <= KEPT}}
+        get = known.__getitem__
         for n in marks:
             counts.append(n - 1 + sum(heads[i] + sum(map(get, plain[i][1:])) for i in range(at, at + n)))
             at += n

@@ -38,6 +38,36 @@ def test_ids_like_the_library(monkeypatch):
     assert [codec.decode(x) for x in found] == [t.encode() for t in texts()]
 
 
+def anywhere(n, seed):
+    """Random characters of all planes, and some that Unicode has since version 17."""
+    rng = random.Random(seed)
+    char = lambda: chr(rng.choice([rng.randrange(0x20, 0x7F), rng.randrange(0xA0, 0xD800), rng.randrange(0xE000, 0x110000), rng.choice([0x558, 0x209D, 0x16FF4, 0x18F34, 0x1E6C0, 0x3D000, 0x12560])]))
+    return ["".join(rng.choice([" ", char()]) if rng.random() < 0.3 else char() for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+def test_all_planes_like_the_libraries():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = bpe_codec.Codec(RANKS, P.PATTERN).encode(anywhere(20_000, 2))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == library.encode_ordinary_batch(anywhere(20_000, 2))
+    counts = Tokenizer.from_file(JSON).encode_batch(anywhere(20_000, 3), add_special_tokens=False)
+    assert token_counts.Counter(JSON).of_texts(anywhere(20_000, 3)) == [len(e.ids) for e in counts]
+
+
+def test_corpus_like_the_library(spark, monkeypatch):
+    """Through the shards, several of them, with long pieces beside."""
+    monkeypatch.setattr(bpe_codec, "SHARD", 20_000)
+    monkeypatch.setattr(bpe_codec, "PIECES", 500)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(i, t) for i, t in enumerate([*texts(), *anywhere(2000, 4), "x " + "日本語" * 500 + " y", "q" * 3000])]
+    got = {r.doc_id: r for r in bpe_codec.round_trip(documents(spark, rows), RANKS, P.PATTERN).collect()}
+    for i, t in rows:
+        ids = library.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("rows", [[], ODD])
 def test_odd_documents(spark, rows):
     docs = documents(spark, rows)
