@@ -36,6 +36,8 @@ ORDER = 3
 END = b" "
 #: Text that a task counts or scores at once, words that it holds before it emits them, and text to each shard.
 SLICE, WORDS, SHARD = 8 << 20, 600_000, 12 << 20
+#: Tokens of a stretch that is scored by itself.
+STRETCH = 32
 #: The id of what stands before a text's first word.
 START = 1 << 62
 
@@ -355,15 +357,18 @@ SCORES = ("n_tokens", "n_known", "base_score", "score")
 
 
 def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str, ...]) -> DataFrame:
-    """All columns of docs and the wanted ones of SCORES, whose names docs must not have."""
-    types = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
+    """All columns of docs and the wanted ones of SCORES and worst, whose names docs must not have.
+
+    worst: the lowest mean score (log10) of any STRETCH tokens in a row, null for shorter texts.
+    """
+    types = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "worst": "double"}
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lookup(model.folder)
         for batch in gathered(batches, text_col, SLICE):
             found = scores_of(batch.column(text_col).to_pylist(), model, own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k]) for k in wanted)], names=[*batch.schema.names, *wanted])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k], from_pandas=True) for k in wanted)], names=[*batch.schema.names, *wanted])
 
     return docs.mapInArrow(run, f"{columns}, {', '.join(f'{k} {types[k]}' for k in wanted)}")
 
@@ -406,7 +411,17 @@ def scores_of(texts: list[str | None], model: Model, own: Lookup) -> dict[str, n
         met_before = np.concatenate([[False], found[:-1]]) if len(found) else found
         met_before[tokens.within < level] = False
     n_known, base_score, score = (np.add.reduceat(x, tokens.starts) if len(p) else x for x in ((seen > 0).astype(np.int64)[tokens.place], base[tokens.place], np.log10(p)))
-    return {"n_tokens": tokens.ends - tokens.starts, "n_known": n_known, "base_score": base_score, "score": score}
+    return {"n_tokens": tokens.ends - tokens.starts, "n_known": n_known, "base_score": base_score, "score": score, "worst": worst_of(np.log10(p), tokens)}
+
+
+def worst_of(scores: np.ndarray, tokens: Tokens) -> np.ndarray:
+    if not len(scores):
+        return scores
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    ends = np.minimum(np.arange(len(scores)) + STRETCH, len(scores))
+    own = np.where(tokens.within + STRETCH <= np.repeat(tokens.ends - tokens.starts, tokens.ends - tokens.starts), sums[ends] - sums[:-1], np.inf)
+    least = np.minimum.reduceat(own, tokens.starts) / STRETCH
+    return np.where(np.isinf(least), np.nan, least)
 
 
 def held_out(id_col):
