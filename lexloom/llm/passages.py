@@ -35,6 +35,8 @@ GAP_COST, MOST_GAP = 0.045, 40
 LOOK = 4
 #: An alignment is cut where more words than this in a row have no equal on the other side; see parted().
 POOR = 4
+#: Words of a piece of text that is sent to documents that share some of it.
+CHUNK = 128
 #: Words beyond a chain's ends that are looked at, as edits may leave a passage's ends without seeds.
 MARGIN = 60
 #: Words from the first to the last seed of a run, whose first holder is looked for too. The longer one lies within any
@@ -388,15 +390,19 @@ def connected(alignments: list[tuple[int, list[tuple[int, int, int]]]]) -> list[
     return out
 
 
-def passages_of(text: str, chains: list[dict]) -> list[dict]:
-    """Of a document's chains the passages: characters, words and edits on its side, and the other's words."""
+def passages_of(text: str, chains: list[dict], chunks: list[dict]) -> list[dict]:
+    """Of a document's chains the passages: characters, words and edits on its side, and the other's words; chunks: the pieces of the others' words around the chains."""
     own = words(text)
+    unzip = zstandard.ZstdDecompressor()
+    pieces = {(c["source"], c["chunk"]): unzip.decompress(c["words"]).split(b" ") for c in chunks}
     alignments = []
     for c in chains:
-        other = c["words"].split(b" ") if c["words"] else []
-        runs = aligned(own, other, c["places"], [o - c["shift"] for o in c["others"]]) or []
+        low, high = max(0, c["others"][0] - MARGIN), c["others"][-1] + K + MARGIN
+        shift = low // CHUNK * CHUNK
+        other = [w for k in range(low // CHUNK, high // CHUNK + 1) for w in pieces.get((c["source"], k), ())][low - shift : high - shift]
+        runs = aligned(own, other, c["places"], [o - low for o in c["others"]]) or []
         if runs:
-            alignments.append((c["source"], [(i, j + c["shift"], n) for i, j, n in runs]))
+            alignments.append((c["source"], [(i, j + low, n) for i, j, n in runs]))
     found = {(source, a0, -a1, b0, b1, edits) for source, runs in connected(alignments) for a0, a1, b0, b1, edits in parted(runs)}
     if not found:
         return []
@@ -419,8 +425,8 @@ def passages_of(text: str, chains: list[dict]) -> list[dict]:
     return rows
 
 
-#: Text whose keys a task packs at once, and text to each shard of the keys.
-PACKED, SHARD = 16 << 20, 8 << 20
+#: Text whose keys a task packs at once, text to each shard of the keys, and text whose words a task holds.
+PACKED, SHARD, SLICE = 8 << 20, 8 << 20, 2 << 20
 #: A key that a slice holds more often than this travels once for all of them in its block, and its places apart.
 HOT = 8
 _FLAG = np.uint32(1 << 31)
@@ -507,7 +513,7 @@ def meetings(blocks: DataFrame, shards: int) -> tuple[DataFrame, list[str]]:
 
 
 def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document with chains: id, chains (an array of the chain's places on both sides and the other side's words)."""
+    """Per document with chains: id, chains (arrays of source and places on both sides), chunks (the sources' words around them, in pieces)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
@@ -515,7 +521,7 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             owner, seed, place = seeds_of(batch.column("text").to_pylist())
             held.append((seed, batch.column("id").to_numpy()[owner], place))
             n += batch.column("text").nbytes
@@ -576,23 +582,17 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["id", "source", "places", "others"]
         )
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other side's words around each chain; rows of one source mostly follow each other."""
-        known, own = None, []
-        unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
-            shift, cut = [], []
-            source, zipped = batch.column("source").to_pylist(), batch.column("zipped")
-            others = batch.column("others").to_pylist()
-            for i, key in enumerate(source):
-                if (now := zipped[i].as_py()) != known:
-                    known, own = now, words(unzip.decompress(now).decode())
-                shift.append(max(0, others[i][0] - MARGIN))
-                cut.append(b" ".join(own[shift[-1] : others[i][-1] + K + MARGIN]))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "source")), pa.array(shift, pa.int32()), *(batch.column(c) for c in ("places", "others")), pa.array(cut, pa.binary())],
-                names=["id", "source", "shift", "places", "others", "words"],
-            )
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in sliced(batches, "text", SLICE):
+            ids, number, out = [], [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = words(text)
+                for k in range(0, len(own), CHUNK):
+                    ids.append(i)
+                    number.append(k // CHUNK)
+                    out.append(zip_.compress(b" ".join(own[k : k + CHUNK])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(out, pa.binary())], names=["source", "chunk", "words"])
 
     spark = docs.sparkSession
     matches, read = meetings(rows.mapInArrow(find, "shard int, block binary"), shards)
@@ -605,9 +605,11 @@ def chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = matches.repartition(shards, "id").sortWithinPartitions("id", "source", "place", "other").mapInArrow(chain, "id long, source long, places array<int>, others array<int>")
     found = saved_at(found, "chains")[0]
     discard(spark, path, *read)
-    sources = compressed(rows).select(F.col("id").alias("source"), "zipped")
-    fetched = found.join(sources, "source").mapInArrow(fetch, "id long, source long, shift int, places array<int>, others array<int>, words binary")
-    return fetched.groupBy("id").agg(F.collect_list(F.struct("source", "shift", "places", "others", "words")).alias("chains"))
+    low, high = F.greatest(F.lit(0), F.get("others", F.lit(0)) - MARGIN), F.element_at("others", -1) + K + MARGIN
+    wanted = found.select("id", "source", F.explode(F.sequence(F.floor(low / CHUNK).cast("int"), F.floor(high / CHUNK).cast("int"))).alias("chunk")).distinct()
+    pieces = rows.mapInArrow(cut, "source long, chunk int, words binary")
+    sent = wanted.join(pieces, ["source", "chunk"]).groupBy("id").agg(F.collect_list(F.struct("source", "chunk", "words")).alias("chunks"))
+    return found.groupBy("id").agg(F.collect_list(F.struct("source", "places", "others")).alias("chains")).join(sent, "id")
 
 
 def compressed(rows: DataFrame) -> DataFrame:
@@ -637,8 +639,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         names = ["start", "end", "n_words", "edits", "source_id", "source_word", "source_words"]
         for batch in batches:
             ids, out = [], []
-            for i, zipped, own in zip(batch.column("id").to_pylist(), batch.column("zipped"), batch.column("chains"), strict=True):
-                found = passages_of(unzip.decompress(zipped.as_py()).decode(), own.as_py())
+            for i, zipped, own, chunks in zip(batch.column("id").to_pylist(), *(batch.column(c) for c in ("zipped", "chains", "chunks")), strict=True):
+                found = passages_of(unzip.decompress(zipped.as_py()).decode(), own.as_py(), chunks.as_py())
                 ids += [i] * len(found)
                 out += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([x[n] for x in out], pa.int64()) for n in names)], names=[id_col, *names])
@@ -661,9 +663,9 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
             texts = batch.column(text).to_pylist()
-            for i, own_chains in enumerate(batch.column("chains")):
+            for i, (own_chains, chunks) in enumerate(zip(batch.column("chains"), batch.column("chunks"), strict=True)):
                 if own_chains.is_valid and texts[i]:
-                    texts[i] = spared(texts[i], passages_of(texts[i], own_chains.as_py()))
+                    texts[i] = spared(texts[i], passages_of(texts[i], own_chains.as_py(), chunks.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == text else batch.column(f.name) for f in kept], names=[f.name for f in kept])
 
     out = joined.mapInArrow(cut, columns)
