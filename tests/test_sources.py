@@ -93,3 +93,24 @@ def test_engine(spark):
     chunk = {r.chunk_id: r.doc_id for r in index["chunks"].collect()}
     assert chunk[best[0].chunk_id] == 1 and len(best) == 3
     assert engine.summarize(rows, 1, mmr=False).where("doc_id = 2").first().summary.startswith("Nothing")
+
+
+def test_engine_sessions_and_answers(spark):
+    docs = spark.createDataFrame([(1, "FACTS: Apples are red. HOLDING: 12 Rep. 5 applies to apples.", "a", "One"), (2, "Pears are green, as 12 Rep. 5 says.", "b", "Two"), (3, "", "b", None)], "doc_id long, text string, session_id string, title string")
+    asked = spark.createDataFrame([(1, "what are apples"), (2, "pears under 12 Rep. 5")], "query_id long, text string")
+    engine = Engine(spark, answerer=lambda q, context: F.concat(q, F.lit("? "), F.substring(context, 1, 3)), hypothesis=lambda q: F.concat(F.lit("pears "), q))
+    index = engine.index(docs)
+    titles = {r.chunk_id: (r.session_id, r.title) for r in index["chunks"].collect()}
+    assert set(titles.values()) == {("a", "One"), ("b", "Two"), ("b", "Untitled")}
+    for profile in ("advanced", "session"):
+        for rerank in (False, True):
+            hits = engine.search(asked, index, 3, session="b", profile=profile, rerank=rerank).collect()
+            assert hits and all(titles[r.chunk_id][0] == "b" and 1 <= r.rank <= 3 for r in hits)
+            assert {titles[r.chunk_id][0] for r in engine.search(asked, index, 9, profile=profile, rerank=rerank).collect()} == {"a", "b"}
+    got = {r.query_id: r for r in engine.answer(asked, index, 2, session="b").collect()}
+    assert got[2].answer == "pears under 12 Rep. 5? [1]" and got[2].error is None and 0 < got[2].confidence <= 100 and [s.rank for s in got[2].sources] == [1, 2]
+    nothing = engine.answer(asked, index, 2, session="none").collect()
+    assert all(r.answer == r.error == "No relevant documents found for your query." and r.sources is None for r in nothing) and len(nothing) == 2
+    alone = Engine(spark).answer(asked, index, 2).collect()
+    assert all(r.answer is None and r.error and r.context for r in alone)
+    assert engine.graph(index).count() == 3  # three chunks hold the citation whole
