@@ -2,7 +2,8 @@
 
 Counting. Words are counted first, by shards that are ranges of their 64-bit hash; a word's id is its place among all. Then
 each task sums the n-grams of what it reads and emits one compact block of ids per shard. A shard is merged by one task and
-written as sorted 64-bit hashes of n-grams and counts of a byte (larger ones apart) to the shared folder. N-grams are
+written as sorted hashes of n-grams, of which five bytes are kept beside an index of their first two, and counts of a byte
+(larger ones apart) to the shared folder. N-grams are
 dealt by the hash of their context, so that a context's totals are known where its n-grams are; pairs of words are dealt by
 both, so a frequent word's pairs lie in all shards, and its totals are summed per shard of words. Each level hands the
 next lower one its distinct n-grams without their first word: there they are counted by how many words stand before them.
@@ -114,6 +115,46 @@ def dealt(columns: list[np.ndarray], counts: np.ndarray, shards: int) -> pa.Reco
     return batch_of(out)
 
 
+#: Bits of a hash that say where in a shard it is looked for, and that are kept of it: five bytes.
+PLACE, KEPT = 16, 40
+
+
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """Hashes of a shard, evenly spread again, as a shard has a range of them."""
+    return mixed(h + np.uint64(1)) >> np.uint64(64 - PLACE - KEPT)
+
+
+def save_keys(folder: str, name: str, h: np.ndarray) -> np.ndarray:
+    """Hashes as sorted keys: where each range of keys begins, and each key's last five bytes. Returns their order."""
+    keys = keys_of(h)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    arrays.save(folder, f"{name}-at", np.searchsorted(keys, np.arange((1 << PLACE) + 1, dtype=np.uint64) << np.uint64(KEPT)).astype(np.uint32))
+    arrays.save(folder, f"{name}-low", keys.astype(np.uint32))
+    arrays.save(folder, f"{name}-high", (keys >> np.uint64(32)).astype(np.uint8))
+    return order
+
+
+def find_keys(at: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are there, and their places among the sorted keys."""
+    keys = keys_of(h)
+    place = (keys >> np.uint64(KEPT)).astype(np.int64)
+    wanted = keys & np.uint64((1 << KEPT) - 1)
+    a, b = at[place].astype(np.int64), at[place + 1].astype(np.int64)
+    ends = b.copy()
+    value = lambda i: high[i].astype(np.uint64) << np.uint64(32) | low[i]
+    open_ = np.flatnonzero(a < b)
+    while len(open_):
+        middle = (a[open_] + b[open_]) >> 1
+        less = value(middle) < wanted[open_]
+        a[open_[less]] = middle[less] + 1
+        b[open_[~less]] = middle[~less]
+        open_ = open_[a[open_] < b[open_]]
+    there = np.flatnonzero(a < ends)
+    there = there[value(a[there]) == wanted[there]]
+    return there, a[there]
+
+
 def save_counts(folder: str, name: str, counts: np.ndarray) -> None:
     """Counts of a byte; where one doesn't fit, it is 255 and stands apart with its place."""
     big = np.flatnonzero(counts > 254)
@@ -181,12 +222,8 @@ class Lookup(arrays.Shelf):
         order = np.argsort(keys)
         for s, own in cut(home[order], shards):
             own = order[own]
-            known = self.load(f"{names[0]}-{s}")
-            if not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
-            there = np.flatnonzero(known[at] == keys[own])
-            at, own = at[there], own[there]
+            there, at = find_keys(*(self.load(f"{names[0]}-{s}-{part}") for part in ("at", "low", "high")), keys[own])
+            own = own[there]
             for k, name in enumerate(names[1:]):
                 n = self.load(f"{name}-{s}")[at].astype(np.int64)
                 if (large := np.flatnonzero(n == 255)).size:
@@ -244,7 +281,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
         shard = key[0].as_py()
         h, n = arrays.summed([arrays.unpack(b) for b in table["block"].to_pylist()])
         arrays.save(folder, f"words-{shard}", h)
-        arrays.save(folder, f"word_counts-{shard}", n)
+        arrays.save(folder, f"word_counts-{shard}", arrays.narrow(n))
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([n.sum()], pa.int64())})
 
     blocks = rows.mapInArrow(count_words, "shard int, block binary")
@@ -272,8 +309,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
             n = np.add.reduceat(n[by].astype(np.int64), starts)
             at = by[starts]
             columns, h = [c[at] for c in columns], h[at]
-            arrays.save(folder, f"grams{level}-{shard}", h)
-            save_counts(folder, f"counts{level}-{shard}", n)
+            save_counts(folder, f"counts{level}-{shard}", n[save_keys(folder, f"grams{level}-{shard}", h)])
             totals = [len(h), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
             if level > 2:
                 context = gram(columns[:-1])
@@ -281,9 +317,9 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
                 starts = np.flatnonzero(np.concatenate([[True], context[by][1:] != context[by][:-1]]))
                 total, *after = (np.add.reduceat(x[by], starts) for x in (n, n == 1, n == 2, n > 2))
                 own = (total > 1) | (columns[0][by[starts]] == START)  # of others it is enough that they are known
-                arrays.save(folder, f"contexts{level}-{shard}", context[by[starts]][own])
+                placed = save_keys(folder, f"contexts{level}-{shard}", context[by[starts]][own])
                 for name, x in zip(("total", "once", "twice", "more"), (total, *after), strict=True):
-                    save_counts(folder, f"{name}{level}-{shard}", x[own].astype(np.int64))
+                    save_counts(folder, f"{name}{level}-{shard}", x[own].astype(np.int64)[placed])
                 rest = columns[1:]
                 _, at, n = np.unique(gram(rest), return_index=True, return_counts=True)
                 arrays.save(folder, f"totals{level}-{shard}", np.array(totals, np.int64))
@@ -327,7 +363,9 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
                         own += arrays.load(folder, f"totals{level}-{s}")
                         continue
                     for name in (f"grams{level}", f"contexts{level}"):
-                        arrays.save(folder, f"{name}-{s}", np.zeros(0, np.uint64))
+                        save_keys(folder, f"{name}-{s}", np.zeros(0, np.uint64))
+                    for name in ("counts", "total", "once", "twice", "more"):
+                        save_counts(folder, f"{name}{level}-{s}", np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.int64()))], names=["totals"])
 
         found = spark.range(shards).mapInArrow(add, "totals array<long>")
