@@ -69,16 +69,11 @@ def shared_edges(entities: DataFrame) -> DataFrame:
     return a.join(b, "entity").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
-    """The first neighbours of each seed (columns query_id, chunk_id), by id: query_id, seed, chunk_id."""
-    both = edges.select(F.col("src").alias("seed"), F.col("dst").alias("near")).unionByName(edges.select(F.col("dst").alias("seed"), F.col("src").alias("near")))
-    met = seeds.select("query_id", F.col("chunk_id").alias("seed")).join(both, "seed")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("near")))
-    return ranked.where(F.col("rank") <= most).select("query_id", "seed", F.col("near").alias("chunk_id"))
-
-
 def first_neighbours(seeds: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
-    """As neighbours(), from entities (chunk_id, entity) and without the edges: of an entity's chunks its first most + 1 are enough."""
+    """The first neighbours of each seed (columns query_id, chunk_id), by id: query_id, seed, chunk_id.
+
+    Neighbours share an entity (entities: chunk_id, entity). The edges aren't built: of an entity's chunks the first most + 1 are enough.
+    """
     order = Window.partitionBy("entity").orderBy("chunk_id")
     first = entities.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most + 1).select("entity", F.col("chunk_id").alias("near"))
     asked = seeds.select("query_id", F.col("chunk_id").alias("seed"))
