@@ -156,3 +156,47 @@ def test_clusters_against_all_pairs(spark, mean, k):
     frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))}))
     got = vector_forest.near_vectors(frame).agg({"n_links": "sum"}).first()[0]
     assert 0.98 * expected <= got <= expected
+
+
+def near_texts(rng):
+    """Texts with copies, and with one to twelve words changed, in some chains."""
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    texts = []
+    for _ in range(60):
+        words = rng.choices(vocabulary, k=rng.choice([3, 8, 40, 120, 300, 700]))
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 5)):
+            words = list(words) if rng.random() < 0.5 else texts[-1].split()
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    return [*enumerate(texts), (900, None), (901, ""), (902, " \n")]
+
+
+def test_simhash_groups_against_all_pairs(spark):
+    rows = near_texts(random.Random(31))
+    fps = {i: fingerprint(t) for i, t in rows}
+    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert sum(fps[a] != fps[b] for a, b in links) > 10
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_groups(documents(spark, rows)).collect()}
+    assert got == {i: (f"{fps[i]:016x}", part) for i, part in roots(fps, links).items()}
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rows = near_texts(random.Random(32))
+    sets = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    links = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    assert sum(sets[a] != sets[b] for a, b in links) > 30
+    part = roots(sets, links)
+    docs = documents(spark, [*rows, (None, "no id"), (None, "no id"), (0, rows[0][1])])
+    kept = simhash.keep_dissimilar(docs)
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    expected = {i for i in sets if part[i] == i}
+    assert got.count(None) == 2 and got.count(0) == 2 * (0 in expected)
+    assert set(got) - {None} >= expected and len(set(got) - {None} - expected) <= 0.03 * (len(sets) - len(expected))
+    assert simhash.keep_dissimilar(documents(spark, [])).count() == 0 and simhash.keep_dissimilar(documents(spark, ODD)).count() >= 6
