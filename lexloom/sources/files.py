@@ -68,13 +68,47 @@ def extracted_docx(content: bytes) -> dict:
 
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|T\*|Td|TD|ET|'")
+_TOKEN = re.compile(rb"(\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\))|<([0-9A-Fa-f\s]*)>|([\[\]])|([-+]?(?:\d+\.?\d*|\.\d+))|/[^\s()<>\[\]/%]*|([A-Za-z]+\*?|['\"])", re.S)
+_ESCAPE = re.compile(rb"\\(?:([0-7]{1,3})|\r?\n|(.))", re.S)
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+#: A shift to the right between two shown strings by so many thousandths of the font's size is a space.
+SPACE = 200
+
+
+def shown_text(content: bytes) -> str:
+    """What a content stream's text operators show, a line for each move to another line."""
+    out: list[str] = []
+    held: list[str] = []
+    listed = False
+    for literal, digits, bracket, number, operator in _TOKEN.findall(content):
+        if literal:
+            raw = _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1] else _ESCAPED.get(m[2], m[2] or b""), literal[1:-1])
+            held.append(shown_string(raw))
+        elif bracket:
+            listed = bracket == b"["
+        elif number:
+            if listed and float(number) < -SPACE:
+                held.append(" ")
+        elif operator:
+            if operator in (b"Tj", b"TJ", b"'", b'"'):
+                out += ["\n"] * (operator in (b"'", b'"')) + held
+            elif operator in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
+                out.append("\n")
+            held, listed = [], False
+        elif digits:
+            held.append(shown_string(bytes.fromhex((d := b"".join(digits.split()).decode()) + "0" * (len(d) % 2))))
+    return "\n".join(line.strip() for line in "".join(out).splitlines() if line.strip())
+
+
+def shown_string(raw: bytes) -> str:
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
 
 
 def extracted_pdf(content: bytes) -> dict:
-    """The text layer of simple files: literal strings shown by content streams, plain or deflated; a blank line per stream.
+    """The text layer of simple files: literal and hexadecimal strings shown by content streams, plain or deflated; a blank line per stream.
 
-    Files with other encodings, and pages without a text layer, need an extractor of their own in EXTRACTORS.
+    Strings are bytes of Latin-1, or UTF-16 with its mark. Files with fonts of their own encoding, and pages without a text
+    layer, need an extractor of their own in EXTRACTORS.
     """
     pages = []
     for raw in _STREAM.findall(content):
@@ -82,11 +116,7 @@ def extracted_pdf(content: bytes) -> dict:
             raw = zlib.decompress(raw)
         except zlib.error:
             pass
-        if b"BT" not in raw:
-            continue
-        shown = [m if m[:1] == b"(" else b"\n" for m in _SHOWN.findall(raw)]
-        text = b"".join(re.sub(rb"\\([()\\])", rb"\1", s[1:-1]) if s[:1] == b"(" else s for s in shown).decode("latin-1")
-        if text := "\n".join(line.strip() for line in text.splitlines() if line.strip()):
+        if b"BT" in raw and (text := shown_text(raw)):
             pages.append(text)
     if not pages:
         raise ValueError("no text layer")

@@ -114,3 +114,10 @@ def test_engine_sessions_and_answers(spark):
     alone = Engine(spark).answer(asked, index, 2).collect()
     assert all(r.answer is None and r.error and r.context for r in alone)
     assert engine.graph(index).count() == 3  # three chunks hold the citation whole
+
+
+def test_text_that_pages_show():
+    show = files.shown_text
+    assert show(rb"BT /F1 12 Tf 72 700 Td [(Hel) -20 (lo) -300 (wor\154d)] TJ 0 -14 Td <48692 > Tj (a \(b\) (c)) ' ET") == "Hello world\nHi \na (b) (c)"
+    assert show(b"BT <FEFF00E900E8> Tj T* (x\\\ny\\)) Tj 1 2 (q) \" ET (not shown) q") == "éè\nxy)\nq"
+    assert show(b"BT ET") == "" and show(b"") == "" and show(b"BT (never closed Tj ET") == ""
