@@ -150,8 +150,8 @@ def test_recall_of_leaves(n, mean, k):
 @pytest.mark.parametrize(("mean", "k"), [(0.8, 1), (0.9, 1), (0.9, 30)])
 def test_clusters_against_all_pairs(spark, mean, k):
     rng = np.random.default_rng(2)
-    x = clustered(30_000, mean, k, rng)
-    x[15_000:16_000] = beside(x[:1000], 0.951, rng)
+    x = clustered(16_000, mean, k, rng)
+    x[15_000:] = beside(x[:1000], 0.951, rng)
     expected = sum(int((x[i : i + 2000] @ x.T >= 0.95).sum()) for i in range(0, len(x), 2000)) - len(x)
     frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))}))
     got = vector_forest.near_vectors(frame).agg({"n_links": "sum"}).first()[0]
