@@ -12,6 +12,9 @@ from ..session import saved
 #: Queries that meet the chunks together.
 BLOCK = 1024
 
+#: Hits of a query up to which the smallest ids are enough to fill it up.
+FEW = 1000
+
 #: Parameters of the profiles: the session profile's idf may be negative; the advanced one puts 0.25 of the mean instead.
 SESSION = {"k1": 1.2, "b": 0.75, "floor": None}
 OKAPI = {"k1": 1.5, "b": 0.75, "floor": 0.25}
@@ -69,15 +72,22 @@ def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
 def bm25_top(queries: DataFrame, index: DataFrame, sizes: DataFrame, profile: dict, k: int) -> DataFrame:
     """The k best chunks of each query; chunks without any of its terms score 0 and fill up, or stand before negative ones.
 
-    Only queries with fewer than k positive hits are filled. They meet all chunks in blocks of queries, and a task hands on
-    no more than its k smallest ids for each query.
+    Only queries with fewer than k positive hits are filled. Of a query with n hits in all, up to FEW, the k chunks to fill
+    up with are among the k + n smallest ids. Queries with more hits, of very common terms with negative scores, meet all
+    chunks in blocks of queries, and a task hands on no more than its k smallest ids for each query.
     """
     hits = saved(bm25_hits(queries, index, sizes, profile), "hits")
-    full = hits.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    needing = saved(queries.select("query_id").distinct().join(full, "query_id", "left_anti"), "needing")
-    blocks = max(1, -(-needing.count() // BLOCK))
-    asked = needing.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("query_id").alias("ids"))
-    every = sizes.select("chunk_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(asked, "block").select("chunk_id", F.explode("ids").alias("query_id"))
+    found = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("score") > 0, 1)).alias("positive"))
+    needing = queries.select("query_id").distinct().join(found, "query_id", "left").fillna(0, ["n", "positive"])
+    needing = saved(needing.where(F.col("positive") < k).select("query_id", "n"), "needing")
+    first = F.lit([r[0] for r in sizes.select("chunk_id").orderBy("chunk_id").limit(k + FEW).collect()]).cast(f"array<{sizes.schema['chunk_id'].dataType.simpleString()}>")
+    every = needing.where(F.col("n") <= FEW).select(F.explode(F.slice(first, 1, (F.col("n") + k).cast("int"))).alias("chunk_id"), "query_id")
+    many = needing.where(F.col("n") > FEW)
+    if n := many.count():
+        blocks = -(-n // BLOCK)
+        asked = many.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("query_id").alias("ids"))
+        met = sizes.select("chunk_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(asked, "block")
+        every = every.unionByName(met.select("chunk_id", F.explode("ids").alias("query_id")))
     rest = top(every.join(hits, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0)), k).drop("rank")
     return top(hits.unionByName(rest.select(*hits.columns)), k)
 

@@ -203,3 +203,15 @@ def test_sessions(spark):
     some = sessions.created(none, "s1", "first", "2024-01-01")
     assert sessions.created(some, "s1", "again", "2024-01-02").collect() == some.collect()
     assert sessions.status(docs(spark, []).withColumn("session_id", F.lit(1))).first() == (0, 0)
+
+
+@pytest.mark.parametrize("few", [0, 1, 1000])
+def test_filled_keyword_results(spark, monkeypatch, few):
+    """Chunks without a term fill up, before those of negative score, whichever way they are found."""
+    monkeypatch.setattr(keyword, "FEW", few)
+    docs = spark.createDataFrame([(i, "common words" if i % 3 else f"common rare{i}") for i in range(30)] + [(i, "else") for i in range(30, 36)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "common"), (2, "rare0 rare3"), (3, "absent")], "query_id long, text string")
+    got = keyword.bm25_top(asked, keyword.postings(docs), keyword.lengths(docs), keyword.SESSION, 4).orderBy("query_id", "rank").collect()
+    assert [r.chunk_id for r in got] == [30, 31, 32, 33, 0, 3, 1, 2, 0, 1, 2, 3] and [r.score for r in got[:4]] == [0] * 4
+    none = docs.limit(0)
+    assert keyword.bm25_top(asked, keyword.postings(none), keyword.lengths(none), keyword.SESSION, 4).count() == 0
