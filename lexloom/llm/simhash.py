@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import discard, saved, saved_at
 from .common import sliced
 from .components import components
 
@@ -126,13 +126,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
 
+#: First bits of a long fingerprint that go with each of its segments.
+CHECK = 32
+
+
 @dataclass(frozen=True)
 class Plan:
-    """Segments of the long fingerprints, bits of each, and bits in which two documents of the wanted likeness may differ."""
+    """Segments of the long fingerprints, bits of each, and bits in which two documents of the wanted likeness may differ: in all, and in the first CHECK bits."""
 
     segments: int
     bits: int
     radius: int
+    near: int
 
     @classmethod
     def of(cls, rows: int, least: float) -> Plan:
@@ -140,14 +145,16 @@ class Plan:
 
         A segment has some bits more than the rows' number, so that strangers seldom meet; there are so many segments that
         one of them differs in at most one bit for 97 of 100 pairs just at the threshold. The radius is three standard
-        deviations above what such a pair differs in on average.
+        deviations above what such a pair differs in on average; that of the first bits, which sort out most strangers before
+        whole fingerprints are fetched, three and a half.
         """
         differs = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
         bits = min(56, max(12, math.ceil(math.log2(max(1, rows))) + 2))
         meets = (1 - differs) ** bits + bits * differs * (1 - differs) ** (bits - 1)
         segments = max(1, math.ceil(math.log(0.03) / math.log1p(-meets))) if meets < 1 else 1
         n = segments * bits
-        return cls(segments, bits, min(n, math.ceil(n * differs + 3 * math.sqrt(n * differs * (1 - differs)))))
+        most = lambda n, k: min(n, math.ceil(n * differs + k * math.sqrt(n * differs * (1 - differs))))
+        return cls(segments, bits, most(n, 3), most(CHECK, 3.5))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -214,19 +221,26 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, least: float, wid
 
     fps = saved(rows.mapInArrow(run, "id long, fp array<long>"), "fingerprints")
     classes = saved(fps.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    own = classes.select(F.col("first").alias("id"), "fp", F.posexplode("fp").alias("segment", "value"))
-    leaders = own.groupBy("segment", "value").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    led = own.select("id", "segment", "value").join(saved(leaders, "leaders"), ["segment", "value"]).where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    check = F.lit(0).cast("bigint")
+    for s in range(min(plan.segments, -(-CHECK // plan.bits))):
+        check = check.bitwiseOR(F.shiftleft(F.get("fp", F.lit(s)), s * plan.bits))
+    check = F.when(check.bitwiseAND(1 << 31) != 0, check.bitwiseAND((1 << 31) - 1) - (1 << 31)).otherwise(check.bitwiseAND((1 << 31) - 1)).cast("int")  # its low 32 bits
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)).cast("bigint").bitwiseAND((1 << 32) - 1)) <= plan.near
+    own = classes.select(F.col("first").alias("id"), check.alias("check"), F.posexplode("fp").alias("segment", "value"))
+    leaders = own.groupBy("segment", "value").agg(F.min(F.struct("id", "check")).alias("l"), F.count("*").alias("n")).where("n > 1")
+    leaders, path = saved_at(leaders.select("segment", "value", F.col("l.id").alias("leader"), F.col("l.check").alias("other_check")), "leaders")
+    led = own.join(leaders, ["segment", "value"]).where("id <> leader").where(close("check", "other_check")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     first = saved(_alike(led, classes, rows, plan, least, width), "alike")
+    discard(docs.sparkSession, path)
     covered = first.select(F.col("b").alias("first"), F.lit(True).alias("covered")).distinct()
-    marked = saved(classes.join(covered, "first", "left").select(F.col("first").alias("id"), F.coalesce("covered", F.lit(False)).alias("covered"), "fp"), "marked")
-    exact = marked.select("id", "covered", F.posexplode("fp").alias("segment", "value"))
+    marked = saved(classes.join(covered, "first", "left").select(F.col("first").alias("id"), F.coalesce("covered", F.lit(False)).alias("covered"), check.alias("check"), "fp"), "marked")
+    exact = marked.select("id", "covered", "check", F.posexplode("fp").alias("segment", "value"))
     # two values that differ in one bit: the one that lacks it meets the other when it is set
     masks = F.lit([1 << b for b in range(plan.bits)]).cast("array<bigint>")
     ball = F.concat(F.array("value"), F.transform(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) == 0), lambda m: F.col("value").bitwiseOR(m)))
-    balls_ = exact.select(F.col("id").alias("other"), F.col("covered").alias("other_covered"), "segment", F.explode(ball).alias("value"))
+    balls_ = exact.select(F.col("id").alias("other"), F.col("covered").alias("other_covered"), F.col("check").alias("other_check"), "segment", F.explode(ball).alias("value"))
     met = exact.join(balls_.where("not other_covered"), ["segment", "value"]).unionByName(exact.where("not covered").join(balls_.where("other_covered"), ["segment", "value"]))
-    met = met.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    met = met.where("id <> other").where(close("check", "other_check")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     return fps.join(classes, "fp").select("id", "first"), first.unionByName(_alike(met, classes, rows, plan, least, width))
 
 
