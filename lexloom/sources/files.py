@@ -97,7 +97,7 @@ def shown_text(content: bytes) -> str:
             held, listed = [], False
         elif digits:
             held.append(shown_string(bytes.fromhex((d := b"".join(digits.split()).decode()) + "0" * (len(d) % 2))))
-    return "\n".join(line.strip() for line in "".join(out).splitlines() if line.strip())
+    return "\n".join(line for line in "".join(out).splitlines() if line.strip())
 
 
 def shown_string(raw: bytes) -> str:
