@@ -252,13 +252,13 @@ def taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array((0.0, *d))[np.minimum(counts, 3)]
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD) -> Model:
     """Counts the whole texts of all rows, null as empty, and writes the model, of n-grams up to `order` (at least 2), to the shared folder."""
     spark = texts.sparkSession
     folder = shared_folder(spark, "kneser-ney")
     rows = texts.select(texts[text_col].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD))
+    shards = max(1, -(-size // shard_bytes))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: Counter = Counter()
@@ -303,6 +303,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
             shard = key[0].as_py()
             parts = [arrays.unpack(b, np.uint64) for b in table["block"].to_pylist()]
             *columns, n = (np.concatenate([p[i] for p in parts]) for i in range(level + 1))
+            del parts
             h = gram(columns)
             by = np.argsort(h, kind="stable")
             starts = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
@@ -394,7 +395,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 SCORES = ("n_tokens", "n_known", "base_score", "score")
 
 
-def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str, ...]) -> DataFrame:
+def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str, ...], slice_bytes: int = SLICE) -> DataFrame:
     """All columns of docs and the wanted ones of SCORES and worst, whose names docs must not have.
 
     worst: the lowest mean score (log10) of any STRETCH tokens in a row, null for shorter texts.
@@ -404,7 +405,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lookup(model.folder)
-        for batch in gathered(batches, text_col, SLICE):
+        for batch in gathered(batches, text_col, slice_bytes):
             found = scores_of(batch.column(text_col).to_pylist(), model, own)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k], from_pandas=True) for k in wanted)], names=[*batch.schema.names, *wanted])
 

@@ -170,3 +170,19 @@ def test_odd_quality(spark, rows, labelled):
     if not labelled:
         assert got.where("not kept").count() == 0
     assert quality.keep_quality(docs, labels).columns == docs.columns
+
+
+def test_all_labelled_documents_are_trusted(spark):
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.chosen(labels, "doc_id").count() == 60_000
+    docs = spark.range(90_000).union(spark.range(3)).selectExpr("id - 10000 as id", "'x' as text").unionByName(documents(spark, [(None, "x")]).selectExpr("doc_id as id", "text"))
+    got = [r.id for r in quality.trusted_rows_of(docs, quality.chosen(labels, "doc_id")).collect()]
+    assert sorted(got) == list(range(60_000))
+    assert quality.trusted_rows_of(docs, quality.chosen(labels.where("false"), "doc_id")).count() == 0
+
+
+def test_shards_of_trusted_ids(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ID_SHARD", 100)
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "trusted_id")
+    docs = spark.range(3000).union(spark.range(9))
+    assert sorted(r.id for r in quality.trusted_rows_of(docs, ids).collect()) == sorted([*range(0, 3000, 3), 0, 3, 6])
