@@ -5,11 +5,13 @@ all values near a fingerprint's segment (a small Hamming ball) are looked up in
 verified over the whole fingerprint. Equal fingerprints are taken together first, so copies cost nothing.
 
 keep_dissimilar() finds documents by the likeness of their shingle sets instead, by the same search over longer fingerprints,
-whose length follows from the likeness and the number of documents; see Plan.
+whose length follows from the likeness and the number of documents; see Plan. What such fingerprints miss, and links that
+representatives hide, missed_pairs() finds exactly among documents that aren't yet in one group.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,8 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..session import discard, saved, saved_at
+from ..session import discard, saved, saved_at, shared_folder
+from . import arrays
 from .common import sliced
 from .components import components
 
@@ -259,6 +263,11 @@ def _alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame, plan: Plan, le
 
     # equal ids with several texts: the one of them that comes last in order
     held = saved(rows.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles")), "shingles")
+    return _verified(near, held, least)
+
+
+def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Of the pairs a, b those whose shingle sets are alike; held: id, shingles."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,13 +275,106 @@ def _alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame, plan: Plan, le
             for x, y in zip(batch.column("one"), batch.column("two"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both))
+                good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = near.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
+    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
     return joined.mapInArrow(verify, "a long, b long")
 
 
+#: Text whose shingles are counted for their order; which one it is changes what a search costs, not what it finds.
+COUNTED = 32 << 20
+
+
+@functools.lru_cache(maxsize=2)
+def _common(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    return arrays.load(folder, "hash"), arrays.load(folder, "count")
+
+
+def common_shingles(rows: DataFrame, width: int) -> str:
+    """The folder of the shingles that more than one text has, of some texts of about COUNTED bytes, and in how many of these each is."""
+    folder = shared_folder(rows.sparkSession, "common")
+    part = max(1, -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // COUNTED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text").to_pylist(), width)[1].view(np.int64))], names=["h"])
+
+    found = rows.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    arrays.save(folder, "hash", h[order])
+    arrays.save(folder, "count", n[order])
+    return folder
+
+
+def set_key(run: np.ndarray) -> int:
+    """A hash of a set of shingles."""
+    return int(_mixed(np.array([_mixed(run).sum(dtype=np.uint64) + np.uint64(len(run))], np.uint64)).view(np.int64)[0])
+
+
+def prefix_of(run: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set, in the order of all shingles by count and hash: any two sets that are alike have one of theirs in common."""
+    known, n = common
+    count = np.zeros(len(run), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, run), len(known) - 1)
+        count = np.where(known[at] == run, n[at], 0)
+    return run[np.lexsort((run, count))[: len(run) - math.ceil(least * len(run) - 1e-9) + 1]] if len(run) else run
+
+
+def bits_of(run: np.ndarray) -> np.ndarray:
+    """A set as bits, at least as many as shingles and a power of two of words of 64."""
+    words = 1 << max(0, math.ceil(math.log2(max(1, len(run)) / 64)))
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(_mixed(run) & np.uint64(64 * words - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def missed_pairs(rows: DataFrame, groups: DataFrame, least: float, width: int) -> DataFrame:
+    """All pairs a, b of ids whose shingle sets are alike and that aren't in one group yet, copies by their smallest id.
+
+    rows: id, text; groups: id, kept. Sets that are alike have a shingle of their prefixes in common (see prefix_of). Where a
+    shingle's holders are of several groups, those of different groups are compared: by size, then by the bits in which the
+    sets differ, of which each stands for a shingle that only one has, and then by the sets themselves.
+    """
+    folder = common_shingles(rows, width)
+
+    def sets(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            owner, run = shingle_sets(batch.column("text").to_pylist(), width)
+            parts = np.split(run, np.searchsorted(owner, np.arange(1, batch.num_rows)))
+            keys = pa.array([set_key(p) for p in parts], pa.int64())
+            if whole:
+                yield pa.RecordBatch.from_arrays([keys, pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "shingles"])
+                continue
+            columns = [pa.array([len(p) for p in parts], pa.int32())]
+            for f in (lambda p: prefix_of(p, _common(folder), least).view(np.int64), bits_of):
+                columns.append(pa.array([f(p) for p in parts], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), keys, *columns], names=["id", "node", "n", "prefix", "bits"])
+
+    found, path = saved_at(rows.mapInArrow(lambda batches: sets(batches, False), "id long, node long, n int, prefix array<long>, bits array<long>"), "prefixes")
+    nodes = found.where("n > 0").select("id", "node").join(groups, "id").groupBy("node").agg(F.min("id").alias("first"), F.min("kept").alias("kept"))
+    nodes = saved(nodes, "nodes")
+    own = found.join(nodes.withColumnRenamed("first", "id"), ["node", "id"]).select("node", "kept", "n", "bits", F.explode("prefix").alias("shingle"))
+    all_of = Window.partitionBy("shingle")
+    met, met_path = saved_at(own.select("*", F.min("kept").over(all_of).alias("low"), F.max("kept").over(all_of).alias("high")).where("low <> high").drop("low", "high"), "met")
+    discard(rows.sparkSession, path)
+    one, two = (met.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "kept", "n", "bits"))) for k in "ab")
+    pairs = one.join(two, "shingle").where("node_a < node_b and kept_a <> kept_b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseOR(q))
+    cut = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(cut("bits_a", "bits_b"), cut("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
+    pairs = pairs.where(differ <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    pairs = saved(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
+    discard(rows.sparkSession, met_path)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("first").alias("id")).distinct()
+    held = rows.join(wanted, "id", "left_semi").mapInArrow(lambda batches: sets(batches, True), "id long, shingles binary")
+    alike = _verified(pairs, saved(held.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles"), least)
+    first = lambda c: nodes.select(F.col("node").alias(c), F.col("first").alias(f"first_{c}"))
+    return alike.join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+
+
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of docs, with their own columns, but for those that a chain of near-duplicates joins to a smaller id.
 
@@ -281,6 +383,11 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     classes, pairs = similar_pairs(docs, id_col, text_col, least, width)
     parts = components(pairs)
-    grouped = classes.join(parts, classes["first"] == parts["node"], "left").select("id", F.coalesce("component", "first").alias("kept"))
+    groups = saved(classes.join(parts, classes["first"] == parts["node"], "left").select("id", F.coalesce("component", "first").alias("kept")), "groups")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
+    more = missed_pairs(rows, groups, least, width)
+    linked = groups.where("id <> kept").select(F.col("id").alias("a"), F.col("kept").alias("b"))
+    parts = components(linked.unionByName(more))
+    grouped = groups.join(parts, groups["id"] == parts["node"], "left").select("id", F.coalesce("component", "id").alias("kept"))
     gone = grouped.where("id > kept").select(F.col("id").alias("gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

@@ -200,3 +200,32 @@ def test_similar_documents_against_all_pairs(spark):
     assert got.count(None) == 2 and got.count(0) == 2 * (0 in expected)
     assert set(got) - {None} >= expected and len(set(got) - {None} - expected) <= 0.03 * (len(sets) - len(expected))
     assert simhash.keep_dissimilar(documents(spark, [])).count() == 0 and simhash.keep_dissimilar(documents(spark, ODD)).count() >= 6
+
+
+def edited_chains(rng):
+    """Texts each of which has some words of the one before replaced, so that many are just at a likeness of 0.8."""
+    texts = []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(rng.choice([12, 30, 80, 200]))]
+        for _ in range(14):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 45))):
+                words[rng.randrange(len(words))] = f"n{rng.random()}"
+    rng.shuffle(texts)
+    return [*enumerate(texts)]
+
+
+def test_no_similar_document_is_missed(spark, monkeypatch):
+    rows = edited_chains(random.Random(33))
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    part = roots(sets, links)
+    docs = documents(spark, rows)
+    assert sorted(r.doc_id for r in simhash.keep_dissimilar(docs).collect()) == [i for i in sorted(sets) if part[i] == i]
+    plain = docs.selectExpr("doc_id as id", "text")
+    alone = simhash.missed_pairs(plain, plain.selectExpr("id", "id as kept"), 0.8, 5)  # nothing is grouped yet
+    assert sorted((min(r), max(r)) for r in alone.collect()) == links
+    monkeypatch.setattr(simhash, "COUNTED", 1000)  # another order of the shingles
+    alone = simhash.missed_pairs(plain, plain.selectExpr("id", "id as kept"), 0.8, 5)
+    assert sorted((min(r), max(r)) for r in alone.collect()) == links
