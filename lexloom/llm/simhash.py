@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import discard, saved, saved_at, shared_folder
+from ..session import discard, named, saved, saved_at, shared_folder
 from . import arrays
 from .common import sliced
 from .components import components
@@ -324,8 +324,8 @@ def prefix_of(run: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: flo
 
 
 def bits_of(run: np.ndarray) -> np.ndarray:
-    """A set as bits, at least as many as shingles and a power of two of words of 64."""
-    words = 1 << max(0, math.ceil(math.log2(max(1, len(run)) / 64)))
+    """A set as bits, at least four times as many as shingles and a power of two of words of 64."""
+    words = 1 << max(0, math.ceil(math.log2(max(1, len(run)) / 16)))
     bits = np.zeros(64 * words, np.uint8)
     bits[(_mixed(run) & np.uint64(64 * words - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
@@ -335,7 +335,7 @@ def missed_pairs(rows: DataFrame, groups: DataFrame, least: float, width: int) -
     """All pairs a, b of ids whose shingle sets are alike and that aren't in one group yet, copies by their smallest id.
 
     rows: id, text; groups: id, kept. Sets that are alike have a shingle of their prefixes in common (see prefix_of). Where a
-    shingle's holders are of several groups, those of different groups are compared: by size, then by the bits in which the
+    shingle's holders are of several groups, those of different groups are compared: by size and place, then by the bits in which the
     sets differ, of which each stands for a shingle that only one has, and then by the sets themselves.
     """
     folder = common_shingles(rows, width)
@@ -356,18 +356,23 @@ def missed_pairs(rows: DataFrame, groups: DataFrame, least: float, width: int) -
     found, path = saved_at(rows.mapInArrow(lambda batches: sets(batches, False), "id long, node long, n int, prefix array<long>, bits array<long>"), "prefixes")
     nodes = found.where("n > 0").select("id", "node").join(groups, "id").groupBy("node").agg(F.min("id").alias("first"), F.min("kept").alias("kept"))
     nodes = saved(nodes, "nodes")
-    own = found.join(nodes.withColumnRenamed("first", "id"), ["node", "id"]).select("node", "kept", "n", "bits", F.explode("prefix").alias("shingle"))
+    own = found.join(nodes.withColumnRenamed("first", "id"), ["node", "id"]).select("node", "kept", F.posexplode("prefix").alias("place", "shingle"))
     all_of = Window.partitionBy("shingle")
     met, met_path = saved_at(own.select("*", F.min("kept").over(all_of).alias("low"), F.max("kept").over(all_of).alias("high")).where("low <> high").drop("low", "high"), "met")
-    discard(rows.sparkSession, path)
-    one, two = (met.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "kept", "n", "bits"))) for k in "ab")
+    traits = found.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
+    met, traits_path = saved_at(met.join(traits, "node"), "met-traits")
+    del own, found
+    discard(rows.sparkSession, path, met_path)
+    one, two = (met.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "kept", "place", "n", "bits"))) for k in "ab")
     pairs = one.join(two, "shingle").where("node_a < node_b and kept_a <> kept_b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    # before the first shingle that both have there is none, so from its places on enough must be left
+    pairs = pairs.where(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
     half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseOR(q))
     cut = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(cut("bits_a", "bits_b"), cut("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
     pairs = pairs.where(differ <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + 1e-6)
     pairs = saved(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
-    discard(rows.sparkSession, met_path)
+    discard(rows.sparkSession, traits_path)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("first").alias("id")).distinct()
     held = rows.join(wanted, "id", "left_semi").mapInArrow(lambda batches: sets(batches, True), "id long, shingles binary")
     alike = _verified(pairs, saved(held.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles"), least)
@@ -381,9 +386,12 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Near-duplicates are texts whose sets of `width`-word shingles (A-Z in lower case) have a Jaccard likeness of at least
     `least`. Texts without a word are copies of each other. Rows without an id stay, and so do rows that repeat an id that stays.
     """
+    before = named()
     classes, pairs = similar_pairs(docs, id_col, text_col, least, width)
     parts = components(pairs)
-    groups = saved(classes.join(parts, classes["first"] == parts["node"], "left").select("id", F.coalesce("component", "first").alias("kept")), "groups")
+    groups, groups_path = saved_at(classes.join(parts, classes["first"] == parts["node"], "left").select("id", F.coalesce("component", "first").alias("kept")), "groups")
+    del classes, pairs, parts
+    discard(docs.sparkSession, *(path for path in named() if path not in (*before, groups_path)))
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
     more = missed_pairs(rows, groups, least, width)
     linked = groups.where("id <> kept").select(F.col("id").alias("a"), F.col("kept").alias("b"))
