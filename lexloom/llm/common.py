@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 from collections.abc import Callable, Iterable, Iterator
@@ -28,6 +29,21 @@ def without_gc(f: Callable) -> Callable:
     return run
 
 
+@functools.cache
+def _malloc_trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if f := _malloc_trim():
+        f(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, cut so that each piece holds at most about `most` bytes of text."""
     for batch in batches:
@@ -39,6 +55,7 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def gathered(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from . import arrays
-from .common import gathered, sliced
+from .common import gathered, sliced, trim
 
 #: Words of an n-gram.
 ORDER = 3
@@ -252,7 +252,7 @@ def taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array((0.0, *d))[np.minimum(counts, 3)]
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD) -> Model:
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD, slice_bytes: int = SLICE) -> Model:
     """Counts the whole texts of all rows, null as empty, and writes the model, of n-grams up to `order` (at least 2), to the shared folder."""
     spark = texts.sparkSession
     folder = shared_folder(spark, "kneser-ney")
@@ -290,7 +290,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "text", SLICE):
+        for batch in gathered(batches, "text", slice_bytes):
             tokens = Tokens(batch.column("text").to_pylist())
             own = lookup(folder).ids(tokens.distinct, sizes).astype(np.uint64)[tokens.place]
             columns = [tokens.before(own, k) for k in range(order - 1, -1, -1)]
@@ -300,6 +300,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
     def merge_grams(level: int):
         def merge(key, table):
             """Writes the shard of a level; returns the next lower level's blocks, or after pairs what their words' shards need."""
+            trim()  # what the shard before has left
             shard = key[0].as_py()
             parts = [arrays.unpack(b, np.uint64) for b in table["block"].to_pylist()]
             *columns, n = (np.concatenate([p[i] for p in parts]) for i in range(level + 1))
