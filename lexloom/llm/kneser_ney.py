@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from . import arrays
-from .common import gathered, sliced, trim
+from .common import byte_lengths, gathered, sliced, trim
 
 #: Words of an n-gram.
 ORDER = 3
@@ -252,12 +252,25 @@ def taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array((0.0, *d))[np.minimum(counts, 3)]
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD, slice_bytes: int = SLICE) -> Model:
-    """Counts the whole texts of all rows, null as empty, and writes the model, of n-grams up to `order` (at least 2), to the shared folder."""
+def kept(batches: Iterator[pa.RecordBatch], only: Callable | None) -> Iterator[pa.RecordBatch]:
+    return map(only, batches) if only else batches
+
+
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD, slice_bytes: int = SLICE, only: Callable | None = None) -> Model:
+    """Counts the whole texts of all rows, null as empty, and writes the model, of n-grams up to `order` (at least 2), to the shared folder.
+
+    only: gives the rows of a batch, with all its columns, that count, if not all do.
+    """
     spark = texts.sparkSession
     folder = shared_folder(spark, "kneser-ney")
-    rows = texts.select(texts[text_col].alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = texts.select(texts[text_col].alias("text"), *(c for c in texts.columns if only and c != text_col))
+
+    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kept(batches, only):
+            yield pa.RecordBatch.from_arrays([pa.array([byte_lengths(batch.column("text")).sum()], pa.int64())], names=["size"])
+
+    sizes_of = rows.mapInArrow(count_bytes, "size long") if only else rows.select(F.octet_length("text").cast("long").alias("size"))
+    size = sizes_of.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +281,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
             counted.clear()
             return batch_of([(s, arrays.pack(h[own], n[own])) for s, own in cut(shard_of(h, shards), shards)])
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(kept(batches, only), "text"):
             for text in batch.column("text").to_pylist():
                 counted.update(words(text))
                 counted[END] += 1
@@ -290,7 +303,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "text", slice_bytes):
+        for batch in gathered(kept(batches, only), "text", slice_bytes):
             tokens = Tokens(batch.column("text").to_pylist())
             own = lookup(folder).ids(tokens.distinct, sizes).astype(np.uint64)[tokens.place]
             columns = [tokens.before(own, k) for k in range(order - 1, -1, -1)]
@@ -396,17 +409,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 SCORES = ("n_tokens", "n_known", "base_score", "score")
 
 
-def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str, ...], slice_bytes: int = SLICE) -> DataFrame:
+def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str, ...], slice_bytes: int = SLICE, only: Callable | None = None) -> DataFrame:
     """All columns of docs and the wanted ones of SCORES and worst, whose names docs must not have.
 
     worst: the lowest mean score (log10) of any STRETCH tokens in a row, null for shorter texts.
+    only: as in train().
     """
     types = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "worst": "double"}
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lookup(model.folder)
-        for batch in gathered(batches, text_col, slice_bytes):
+        for batch in gathered(kept(batches, only), text_col, slice_bytes):
             found = scores_of(batch.column(text_col).to_pylist(), model, own)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k], from_pandas=True) for k in wanted)], names=[*batch.schema.names, *wanted])
 
