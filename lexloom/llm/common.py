@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,17 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def numbered(lists: Iterable[list]) -> tuple[list, np.ndarray, np.ndarray]:
+    """The distinct items of all lists in order, the place among them of each item, and where each list ends.
+
+    Each list is dropped before the next is made, while its items are at hand: all of them at once would be several times the text.
+    """
+    at: defaultdict = defaultdict(count().__next__)
+    parts = [np.fromiter(map(at.__getitem__, own), np.int64, len(own)) for own in lists]
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    return list(at), np.concatenate(parts) if parts else np.zeros(0, np.int64), ends
+
+
 class Recent:
     """A cache of bounded size: `new` takes entries until it holds `most`, then serves as `old` for as long again.
 

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from ..session import discard, named, saved, saved_at, shared_folder
 from . import arrays
-from .common import sliced
+from .common import numbered, sliced
 from .components import components
 
 BITS = 64
@@ -169,20 +169,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all texts, as hashes: text number and hash, sorted. Fewer words than a shingle are one; no word, none."""
-    flat: list[bytes] = []
-    ends = []
-    for text in texts:
-        flat += (text or "").encode().lower().split()
-        ends.append(len(flat))
-    at = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, at), np.uint64, len(at))[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))]
+    distinct, at, ends = numbered((text or "").encode().lower().split() for text in texts)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[at]
     size = np.diff(ends, prepend=0)
     owner = np.repeat(np.arange(len(ends)), size)
     run = np.zeros(len(h), np.uint64)
     for k in range(width):  # beyond a text's end nothing is added; only short texts keep such a run
         own = h[k:] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1)
         run[: len(own)] += np.where(owner[k:] == owner[: len(own)], own, np.uint64(0))
-    place = np.arange(len(h)) - np.repeat(np.array([0, *ends[:-1]]) if ends else np.zeros(0, np.int64), size)
+    place = np.arange(len(h)) - np.repeat(ends - size, size)
     whole = place <= np.maximum(size[owner] - width, 0)
     owner, run = owner[whole], _mixed(run[whole])
     order = np.lexsort((run, owner))

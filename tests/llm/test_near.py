@@ -1,6 +1,7 @@
 """Near-duplicates against all pairs: fingerprints, vectors, components."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -229,3 +230,15 @@ def test_no_similar_document_is_missed(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COUNTED", 1000)  # another order of the shingles
     alone = simhash.missed_pairs(plain, plain.selectExpr("id", "id as kept"), 0.8, 5)
     assert sorted((min(r), max(r)) for r in alone.collect()) == links
+
+
+def test_words_of_a_slice_are_not_held_one_by_one():
+    texts = [" ".join(f"w{(i * i + j * 7) % 900}" for j in range(400)) for i in range(400)]
+    simhash.shingle_sets(texts[:10], 5)
+    tracemalloc.start()
+    owner, run = simhash.shingle_sets(texts, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 19 * sum(map(len, texts))
+    assert len(owner) == len(run) > 0
+    assert [len(x) for x in simhash.shingle_sets([], 5)] == [len(x) for x in simhash.shingle_sets([None, " "], 5)] == [0, 0]
