@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from . import arrays
-from .common import byte_lengths, gathered, sliced, trim
+from .common import byte_lengths, gathered, numbered, sliced, trim
 
 #: Words of an n-gram.
 ORDER = 3
@@ -95,12 +95,20 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 def cut(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that has rows, and its rows in order."""
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")  # small numbers are sorted by digits
+    ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
     for s in np.flatnonzero(np.diff(ends)).tolist():
         yield s, order[ends[s] : ends[s + 1]]
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each hash stands, in the hashes' order, and how many there are of it."""
+    by = np.argsort(h)  # which of equal ones comes first is no matter
+    sorted_ = h[by]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), sorted_[1:] != sorted_[:-1]]))
+    return by[starts], np.diff(starts, append=len(h))
+
+
 def batch_of(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["shard", "block"])
 
@@ -127,7 +135,7 @@ def keys_of(h: np.ndarray) -> np.ndarray:
 def save_keys(folder: str, name: str, h: np.ndarray) -> np.ndarray:
     """Hashes as sorted keys: where each range of keys begins, and each key's last five bytes. Returns their order."""
     keys = keys_of(h)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     arrays.save(folder, f"{name}-at", np.searchsorted(keys, np.arange((1 << PLACE) + 1, dtype=np.uint64) << np.uint64(KEPT)).astype(np.uint32))
     arrays.save(folder, f"{name}-low", keys.astype(np.uint32))
@@ -137,22 +145,26 @@ def save_keys(folder: str, name: str, h: np.ndarray) -> np.ndarray:
 
 def find_keys(at: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which hashes are there, and their places among the sorted keys."""
+    if not len(low):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, low, high = map(np.asarray, (at, low, high))  # plain views of what is mapped
     keys = keys_of(h)
+    order = np.argsort(keys)  # so that the arrays are walked from their beginning to their end
+    keys = keys[order]
     place = (keys >> np.uint64(KEPT)).astype(np.int64)
     wanted = keys & np.uint64((1 << KEPT) - 1)
-    a, b = at[place].astype(np.int64), at[place + 1].astype(np.int64)
-    ends = b.copy()
     value = lambda i: high[i].astype(np.uint64) << np.uint64(32) | low[i]
-    open_ = np.flatnonzero(a < b)
-    while len(open_):
-        middle = (a[open_] + b[open_]) >> 1
-        less = value(middle) < wanted[open_]
-        a[open_[less]] = middle[less] + 1
-        b[open_[~less]] = middle[~less]
-        open_ = open_[a[open_] < b[open_]]
-    there = np.flatnonzero(a < ends)
-    there = there[value(a[there]) == wanted[there]]
-    return there, a[there]
+    a = at[place].astype(np.int64)
+    left = at[place + 1] - a
+    # the first place from a on that isn't less: each step halves all ranges at once, of which those of no length stay where they are
+    for _ in range(int(left.max(initial=0)).bit_length()):
+        half = left >> 1
+        less = (value(np.minimum(a + half, len(low) - 1)) < wanted) & (left > 0)
+        a += np.where(less, half + 1, 0)
+        left = np.where(less, left - half - 1, half)
+    found = np.flatnonzero((a < at[place + 1]))
+    found = found[value(a[found]) == wanted[found]]
+    return order[found], a[found]
 
 
 def save_counts(folder: str, name: str, counts: np.ndarray) -> None:
@@ -166,18 +178,9 @@ class Tokens:
     """The tokens of some texts: places of each in `distinct`, and where each text ends."""
 
     def __init__(self, texts: list[str | None]):
-        flat: list[bytes] = []
-        ends = []
-        for text in texts:
-            flat += words(text)
-            flat.append(END)
-            ends.append(len(flat))
-        place = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        self.distinct = list(place)
-        self.place = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        self.ends = np.array(ends, np.int64)
+        self.distinct, self.place, self.ends = numbered([*words(text), END] for text in texts)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.within = np.arange(len(flat)) - np.repeat(self.starts, self.ends - self.starts)
+        self.within = np.arange(len(self.place)) - np.repeat(self.starts, self.ends - self.starts)
 
     def before(self, own: np.ndarray, k: int) -> np.ndarray:
         """For each token the id of that k places before it in its text, or START."""
@@ -219,9 +222,7 @@ class Lookup(arrays.Shelf):
     def of_grams(self, names: tuple[str, ...], keys: np.ndarray, home: np.ndarray, shards: int) -> np.ndarray:
         """For each key a row of the counts in each of the arrays `names`; zeros for keys that aren't in its home shard."""
         out = np.zeros((len(keys), len(names) - 1), np.int64)
-        order = np.argsort(keys)
-        for s, own in cut(home[order], shards):
-            own = order[own]
+        for s, own in cut(home, shards):
             there, at = find_keys(*(self.load(f"{names[0]}-{s}-{part}") for part in ("at", "low", "high")), keys[own])
             own = own[there]
             for k, name in enumerate(names[1:]):
@@ -307,7 +308,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
             tokens = Tokens(batch.column("text").to_pylist())
             own = lookup(folder).ids(tokens.distinct, sizes).astype(np.uint64)[tokens.place]
             columns = [tokens.before(own, k) for k in range(order - 1, -1, -1)]
-            _, at, n = np.unique(gram(columns), return_index=True, return_counts=True)
+            at, n = distinct(gram(columns))
             yield dealt([c[at] for c in columns], n, shards)
 
     def merge_grams(level: int):
@@ -319,7 +320,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
             *columns, n = (np.concatenate([p[i] for p in parts]) for i in range(level + 1))
             del parts
             h = gram(columns)
-            by = np.argsort(h, kind="stable")
+            by = np.argsort(h)
             starts = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
             n = np.add.reduceat(n[by].astype(np.int64), starts)
             at = by[starts]
@@ -328,7 +329,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
             totals = [len(h), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
             if level > 2:
                 context = gram(columns[:-1])
-                by = np.argsort(context, kind="stable")
+                by = np.argsort(context)
                 starts = np.flatnonzero(np.concatenate([[True], context[by][1:] != context[by][:-1]]))
                 total, *after = (np.add.reduceat(x[by], starts) for x in (n, n == 1, n == 2, n > 2))
                 own = (total > 1) | (columns[0][by[starts]] == START)  # of others it is enough that they are known
@@ -336,7 +337,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
                 for name, x in zip(("total", "once", "twice", "more"), (total, *after), strict=True):
                     save_counts(folder, f"{name}{level}-{shard}", x[own].astype(np.int64)[placed])
                 rest = columns[1:]
-                _, at, n = np.unique(gram(rest), return_index=True, return_counts=True)
+                at, n = distinct(gram(rest))
                 arrays.save(folder, f"totals{level}-{shard}", np.array(totals, np.int64))
                 batch = dealt([c[at] for c in rest], n, shards)
                 return pa.Table.from_batches([batch])
@@ -421,13 +422,13 @@ def score_rows(docs: DataFrame, model: Model, text_col: str, wanted: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lookup(model.folder)
         for batch in gathered(kept(batches, only), text_col, slice_bytes):
-            found = scores_of(batch.column(text_col).to_pylist(), model, own)
+            found = scores_of(batch.column(text_col).to_pylist(), model, own, "worst" in wanted)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k], from_pandas=True) for k in wanted)], names=[*batch.schema.names, *wanted])
 
     return docs.mapInArrow(run, f"{columns}, {', '.join(f'{k} {types[k]}' for k in wanted)}")
 
 
-def scores_of(texts: list[str | None], model: Model, own: Lookup) -> dict[str, np.ndarray]:
+def scores_of(texts: list[str | None], model: Model, own: Lookup, worst: bool = True) -> dict[str, np.ndarray]:
     size, n = model.vocabulary, model.tokens
     tokens = Tokens(texts)
     ids = own.ids(tokens.distinct, model.sizes)
@@ -459,13 +460,15 @@ def scores_of(texts: list[str | None], model: Model, own: Lookup) -> dict[str, n
         counts[met] = own.of_grams((f"grams{level}", f"counts{level}"), keys, home, model.shards)[:, 0]
         d = model.discounts[level - 1]
         has = often > 0
-        p[has] = (np.maximum(counts - taken(counts, d), 0)[has] + (after[has, 1:] @ np.array(d)) * p[has]) / often[has]
+        p[has] = (np.maximum(counts - taken(counts, d), 0)[has] + sum(after[has, k] * x for k, x in enumerate(d, 1)) * p[has]) / often[has]
         # whether the words before each token, one less than a context of the next level has, were seen as an n-gram
         found = counts > 0
         met_before = np.concatenate([[False], found[:-1]]) if len(found) else found
         met_before[tokens.within < level] = False
-    n_known, base_score, score = (np.add.reduceat(x, tokens.starts) if len(p) else x for x in ((seen > 0).astype(np.int64)[tokens.place], base[tokens.place], np.log10(p)))
-    return {"n_tokens": tokens.ends - tokens.starts, "n_known": n_known, "base_score": base_score, "score": score, "worst": worst_of(np.log10(p), tokens)}
+    p = np.log10(p)
+    n_known, base_score, score = (np.add.reduceat(x, tokens.starts) if len(p) else x for x in ((seen > 0).astype(np.int64)[tokens.place], base[tokens.place], p))
+    found = {"n_tokens": tokens.ends - tokens.starts, "n_known": n_known, "base_score": base_score, "score": score}
+    return found | {"worst": worst_of(p, tokens)} if worst else found
 
 
 def worst_of(scores: np.ndarray, tokens: Tokens) -> np.ndarray:

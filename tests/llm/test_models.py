@@ -2,14 +2,15 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from lexloom.llm import arrays, quality
 from lexloom.llm import kneser_ney as K
-from lexloom.llm import quality
 from lexloom.session import table
 
 from .frames import ODD, documents
@@ -186,3 +187,31 @@ def test_shards_of_trusted_ids(spark, monkeypatch):
     ids = spark.range(0, 3000, 3).withColumnRenamed("id", "trusted_id")
     docs = spark.range(3000).union(spark.range(9))
     assert sorted(r.id for r in quality.trusted_rows_of(docs, ids).collect()) == sorted([*range(0, 3000, 3), 0, 3, 6])
+
+
+def held(f, texts):
+    """Bytes that Python and numpy hold at most in f, for each byte of text."""
+    f(texts[:10])
+    tracemalloc.start()
+    f(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / sum(len(t) for t in texts)
+
+
+def test_words_of_a_slice_are_not_held_one_by_one():
+    texts = [" ".join(f"w{(i * i + j * 7) % 900}" for j in range(400)) for i in range(400)]
+    assert held(K.Tokens, texts) < 12
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    at, n = K.distinct(np.concatenate([keys, keys[:700]]))
+    assert (np.concatenate([keys, keys[:700]])[at] == np.sort(keys)).all() and n.sum() == 5700 and (n == 2).sum() == 700
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 70_000, 400_000])
+def test_keys_are_found_where_they_lie(tmp_path, n):
+    rng = np.random.default_rng(n)
+    h, other = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, 1000))
+    placed = K.save_keys(str(tmp_path), "k", h)
+    arrays_ = [arrays.load(str(tmp_path), f"k-{part}") for part in ("at", "low", "high")]
+    there, at = K.find_keys(*arrays_, np.concatenate([h, other]))
+    assert sorted(there.tolist()) == list(range(n)) and (placed[at] == there).all()
