@@ -15,7 +15,7 @@ import functools
 import hashlib
 import heapq
 from array import array
-from collections import defaultdict
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +28,28 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from . import arrays
 from .bytepairs import pattern, pieces
-from .common import gathered, sliced, without_gc
+from .common import gathered, numbered, sliced, without_gc
 
 #: Characters of a piece that goes into the shards, pieces that a task holds before it emits them, text to each shard, and
 #: text that a task encodes at once.
 LONG, PIECES, SHARD, SLICE = 200, 400_000, 8 << 20, 8 << 20
-#: Pairs whose rank a worker remembers.
-PAIRS = 1_000_000
+#: Pairs whose rank a worker remembers, and places of a rank from which on its merges are made all at once.
+PAIRS, MANY = 200_000, 100
+
+
+def stand(places: dict[int, array], ranks: list[int], found: np.ndarray, at: np.ndarray) -> None:
+    """Adds places, of pairs of the ranks found (-1: none), to those of each rank, and ranks that are new to the heap."""
+    there = found >= 0
+    own, at = found[there], at[there]
+    order = np.argsort(own.astype(np.uint16) if own.max(initial=0) < 1 << 16 else own, kind="stable")  # small numbers are sorted by digits
+    own, at = own[order], at[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+    stops = np.append(starts, len(own))[1:].tolist()
+    for s, a, b in zip(own[starts].tolist(), starts.tolist(), stops, strict=True):
+        if s not in places:
+            heapq.heappush(ranks, s)
+            places[s] = array("q")
+        places[s].frombytes(at[a:b].tobytes())
 
 
 class Codec:
@@ -46,40 +61,51 @@ class Codec:
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.match = pattern(source)
-        self.pair: dict[tuple[int, int], int | None] = {}
+        self.pair: dict[int, int] = {}
 
-    def rank(self, a: int, b: int) -> int | None:
-        """The rank of what the pair makes, if it makes a token."""
-        pair = (a, b)
-        if pair not in self.pair:
+    def rank(self, a: int, b: int) -> int:
+        """The rank of what the pair makes, -1 if that is no token."""
+        pair = a << 32 | b
+        if (r := self.pair.get(pair)) is None:
             if len(self.pair) > PAIRS:
                 self.pair.clear()
-            self.pair[pair] = self.ranks.get(self.token[a] + self.token[b])
-        return self.pair[pair]
-
-    def replay(self, words: list[bytes]) -> list[array]:
-        """The ids of each word: every merge in rank order, and within a word from the left."""
-        symbols: list[int] = []
-        before: list[int] = []
-        after: list[int] = []
-        starts = []
-        places: dict[int, list[int]] = defaultdict(list)
-        rank = self.rank
-        for word in words:
-            at = len(symbols)
-            starts.append(at)
-            own = [self.byte[b] for b in word]
-            symbols += own
-            after += [*range(at + 1, at + len(own)), -1]
-            before += [-1, *range(at, at + len(own) - 1)]
-            for i, (a, b) in enumerate(zip(own, own[1:], strict=False), at):
-                if (r := rank(a, b)) is not None:
-                    places[r].append(i)
+            r = self.pair[pair] = self.ranks.get(self.token[a] + self.token[b], -1)
+        return r
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As rank(), of many pairs."""
+        pairs, at = np.unique(a << 32 | b, return_inverse=True)
+        return np.fromiter((self.rank(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()), np.int64, len(pairs))[at]
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, packed: every merge in rank order, and within a word from the left."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        n = len(raw)
+        # arrays for loops over few places, and views of them for many places at once; no place is -1, nor is a symbol that is merged away
+        symbols = array("q", np.array(self.byte, np.int64)[raw].tobytes())
+        after, before = array("q", np.arange(1, n + 1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
+        views = tuple(np.frombuffer(x, np.int64) for x in (symbols, after, before))
+        some = size > 0
+        views[1][ends[some] - 1] = -1
+        views[2][(ends - size)[some]] = -1
+        places: dict[int, array] = {}
+        inner = np.flatnonzero(views[1] >= 0)
+        pairs = raw[inner].astype(np.int64) << 8 | raw[inner + 1]
+        first = np.full(1 << 16, -1)
+        for p in np.flatnonzero(np.bincount(pairs, minlength=1 << 16)).tolist():
+            first[p] = self.rank(self.byte[p >> 8], self.byte[p & 255])
+        stand(places, [], first[pairs], inner)
         ranks = list(places)
         heapq.heapify(ranks)
+        rank = self.rank
         while ranks:
             r = heapq.heappop(ranks)
-            now = sorted(places.pop(r, ()))
+            own = places.pop(r, ())
+            if len(own) >= MANY and self.merged(r, np.sort(np.frombuffer(own, np.int64)), *views, places, ranks):
+                continue
+            now = sorted(own)
             for done, i in enumerate(now, 1):
                 j = after[i]
                 if j < 0 or symbols[i] < 0 or rank(symbols[i], symbols[j]) != r:
@@ -89,25 +115,56 @@ class Codec:
                 again = False
                 if k >= 0:
                     before[k] = i
-                    if (s := rank(r, symbols[k])) is not None:
+                    if (s := rank(r, symbols[k])) >= 0:
                         if s not in places:
                             heapq.heappush(ranks, s)
+                            places[s] = array("q")
                         places[s].append(i)
                         again = s <= r
-                if (h := before[i]) >= 0 and (s := rank(symbols[h], r)) is not None:
+                if (h := before[i]) >= 0 and (s := rank(symbols[h], r)) >= 0:
                     if s not in places:
                         heapq.heappush(ranks, s)
+                        places[s] = array("q")
                     places[s].append(h)
                     again |= s <= r
                 if again:  # a pair that comes before the rest of this rank: the rest waits for its turn
                     if r not in places:
                         heapq.heappush(ranks, r)
-                    places[r] += now[done:]
+                        places[r] = array("q")
+                    places[r].extend(now[done:])
                     break
-        out = []
-        for at, word in zip(starts, words, strict=True):
-            out.append(array("I", [s for s in symbols[at : at + len(word)] if s >= 0]))
-        return out
+        left = views[0] >= 0
+        stops = (4 * np.concatenate([[0], np.cumsum(left)])[ends]).tolist()
+        ids = packed(views[0][left])
+        return [ids[a:b] for a, b in zip([0, *stops][:-1], stops, strict=True)]
+
+    def merged(self, r: int, i: np.ndarray, symbols: np.ndarray, after: np.ndarray, before: np.ndarray, places: dict[int, array], ranks: list[int]) -> bool:
+        """The merges of a rank at its places i, in order, all at once; False, and nothing is done, if a new pair would come before the rest of them."""
+        i = i[(symbols[i] >= 0) & (after[i] >= 0) & np.concatenate([[True], i[1:] != i[:-1]])]
+        if not len(i):
+            return True
+        i = i[self.ranks_of(symbols[i], symbols[after[i]]) == r]
+        if not len(i):
+            return True
+        # of a row of pairs that each overlap the next, the first, the third and so on
+        alone = np.ones(len(i), bool)
+        alone[1:] = after[i[:-1]] != i[1:]
+        number = np.arange(len(i))
+        i = i[(number - np.maximum.accumulate(np.where(alone, number, 0))) % 2 == 0]
+        j = after[i]
+        k, h = after[j], before[i]
+        # the right neighbour is as it was; the left one may be the merge just before
+        beside = np.zeros(len(i), bool)
+        beside[1:] = j[:-1] == h[1:]
+        h = np.where(beside, np.concatenate([h[:1], i[:-1]]), h)
+        has_k, has_h = k >= 0, h >= 0
+        right = self.ranks_of(np.full(int(has_k.sum()), r), symbols[k[has_k]])
+        left = self.ranks_of(np.where(beside, r, symbols[h])[has_h], np.full(int(has_h.sum()), r))
+        if ((right >= 0) & (right <= r)).any() or ((left >= 0) & (left <= r)).any():
+            return False
+        symbols[i], symbols[j], after[i], before[k[has_k]] = r, -1, k, i[has_k]
+        stand(places, ranks, np.concatenate([right, left]), np.concatenate([i[has_k], h[has_h]]))
+        return True
 
     def replayed(self, found: list[list[str]]) -> list[bytes]:
         """The encoded form of each list of matches; of all distinct ones, those that are no token are replayed together."""
@@ -120,20 +177,28 @@ class Codec:
             else:
                 hard.append((match, raw))
         for (match, _), ids in zip(hard, self.replay([raw for _, raw in hard]), strict=True):
-            words[match] = packed(ids)
+            words[match] = ids
         return [b"".join(map(words.__getitem__, matches)) for matches in found]
 
     @without_gc
     def encode(self, texts: list[str], shards: Shards | None = None) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; pieces that the shards don't have are replayed here."""
-        split = [units(t) for t in texts]
-        known: dict[str, bytes] = dict.fromkeys(u for own in split for u in own)
+        distinct, place, ends = numbered(split(t) for t in texts)
+        found = [unit(p) for p in distinct]
+        known: list[bytes | None] = [None] * len(found)
         if shards:
-            short = [u for u in known if len(u) <= LONG]
-            known.update(zip(short, shards.find(short), strict=True))
-        todo = [u for u, ids in known.items() if ids is None]
-        known.update(zip(todo, self.replayed([self.match.findall(u) for u in todo]), strict=True))
-        return [b"".join(map(known.__getitem__, own)) for own in split]
+            short = [i for i, u in enumerate(found) if len(u) <= LONG]
+            for i, ids in zip(short, shards.find([found[i] for i in short]), strict=True):
+                known[i] = ids
+        todo = [i for i, ids in enumerate(known) if ids is None]
+        for i, ids in zip(todo, self.replayed([self.match.findall(found[i]) for i in todo]), strict=True):
+            known[i] = ids
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        each = size[place]
+        until = np.cumsum(each)
+        stops = (4 * np.concatenate([[0], until])[ends]).tolist()
+        ids = np.frombuffer(b"".join(known), "<u4")[np.arange(until[-1] if len(until) else 0) - np.repeat(until - np.cumsum(size)[place], each)].tobytes()
+        return [ids[a:b] for a, b in zip([0, *stops][:-1], stops, strict=True)]
 
     @without_gc
     def shard(self, own: list[str]) -> list[bytes]:
@@ -148,10 +213,15 @@ def packed(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def units(text: str) -> list[str]:
-    """The text in pieces; each but the first begins with its space."""
-    first, *rest = pieces(text)
-    return [first, *map(" ".__add__, rest)]
+def split(text: str) -> list[str | tuple[str]]:
+    """The text in pieces: the first, in a tuple, and the others without the space that each begins with."""
+    found: list = pieces(text)
+    found[0] = (found[0],)
+    return found
+
+
+def unit(piece: str | tuple[str]) -> str:
+    return piece[0] if type(piece) is tuple else " " + piece
 
 
 @functools.lru_cache(maxsize=4)
@@ -215,18 +285,18 @@ def learned(docs: DataFrame, ranks: str, source: str, text_col: str) -> tuple[st
     shards = max(1, -(-size // SHARD))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
+        held: set[str | tuple[str]] = set()
         for batch in sliced(batches, "text"):
             for text in batch.column("text").to_pylist():
-                held.update(units(text))
+                held.update(split(text))
             if len(held) >= PIECES:
                 yield blocks(held)
                 held = set()
         if held:
             yield blocks(held)
 
-    def blocks(held: set[str]) -> pa.RecordBatch:
-        own = sorted(u for u in held if len(u) <= LONG)
+    def blocks(held: set[str | tuple[str]]) -> pa.RecordBatch:
+        own = sorted({u for u in map(unit, held) if len(u) <= LONG})
         shard = shard_of(hashes(own), shards)
         order = np.argsort(shard, kind="stable")
         names, starts = np.unique(shard[order], return_index=True)

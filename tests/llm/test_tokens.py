@@ -81,3 +81,32 @@ def test_odd_documents(spark, rows):
     assert sorted(((r.doc_id, r.decoded_sha256) for r in trip), key=repr) == sorted(digests, key=repr)
     back = bpe_codec.decode(bpe_codec.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=repr) == sorted([(i, t or "") for i, t in rows], key=repr)
+
+
+def test_merges_at_many_places_at_once(monkeypatch):
+    """Also with ranks in any order, against the least rank from the left, one merge after another."""
+    rng = random.Random(7)
+    for many in (1, 5, 1 << 30):
+        monkeypatch.setattr(bpe_codec, "MANY", many)
+        for _ in range(60):
+            tokens = list({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(rng.randint(1, 25))})
+            codec = bpe_codec.Codec(RANKS, P.PATTERN)
+            codec.ranks = {bytes([b]): 1000 + b for b in range(256)} | {t: r for r, t in enumerate(tokens)}
+            codec.token, codec.byte, codec.pair = {r: t for t, r in codec.ranks.items()}, [1000 + b for b in range(256)], {}
+            words = [bytes(rng.choices(b"abc", k=rng.randint(0, 14))) for _ in range(30)]
+            for word, found in zip(words, codec.replay(words), strict=True):
+                parts = [bytes([b]) for b in word]
+                while pairs := [(codec.ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in codec.ranks]:
+                    i = min(pairs)[1]
+                    parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                assert np.frombuffer(found, "<u4").tolist() == [codec.ranks[p] for p in parts]
+
+
+def test_few_pairs_are_looked_up_one_by_one(monkeypatch):
+    asked = []
+    rank = bpe_codec.Codec.rank
+    monkeypatch.setattr(bpe_codec.Codec, "rank", lambda self, a, b: asked.append(1) or rank(self, a, b))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeionrst", k=8)) for _ in range(20_000)]
+    bpe_codec.Codec(RANKS, P.PATTERN).shard(words)
+    assert len(asked) < sum(map(len, words))
