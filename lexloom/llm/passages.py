@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, saved_at
-from .common import sliced
+from .common import numbered, sliced, without_gc
 
 #: Words of a seed; neighbouring seeds of which one is kept.
 K, WINDOW = 4, 4
@@ -54,14 +54,8 @@ def words(text: str | None) -> list[bytes]:
 
 def seeds_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Seeds of each text: its number, the seed and its place (a word's number)."""
-    flat: list[bytes] = []
-    ends = []
-    for text in texts:
-        flat += words(text)
-        ends.append(len(flat))
-    distinct = list(dict.fromkeys(flat))
-    at = dict(zip(distinct, range(len(distinct)), strict=True))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))]
+    distinct, at, ends = numbered(map(words, texts))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[at]
     none = np.zeros(0, np.int64)
     if len(h) < K:
         return none, none.astype(np.uint64), none
@@ -142,11 +136,11 @@ def chains_of(place: np.ndarray, other: np.ndarray) -> list[tuple[list[int], lis
     A match's score is K and the best score of a match before it on both sides, less the cost of the gap between, or K
     alone. The cost is linear, so the best one before is a prefix maximum over `other`, kept in a Fenwick tree.
     """
-    order = np.lexsort((-other, place))
-    p, o = place[order].tolist(), other[order].tolist()
-    ranks = np.unique(other, return_inverse=True)[1][order].tolist()
-    n = len(p)
-    size = max(ranks) + 1
+    pairs = sorted(zip(np.asarray(place).tolist(), np.negative(other).tolist(), strict=True))  # most are few, for which calls of numpy cost more
+    p, o = [x for x, _ in pairs], [-y for _, y in pairs]
+    rank = {y: i for i, y in enumerate(sorted(set(o)))}
+    ranks = [rank[y] for y in o]
+    n, size = len(p), len(rank)
     tree_score, tree_at = [0.0] * (size + 1), [-1] * (size + 1)
     score, back = [0.0] * n, [-1] * n
     for i in range(n):
@@ -261,15 +255,17 @@ def aligned(a: list, b: list, places: list[int], others: list[int]) -> list[tupl
 
     a and b are words, and places and others places in them. Both ends are extended; see extended().
     """
-    if any(o < 0 or len(a) < p + K or a[p : p + K] != b[o : o + K] for p, o in zip(places, others, strict=True)):
-        return None
+    for p, o in zip(places, others, strict=True):
+        if o < 0 or len(a) < p + K or a[p : p + K] != b[o : o + K]:
+            return None
     a0, b0 = places[0], others[0]
     a1, b1 = a0, b0
     left = extended(a[max(0, a0 - MARGIN) : a0][::-1], b[max(0, b0 - MARGIN) : b0][::-1])
     found = [(a0 - i - n, b0 - j - n, n) for i, j, n in reversed(left)]
     for p, o in zip(places, others, strict=True):
-        if p >= a1 and o >= b1:
-            found += [(a1 + i, b1 + j, n) for i, j, n in between(a[a1:p], b[b1:o])]
+        if p > a1 and o > b1:
+            x, y = a[a1:p], b[b1:o]
+            found += [(a1, b1, len(x))] if x == y else [(a1 + i, b1 + j, n) for i, j, n in between(x, y)]
         inside = max(0, a1 - p, b1 - o)  # seeds may overlap
         found.append((p + inside, o + inside, K - inside))
         a1, b1 = p + K, o + K
@@ -306,8 +302,8 @@ def passes(x: Part) -> bool:
 
 def longest(parts: list[Part]) -> list[tuple[Part, bool]]:
     """Parts in order, from each that no passage holds yet the longest row of neighbours that is a passage together, or itself; and which."""
-    if not parts:
-        return []
+    if not parts or min(parts[-1][1] - parts[0][0], parts[-1][3] - parts[0][2]) < LEAST_WORDS:
+        return [(part, False) for part in parts]
     a0, a1, b0, b1, own = np.array(parts).T
     edits = np.cumsum(own + np.array([0, *map(gap, parts, parts[1:])]))
     ends = np.maximum(a1 - a0, b1 - b0) - own >= LOOK
@@ -390,6 +386,13 @@ def connected(alignments: list[tuple[int, list[tuple[int, int, int]]]]) -> list[
     return out
 
 
+def long_enough(runs: list[tuple[int, int, int]]) -> bool:
+    """Whether an alignment has a passage's words from end to end."""
+    (a0, b0, _), (a1, b1, n) = runs[0], runs[-1]
+    return min(a1 - a0, b1 - b0) + n >= LEAST_WORDS
+
+
+@without_gc
 def passages_of(text: str, chains: list[dict], chunks: list[dict]) -> list[dict]:
     """Of a document's chains the passages: characters, words and edits on its side, and the other's words; chunks: the pieces of the others' words around the chains."""
     own = words(text)
@@ -399,14 +402,17 @@ def passages_of(text: str, chains: list[dict], chunks: list[dict]) -> list[dict]
     for c in chains:
         low, high = max(0, c["others"][0] - MARGIN), c["others"][-1] + K + MARGIN
         shift = low // CHUNK * CHUNK
-        other = [w for k in range(low // CHUNK, high // CHUNK + 1) for w in pieces.get((c["source"], k), ())][low - shift : high - shift]
+        other: list[bytes] = []
+        for k in range(low // CHUNK, high // CHUNK + 1):
+            other += pieces.get((c["source"], k), ())
+        other = other[low - shift : high - shift]
         runs = aligned(own, other, c["places"], [o - low for o in c["others"]]) or []
         if runs:
             alignments.append((c["source"], [(i, j + low, n) for i, j, n in runs]))
-    found = {(source, a0, -a1, b0, b1, edits) for source, runs in connected(alignments) for a0, a1, b0, b1, edits in parted(runs)}
+    found = {(source, a0, -a1, b0, b1, edits) for source, runs in connected(alignments) if long_enough(runs) for a0, a1, b0, b1, edits in parted(runs)}
     if not found:
         return []
-    spans = [m.span() for m in _WORD.finditer(text)]
+    spans = list(map(re.Match.span, _WORD.finditer(text)))
     kept: list[tuple[int, ...]] = []  # of each source as few as cover what all of them cover: a line again and again gives very many
     for x in sorted(found):
         own = [y for y in kept[-2:] if y[0] == x[0]]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lexloom.llm import decontaminate, passages
@@ -243,3 +244,18 @@ def test_long_and_odd_items(spark, monkeypatch, kept):
     frame = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, [(1, f"x {long} y"), (2, f"so {items[500][1]} it is"), (3, "zz abc\0 zz"), (4, "zz abc zz")])
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, frame).collect()) == [(1, 1000), (2, 500), (3, 1001)]
+
+
+def test_equal_words_between_seeds_are_not_aligned(monkeypatch):
+    asked = []
+    between = passages.between
+    monkeypatch.setattr(passages, "between", lambda a, b: asked.append(1) or between(a, b))
+    a = [f"w{i}" for i in range(100)]
+    assert passages.aligned(a, a, [0, 20, 22, 60], [0, 20, 22, 60]) == [(0, 0, 100)] and not asked
+    b = [*a[:30], "x", *a[31:]]
+    assert passages.aligned(a, b, [0, 50], [0, 50]) == [(0, 0, 30), (31, 31, 69)] and asked
+
+
+def test_short_alignments_are_no_passages(monkeypatch):
+    monkeypatch.setattr(np, "cumsum", lambda *a, **k: pytest.fail("parts too short together were tried one by one"))
+    assert passages.longest([(0, 4, 0, 4, 0), (20, 24, 22, 26, 0)]) == [((0, 4, 0, 4, 0), False), ((20, 24, 22, 26, 0), False)]
