@@ -1,6 +1,7 @@
 """Training-data pipeline: documents in, token counts and checksums of what is kept out.
 
-Each stage works on all that its predecessor kept, and all but the last return the columns of documents.
+Each stage works on all that its predecessor kept, and all but the last return the columns of documents. Before it begins, executors
+give back the memory that its predecessor's joins have taken, as its Python workers need some beside them.
 """
 
 from __future__ import annotations
@@ -9,31 +10,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import bpe_codec, decontaminate, passages, quality, simhash
-from lexloom.session import saved, table
+from lexloom.session import relieve, saved, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is above their language's threshold go."""
+    relieve(spark)
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, likeness 0.8 or more) the document with the smallest id stays."""
+    relieve(spark)
     return simhash.keep_dissimilar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut from the text; all documents stay."""
+    relieve(spark)
     return passages.without_passages(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
+    relieve(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each text and decodes it again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    relieve(spark)
     return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import discard, named, saved, saved_at, shared_folder
+from ..session import discard, named, relieve, saved, saved_at, shared_folder
 from . import arrays
 from .common import numbered, sliced
 from .components import components
@@ -132,6 +132,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 #: First bits of a long fingerprint that go with each of its segments.
 CHECK = 32
+#: Text whose shingles a task holds at once: less than elsewhere, as joins before have filled the executors' heaps.
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -213,7 +215,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, least: float, wid
     plan = Plan.of(rows.count(), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             found = long_fingerprints(batch.column("text").to_pylist(), width, plan)
             ends = pa.array(np.arange(0, found.size + 1, plan.segments), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=["id", "fp"])
@@ -251,7 +253,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame, plan: Plan, le
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             owner, run = shingle_sets(batch.column("text").to_pylist(), width)
             parts = np.split(run, np.searchsorted(owner, np.arange(1, batch.num_rows)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "shingles"])
@@ -292,7 +294,7 @@ def common_shingles(rows: DataFrame, width: int) -> str:
     part = max(1, -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // COUNTED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text").to_pylist(), width)[1].view(np.int64))], names=["h"])
 
     found = rows.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toArrow()
@@ -319,11 +321,14 @@ def prefix_of(run: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: flo
 
 
 def bits_of(run: np.ndarray) -> np.ndarray:
-    """A set as bits, at least four times as many as shingles and a power of two of words of 64."""
-    words = 1 << max(0, math.ceil(math.log2(max(1, len(run)) / 16)))
-    bits = np.zeros(64 * words, np.uint8)
-    bits[(_mixed(run) & np.uint64(64 * words - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """A set as bits, at least as many as shingles and a power of two of words of 64: whether the number of shingles that fall on each is odd.
+
+    Shingles that two sets share cancel out, so the bits in which they differ are at most as many as shingles that only one has, and
+    for strangers nearly half of all. So few bits are enough to tell them apart; they travel with every shingle of a prefix.
+    """
+    words = 1 << max(0, math.ceil(math.log2(max(1, len(run)) / 64)))
+    odd = np.bincount((_mixed(run) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def missed_pairs(rows: DataFrame, groups: DataFrame, least: float, width: int) -> DataFrame:
@@ -336,7 +341,7 @@ def missed_pairs(rows: DataFrame, groups: DataFrame, least: float, width: int) -
     folder = common_shingles(rows, width)
 
     def sets(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             owner, run = shingle_sets(batch.column("text").to_pylist(), width)
             parts = np.split(run, np.searchsorted(owner, np.arange(1, batch.num_rows)))
             keys = pa.array([set_key(p) for p in parts], pa.int64())
@@ -362,7 +367,7 @@ def missed_pairs(rows: DataFrame, groups: DataFrame, least: float, width: int) -
     pairs = one.join(two, "shingle").where("node_a < node_b and kept_a <> kept_b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
     # before the first shingle that both have there is none, so from its places on enough must be left
     pairs = pairs.where(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-    half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseOR(q))
+    half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
     cut = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(cut("bits_a", "bits_b"), cut("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
     pairs = pairs.where(differ <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + 1e-6)
@@ -387,6 +392,7 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups, groups_path = saved_at(classes.join(parts, classes["first"] == parts["node"], "left").select("id", F.coalesce("component", "first").alias("kept")), "groups")
     del classes, pairs, parts
     discard(docs.sparkSession, *(path for path in named() if path not in (*before, groups_path)))
+    relieve(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
     more = missed_pairs(rows, groups, least, width)
     linked = groups.where("id <> kept").select(F.col("id").alias("a"), F.col("kept").alias("b"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from lexloom import session
 from lexloom.llm import components, simhash, vector_forest
 
 from .frames import ODD, documents
@@ -242,3 +243,26 @@ def test_words_of_a_slice_are_not_held_one_by_one():
     assert most < 19 * sum(map(len, texts))
     assert len(owner) == len(run) > 0
     assert [len(x) for x in simhash.shingle_sets([], 5)] == [len(x) for x in simhash.shingle_sets([None, " "], 5)] == [0, 0]
+
+
+def test_bits_of_sets_are_few_and_bound_their_difference():
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for n in [0, 1, 64, 65, 300, 900, *rng.integers(1, 2000, 300)]:
+        one = new(n)
+        two = np.concatenate([one[: rng.integers(0, n + 1)], new(rng.integers(0, n + 1))])
+        x, y = sorted(map(simhash.bits_of, (one, two)), key=len)
+        assert max(1, n) <= 64 * max(len(x), len(y)) or len(two) > n
+        assert 8 * len(simhash.bits_of(one)) <= max(8, n / 4)  # 64 bytes for 300 shingles
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert int(np.unpackbits((x ^ y).view(np.uint8)).sum()) <= len(np.setxor1d(one, two))
+    for n in (65, 128, 300, 900):  # strangers are beyond what sets of a likeness of 0.8 may differ in
+        assert int(np.unpackbits((simhash.bits_of(new(n)) ^ simhash.bits_of(new(n))).view(np.uint8)).sum()) > 0.2 / 1.8 * 2 * n
+
+
+def test_executors_give_memory_back(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    before = sum(b.getCollectionCount() for b in beans())
+    session.relieve(spark)
+    assert sum(b.getCollectionCount() for b in beans()) > before

@@ -148,3 +148,14 @@ def test_run_like_brute_force(spark, tmp_path):
         ids = library.encode_ordinary(cut[i])
         expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(cut[i].encode()).hexdigest()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(expected)
+
+
+def test_memory_is_given_back_before_each_stage(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(corpus_pipeline, "relieve", lambda spark: done.append("relieve"))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    for module, name in ((quality, "keep_quality"), (corpus_pipeline.simhash, "keep_dissimilar"), (corpus_pipeline.passages, "without_passages"), (decontaminate, "decontaminate"), (bpe_codec, "round_trip")):
+        monkeypatch.setattr(module, name, lambda *_, name=name: done.append(name))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, None, "")
+    assert done[::2] == ["relieve"] * 5 and done[1::2] == ["keep_quality", "keep_dissimilar", "without_passages", "decontaminate", "round_trip"]
